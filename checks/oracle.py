@@ -33,9 +33,9 @@ def _points() -> str:
     parts = []
     for k in POINTS:
         for name, sql in (
-            ("x", f"cast({h(k, 10007)} % 640 as double)"),
-            ("y", f"cast({h(k + 40, 10009)} % 480 as double)"),
-            ("s", _score(k)),
+            ("px", f"cast({h(k, 10007)} % 640 as double)"),
+            ("py", f"cast({h(k + 40, 10009)} % 480 as double)"),
+            ("ps", _score(k)),
         ):
             parts.append(f"CASE WHEN event_type <> 'error' THEN {sql} END AS {name}{k}")
     return ", ".join(parts)
@@ -75,12 +75,12 @@ def index(side: str, joint: str) -> int:
 
 
 def gate(side: str, joints, least: float = 0.5) -> str:
-    return "(" + " AND ".join(f"coalesce(s{index(side, j)} >= {least}, false)" for j in joints) + ")"
+    return "(" + " AND ".join(f"coalesce(ps{index(side, j)} >= {least}, false)" for j in joints) + ")"
 
 
 def side_angle(side: str, joints) -> str:
     a, b, c = (index(side, j) for j in joints)
-    ux, uy, vx, vy = f"(x{a}-x{b})", f"(y{a}-y{b})", f"(x{c}-x{b})", f"(y{c}-y{b})"
+    ux, uy, vx, vy = f"(px{a}-px{b})", f"(py{a}-py{b})", f"(px{c}-px{b})", f"(py{c}-py{b})"
     cos = (
         f"({ux}*{vx}+{uy}*{vy})/(sqrt({ux}*{ux}+{uy}*{uy})*sqrt({vx}*{vx}+{vy}*{vy})+1e-6)"
     )
@@ -163,7 +163,7 @@ def suppression(source: str) -> str:
 ranked AS MATERIALIZED (SELECT *, row_number() OVER
   (PARTITION BY video_id, frame_idx ORDER BY conf DESC, det_idx) AS rk FROM {source}),
 masks AS MATERIALIZED (SELECT a.video_id, a.frame_idx, a.rk,
-  cast(coalesce(sum(CASE WHEN {inter} > 0.45 * ({areas} - {inter}) THEN 1 << cast(b.rk - 1 as integer) END), 0)
+  cast(coalesce(sum(CASE WHEN {inter} > 0.45 * ({areas} - {inter}) THEN pow(2, b.rk - 1) END), 0)
     as bigint) AS m
   FROM ranked a LEFT JOIN ranked b
     ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND b.rk < a.rk
@@ -172,20 +172,20 @@ walk AS (
   SELECT DISTINCT video_id, frame_idx, cast(0 as bigint) AS rk, cast(0 as bigint) AS kept FROM ranked
   UNION ALL
   SELECT w.video_id, w.frame_idx, x.rk,
-    CASE WHEN (w.kept & x.m) = 0 THEN w.kept | (cast(1 as bigint) << cast(x.rk - 1 as integer)) ELSE w.kept END
+    CASE WHEN (w.kept & x.m) = 0 THEN w.kept | cast(pow(2, x.rk - 1) as bigint) ELSE w.kept END
   FROM walk w JOIN masks x
     ON x.video_id = w.video_id AND x.frame_idx = w.frame_idx AND x.rk = w.rk + 1),
 survivors AS (SELECT r.* FROM ranked r JOIN walk w
   ON w.video_id = r.video_id AND w.frame_idx = r.frame_idx AND w.rk = r.rk
-  WHERE (w.kept & (cast(1 as bigint) << cast(r.rk - 1 as integer))) <> 0)"""
+  WHERE (w.kept & cast(pow(2, r.rk - 1) as bigint)) <> 0)"""
 
 
 def segments(source: str) -> str:
     """One SELECT per skeleton edge."""
     parts = [
-        f"SELECT {KEY}, track_id, {i} AS idx, cast(trunc(x{a}) as integer) AS x1, "
-        f"cast(trunc(y{a}) as integer) AS y1, cast(trunc(x{b}) as integer) AS x2, "
-        f"cast(trunc(y{b}) as integer) AS y2 FROM {source} WHERE s{a} > 0.4 AND s{b} > 0.4"
+        f"SELECT {KEY}, track_id, {i} AS idx, cast(trunc(px{a}) as integer) AS x1, "
+        f"cast(trunc(py{a}) as integer) AS y1, cast(trunc(px{b}) as integer) AS x2, "
+        f"cast(trunc(py{b}) as integer) AS y2 FROM {source} WHERE ps{a} > 0.4 AND ps{b} > 0.4"
         for i, (a, b) in enumerate(SKELETON)
     ]
     return " UNION ALL ".join(parts)
@@ -193,8 +193,8 @@ def segments(source: str) -> str:
 
 def dots(source: str) -> str:
     parts = [
-        f"SELECT {KEY}, track_id, {k} AS idx, cast(trunc(x{k}) as integer) AS x1, "
-        f"cast(trunc(y{k}) as integer) AS y1 FROM {source} WHERE s{k} > 0.4"
+        f"SELECT {KEY}, track_id, {k} AS idx, cast(trunc(px{k}) as integer) AS x1, "
+        f"cast(trunc(py{k}) as integer) AS y1 FROM {source} WHERE ps{k} > 0.4"
         for k in POINTS
     ]
     return " UNION ALL ".join(parts)
@@ -253,7 +253,7 @@ def oracles() -> dict[str, str]:
         machine("elbow", "loop_persons", angle(ARM), 70, 150),
     )
     box_row = f"{KEY}, conf, x1, y1, x2, y2"
-    parsed_row = f"{KEY}, track_id, {box_row.removeprefix(KEY + ', ')}, has_points, x13, s13"
+    parsed_row = f"{KEY}, track_id, {box_row.removeprefix(KEY + ', ')}, has_points, px13 AS x13, ps13 AS s13"
     counts = (
         "counts AS (SELECT 'squat' AS name, count(*) AS n_rows, count(a) AS n_angle, "
         "count(CASE WHEN a < 90 THEN 1 END) AS n_down, count(CASE WHEN a > 160 THEN 1 END) AS n_up FROM squat_a "
@@ -279,10 +279,10 @@ def oracles() -> dict[str, str]:
     sql = {
         "scan_persons": with_(BOXES)
         + "SELECT video_id, frame_idx, count(*) AS n_boxes, frame_idx % 10 <> 0 AS tracked, "
-        "sum(CASE WHEN has_points THEN 17 ELSE 0 END) AS n_points, round(sum(conf), 4) AS conf "
+        "cast(sum(CASE WHEN has_points THEN 17 ELSE 0 END) as bigint) AS n_points, round(sum(conf), 4) AS conf "
         "FROM boxes GROUP BY video_id, frame_idx",
         "stream_persons": person
-        + f"SELECT {KEY}, track_id, conf, x1, has_points, y13, s16 FROM person",
+        + f"SELECT {KEY}, track_id, conf, x1, has_points, py13 AS y13, ps16 AS s16 FROM person",
         "exercise_config": with_(PERSON, angles, counts, settings)
         + "SELECT ord, s.name, enabled, joint_a, joint_b, joint_c, cast(down_threshold as double) AS down_threshold, "
         "cast(up_threshold as double) AS up_threshold, cast(min_confidence as double) AS min_confidence, "
@@ -296,7 +296,7 @@ def oracles() -> dict[str, str]:
         "nms": with_(BOXES, suppression("boxes")) + f"SELECT {box_row} FROM survivors",
         "nms_frames": with_(BOXES, suppression("boxes"))
         + "SELECT video_id, frame_idx, count(*) AS n_kept, sum(x1) AS x1, sum(y2) AS y2, "
-        "sum(CASE WHEN has_points THEN x13 ELSE 0 END) AS knees FROM survivors GROUP BY video_id, frame_idx",
+        "sum(CASE WHEN has_points THEN px13 ELSE 0 END) AS knees FROM survivors GROUP BY video_id, frame_idx",
         "parse_detections": parsed + f"SELECT {parsed_row} FROM parsed",
         "tracked_only": with_(BOXES)
         + "SELECT video_id, frame_idx, count(*) AS n_boxes FROM boxes WHERE frame_idx % 10 <> 0 "
@@ -308,8 +308,8 @@ def oracles() -> dict[str, str]:
         + "SELECT b.video_id, b.frame_idx, b.det_idx, id AS track_id "
         "FROM boxes b JOIN slots s ON s.video_id = b.video_id AND s.det_idx = b.det_idx",
         "joint_lookup": person
-        + f"SELECT {KEY}, track_id, x13 AS knee_x, y13 AS knee_y, s13 AS knee_score, x10 AS wrist_x, "
-        "y10 AS wrist_y, s10 AS wrist_score FROM person",
+        + f"SELECT {KEY}, track_id, px13 AS knee_x, py13 AS knee_y, ps13 AS knee_score, px10 AS wrist_x, "
+        "py10 AS wrist_y, ps10 AS wrist_score FROM person",
         "confidence_gate": person
         + f"SELECT {KEY}, track_id, {left} AS left_ok, {right} AS right_ok FROM person",
         "side_select": person
@@ -369,7 +369,7 @@ def oracles() -> dict[str, str]:
         + f"SELECT {KEY}, event_id AS track_id, conf, x1, y1, x2, y2 FROM boxes",
         "exercise_hook": with_(PERSON, machine("knees", "person", both_knees(), 90, 160))
         + f"{rows_of('knees')} UNION ALL SELECT {KEY}, track_id, 'hands', cast(0 as bigint), "
-        "CASE WHEN y9 < y5 AND y10 < y6 THEN 'up' ELSE 'down' END, cast(0.0 as double), '' FROM person",
+        "CASE WHEN py9 < py5 AND py10 < py6 THEN 'up' ELSE 'down' END, cast(0.0 as double), '' FROM person",
         "multi_exercise": f"{both} {rows_of('squat')} UNION ALL {rows_of('elbow')}",
         "frame_loop": f"{loop} {rows_of('squat')} UNION ALL {rows_of('elbow')}",
     }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from jointflow.config import DEFAULT_CONFIDENCE, DEFAULT_IOU
 from jointflow.functions.boxes import overlaps
 from jointflow.operators.crowded import suppress_in_crowds
-from jointflow.schema import FRAME_KEY, PERSON_KEY
+from jointflow.schema import DETECTIONS, FRAME_KEY, PERSON_KEY
 from jointflow.session import written
 
 #: Frames with more boxes than this are not gathered into one row but handled across tasks.
@@ -27,13 +27,15 @@ def filter_confidence(rows: DataFrame, threshold: float = DEFAULT_CONFIDENCE) ->
 
 def _take(frames: DataFrame, kept: Column) -> DataFrame:
     """Frame rows reduced to the detections at the positions in the array ``kept``."""
-    frames = frames.withColumn("_kept", kept)
-    return frames.withColumns(
-        {
-            name: F.when(F.col(name).isNotNull(), F.transform("_kept", lambda i, n=name: F.get(F.col(n), i)))
-            for name in _PER_DETECTION
-        }
-    ).drop("_kept")
+
+    def taken(array: Column) -> Column:
+        return F.when(array.isNotNull(), F.transform("_kept", lambda i: F.get(array, i)))
+
+    return (
+        frames.withColumn("_kept", kept)
+        .withColumns({name: taken(F.col(name)) for name in _PER_DETECTION})
+        .drop("_kept")
+    )
 
 
 def _positions() -> Column:
@@ -130,7 +132,14 @@ def parse_detections(frames: DataFrame) -> DataFrame:
     Boxes beyond the ids, and ids beyond the boxes, are left out. A person
     without keypoints gets NULL keypoints.
     """
-    zipped = F.arrays_zip(*[F.col(name) for name in _PER_DETECTION])
+    # arrays_zip is NULL as soon as one array is, so absent optional arrays count as empty.
+    types = {f.name: f.dataType for f in DETECTIONS.fields}
+    zipped = F.arrays_zip(
+        *[
+            F.coalesce(F.col(name), F.array().cast(types[name])).alias(name)
+            for name in _PER_DETECTION
+        ]
+    )
     found = F.col("found")
     return (
         tracked_only(frames)

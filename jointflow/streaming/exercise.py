@@ -14,7 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from jointflow.config import Registry
 from jointflow.functions.labels import rep_feedback
 from jointflow.operators.exercise import tracked_angles
-from jointflow.schema import EXERCISE_STATE, TRACK_KEY
+from jointflow.schema import EXERCISE_STATE, PERSON_KEY, TRACK_KEY
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -74,8 +74,8 @@ class _RepCounter(StatefulProcessor):
             down, reps, angle = list(down), list(reps), list(angle)
             for i, (machine, down_limit, up_limit) in enumerate(self.limits):
                 on, count, held = advance(
-                    pdf[f"_m{machine}_angle"].to_numpy(dtype=float),
-                    pdf[f"_m{machine}_seen"].to_numpy(dtype=bool),
+                    pdf[f"angle{machine}"].to_numpy(dtype=float),
+                    pdf[f"seen{machine}"].to_numpy(dtype=bool),
                     down_limit,
                     up_limit,
                     down[i],
@@ -126,8 +126,12 @@ def stream_exercise_states(
     if not machines:
         raise ValueError("no active exercise")
     angles = tracked_angles(persons, machines, ())
-    angles = angles.withColumns(
-        {f"_m{m.ordinal}_seen": F.col(f"_m{m.ordinal}_angle").isNotNull() for m in machines}
+    # Rows reach Python as named tuples, whose fields cannot start with an underscore.
+    angles = angles.select(
+        *PERSON_KEY,
+        "track_id",
+        *[F.col(f"_m{m.ordinal}_angle").alias(f"angle{m.ordinal}") for m in machines],
+        *[F.col(f"_m{m.ordinal}_angle").isNotNull().alias(f"seen{m.ordinal}") for m in machines],
     )
     counted = angles.groupBy(*TRACK_KEY).transformWithStateInPandas(
         _RepCounter([(m.ordinal, m.down, m.up) for m in machines], ttl_ms),

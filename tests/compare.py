@@ -13,6 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import duckdb  # noqa: E402
 import pandas as pd  # noqa: E402
+import pyarrow as pa  # noqa: E402
 
 TESTDATA = Path("/root/testdata")
 
@@ -24,18 +25,18 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def normalised(df: pd.DataFrame) -> pd.DataFrame:
-    df = df[sorted(df.columns)].astype(object)
-    df = df.where(df.notna(), None)
-    rows = sorted(map(tuple, df.itertuples(index=False)), key=lambda r: tuple(map(repr, r)))
-    return pd.DataFrame(rows, columns=sorted(df.columns), dtype=object)
+def normalised(table: pa.Table) -> pd.DataFrame:
+    """Python values; integers and floats keep their kind, whatever their width."""
+    names = sorted(table.column_names)
+    rows = zip(*[table.column(n).to_pylist() for n in names])
+    return pd.DataFrame(sorted(rows, key=lambda r: tuple(map(repr, r))), columns=names, dtype=object)
 
 
-def difference(mine: pd.DataFrame, theirs: pd.DataFrame) -> str | None:
-    if sorted(mine.columns) != sorted(theirs.columns):
-        return f"columns {sorted(mine.columns)} vs {sorted(theirs.columns)}"
-    if len(mine) != len(theirs):
-        return f"{len(mine)} rows vs {len(theirs)}"
+def difference(mine: pa.Table, theirs: pa.Table) -> str | None:
+    if sorted(mine.column_names) != sorted(theirs.column_names):
+        return f"columns {sorted(mine.column_names)} vs {sorted(theirs.column_names)}"
+    if mine.num_rows != theirs.num_rows:
+        return f"{mine.num_rows} rows vs {theirs.num_rows}"
     a, b = normalised(mine), normalised(theirs)
     for c in a.columns:
         unequal = [(x, y) for x, y in zip(a[c], b[c]) if x != y or type(x) is not type(y)]
@@ -58,16 +59,16 @@ def main() -> int:
             continue
         started = time.time()
         try:
-            mine = fn(spark, str(TESTDATA / sf)).toPandas()
+            mine = fn(spark, str(TESTDATA / sf)).toArrow()
             took = time.time() - started
             if name in sql:
                 started = time.time()
-                problem = difference(mine, con.execute(sql[name]).df())
-                print(f"{'ok  ' if problem is None else 'DIFF'} {name} {len(mine)} rows, "
+                problem = difference(mine, con.execute(sql[name]).to_arrow_table())
+                print(f"{'ok  ' if problem is None else 'DIFF'} {name} {mine.num_rows} rows, "
                       f"{took:.1f} s, SQL {time.time() - started:.1f} s {problem or ''}", flush=True)
                 failed += problem is not None
             else:
-                print(f"rows {name} {len(mine)} rows, {took:.1f} s", flush=True)
+                print(f"rows {name} {mine.num_rows} rows, {took:.1f} s", flush=True)
         except Exception as e:  # report and go on with the other queries
             failed += 1
             print(f"FAIL {name} {type(e).__name__} {str(e)[:1500]}", flush=True)

@@ -120,7 +120,7 @@ def stream_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exercise_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The settings with how often each exercise's angle is seen and past its limits."""
     active = machines()
-    angles = pose.with_angles(
+    angles = pose.with_side_angles(
         views.persons(spark, sf_dir), {m.name: (m.joints, m.min_confidence) for m in active}
     )
     seen = angles.select(
@@ -261,7 +261,7 @@ def side_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def joint_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = pose.with_angles(views.persons(spark, sf_dir), {"knee": (LEG, 0.5), "elbow": (ARM, 0.5)})
+    df = pose.with_side_angles(views.persons(spark, sf_dir), {"knee": (LEG, 0.5), "elbow": (ARM, 0.5)})
     return rounded(
         df.select(*PERSON_KEY, "track_id", "knee_angle", "elbow_angle"), "knee_angle", "elbow_angle"
     )
@@ -286,7 +286,7 @@ def bbox_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def active_exercises_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active exercises with how many person rows show each side."""
     active = machines()
-    sides = pose.with_angles(
+    sides = pose.with_side_angles(
         views.persons(spark, sf_dir), {m.name: (m.joints, m.min_confidence) for m in active}
     )
     seen = sides.select(
@@ -514,14 +514,18 @@ def detector_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _knees(name: str, ordinal: int, settings: Mapping) -> Machine:
     """A counter on the mean of both knee angles, where both legs are seen."""
     gates = [pose.side_gate(side, LEG, settings["min_confidence"]) for side in pose.SIDES]
-    angles = []
-    for side in pose.SIDES:
-        a, b, c = (pose.joint_xy(f"{side}_{joint}") for joint in LEG)
-        limbs = [p[axis] - b[axis] for p in (a, c) for axis in ("x", "y")]
-        angles.append(pose.degrees_of(pose.cosine(*limbs)))
-    mean = F.when(gates[0] & gates[1], (angles[0] + angles[1]) / 2)
-    return Machine(
-        name, ordinal, float(settings["down_threshold"]), float(settings["up_threshold"]), angle=mean
+    limits = (float(settings[key]) for key in ("down_threshold", "up_threshold"))
+    mean = (F.col("left_angle") + F.col("right_angle")) / 2
+    return Machine(name, ordinal, *limits, angle=F.when(gates[0] & gates[1], mean))
+
+
+def _both_knee_angles(persons: DataFrame) -> DataFrame:
+    return pose.with_angles(
+        persons,
+        {
+            side: [f"get(keypoints.coords, {pose.joint_index(f'{side}_{joint}')})" for joint in LEG]
+            for side in pose.SIDES
+        },
     )
 
 
@@ -548,7 +552,8 @@ def exercise_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
         "knees": {"enabled": True, "down_threshold": 90, "up_threshold": 160, "min_confidence": 0.5},
         "hands": {"enabled": True},
     }
-    return rounded(ex.exercise_states(views.persons(spark, sf_dir), config, own))
+    persons = _both_knee_angles(views.persons(spark, sf_dir))
+    return rounded(ex.exercise_states(persons, config, own))
 
 
 @query

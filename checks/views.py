@@ -5,7 +5,7 @@ The same formulas exist as SQL text in :mod:`checks.oracle`; both engines get id
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jointflow.functions.pose import KEYPOINT_COUNT
@@ -48,96 +48,82 @@ CONFIG = {
 SQUAT = {"squat": CONFIG["squat"]}
 
 
-def _terms(e: str = "event_id") -> dict[str, Column]:
+def _terms(e: str = "event_id") -> list[str]:
     """The formula ``(e*e*(37k+11) + e*(101k+7) + (7919k+13)) % p`` is ``(base + k*step) % p``.
 
     Base and step per prime are columns of their own, used by all 17 points. ``e`` is reduced
     modulo the prime first, so no event id overflows.
     """
-    terms = {}
-    for prime in sorted({PRIME_X, PRIME_Y, PRIME_SCORE, PRIME_W, PRIME_H}):
-        r = F.col(e) % prime
-        terms[f"_base{prime}"] = (r * r * 11 + r * 7 + 13) % prime
-        terms[f"_step{prime}"] = (r * r * 37 + r * 101 + 7919) % prime
+    terms = []
+    for p in sorted({PRIME_X, PRIME_Y, PRIME_SCORE, PRIME_W, PRIME_H}):
+        r = f"({e} % {p})"
+        terms.append(f"({r} * {r} * 11 + {r} * 7 + 13) % {p} AS base{p}")
+        terms.append(f"({r} * {r} * 37 + {r} * 101 + 7919) % {p} AS step{p}")
     return terms
 
 
-def mixed(k: int, prime: int) -> Column:
-    return (F.col(f"_base{prime}") + F.col(f"_step{prime}") * k) % prime
+def mixed(k: int, prime: int) -> str:
+    return f"((base{prime} + step{prime} * {k}) % {prime})"
 
 
-def _xy(k: int) -> Column:
-    return F.struct(
-        (mixed(k, PRIME_X) % 640).cast("double").alias("x"),
-        (mixed(k + 40, PRIME_Y) % 480).cast("double").alias("y"),
-    )
+def _xy(k: int) -> str:
+    x, y = f"{mixed(k, PRIME_X)} % 640", f"{mixed(k + 40, PRIME_Y)} % 480"
+    return f"named_struct('x', double({x}), 'y', double({y}))"
 
 
-def _score(k: int) -> Column:
-    return (mixed(k + 80, PRIME_SCORE) % 700 + 300).cast("double") / F.lit(1000.0)
+def _score(k: int) -> str:
+    return f"double({mixed(k + 80, PRIME_SCORE)} % 700 + 300) / 1000D"
 
 
-def keypoints() -> Column:
+def _keypoints() -> str:
     """17 points, NULL on error events."""
-    points = F.struct(
-        F.array(*[_xy(k) for k in range(KEYPOINT_COUNT)]).alias("coords"),
-        F.array(*[_score(k) for k in range(KEYPOINT_COUNT)]).alias("scores"),
+    coords = ", ".join(_xy(k) for k in range(KEYPOINT_COUNT))
+    scores = ", ".join(_score(k) for k in range(KEYPOINT_COUNT))
+    return (
+        f"CASE WHEN event_type <> 'error' THEN "
+        f"named_struct('coords', array({coords}), 'scores', array({scores})) END AS keypoints"
     )
-    return F.when(F.col("event_type") != "error", points)
 
 
-def box() -> Column:
-    x1 = mixed(1, PRIME_X) % 120
-    y1 = mixed(2, PRIME_Y) % 90
-    return F.struct(
-        x1.cast("double").alias("x1"),
-        y1.cast("double").alias("y1"),
-        (x1 + 60 + mixed(5, PRIME_W) % 100).cast("double").alias("x2"),
-        (y1 + 80 + mixed(6, PRIME_H) % 120).cast("double").alias("y2"),
-    )
+def _box() -> str:
+    x1, y1 = f"{mixed(1, PRIME_X)} % 120", f"{mixed(2, PRIME_Y)} % 90"
+    x2 = f"{x1} + 60 + {mixed(5, PRIME_W)} % 100"
+    y2 = f"{y1} + 80 + {mixed(6, PRIME_H)} % 120"
+    corners = (("x1", x1), ("y1", y1), ("x2", x2), ("y2", y2))
+    return f"named_struct({', '.join(f'{n!r}, double({v})' for n, v in corners)}) AS bbox"
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+_BODY = ("user_id AS track_id", f"{_score(3)} AS conf", _box(), _keypoints())
 
 
-def person_columns() -> dict[str, Column]:
-    return {
-        "video_id": F.concat(F.lit("v"), (F.col("user_id") % VIDEOS).cast("string")),
-        "frame_idx": F.col("event_id"),
-        "ts": F.col("ts"),
-        "det_idx": F.lit(0).cast("int"),
-        "track_id": F.col("user_id"),
-        "conf": _score(3),
-        "bbox": box(),
-        "keypoints": keypoints(),
-    }
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def persons_of(events_df: DataFrame) -> DataFrame:
-    return events_df.withColumns(_terms()).select(*[c.alias(n) for n, c in person_columns().items()])
+def _with_terms(events_df: DataFrame) -> DataFrame:
+    return events_df.selectExpr("event_id", "ts", "user_id", "event_type", *_terms())
 
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tracked person per event."""
-    return persons_of(events(spark, sf_dir))
-
-
-def _frame() -> Column:
-    return F.floor(F.col("event_id") / F.lit(BOXES_PER_FRAME)).cast("bigint")
+    return _with_terms(events(spark, sf_dir)).selectExpr(
+        f"concat('v', string(user_id % {VIDEOS})) AS video_id",
+        "event_id AS frame_idx",
+        "ts",
+        "0 AS det_idx",
+        *_BODY,
+    )
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat, untracked detections: 8 per frame."""
-    return events(spark, sf_dir).withColumns(_terms()).select(
-        F.concat(F.lit("v"), (_frame() % VIDEOS).cast("string")).alias("video_id"),
-        _frame().alias("frame_idx"),
-        F.col("ts"),
-        (F.col("event_id") % BOXES_PER_FRAME).cast("int").alias("det_idx"),
-        F.col("user_id").alias("track_id"),
-        _score(3).alias("conf"),
-        box().alias("bbox"),
-        keypoints().alias("keypoints"),
+    frame = f"bigint(floor(event_id / {BOXES_PER_FRAME}))"
+    return _with_terms(events(spark, sf_dir)).selectExpr(
+        f"concat('v', string({frame} % {VIDEOS})) AS video_id",
+        f"{frame} AS frame_idx",
+        "ts",
+        f"int(event_id % {BOXES_PER_FRAME}) AS det_idx",
+        *_BODY,
     )
 
 

@@ -43,84 +43,95 @@ def joint_index(name: str) -> int:
 
 def joint_xy(name: str, keypoints: str = "keypoints") -> Column:
     """``STRUCT<x, y>`` of a joint, NULL when the person has no such keypoint."""
-    return F.get(F.col(f"{keypoints}.coords"), F.lit(joint_index(name)))
+    return F.expr(f"get({keypoints}.coords, {joint_index(name)})")
 
 
 def joint_score(name: str, keypoints: str = "keypoints") -> Column:
-    return F.get(F.col(f"{keypoints}.scores"), F.lit(joint_index(name)))
+    return F.expr(f"get({keypoints}.scores, {joint_index(name)})")
 
 
-def confidence_gate(scores: Sequence[Column], min_confidence: float) -> Column:
-    """True when the lowest of ``scores`` reaches ``min_confidence`` (equal passes).
+def side_gate(side: str, joints: Sequence[str], min_confidence: float, keypoints: str = "keypoints") -> Column:
+    """True when the lowest score of the side's joints reaches ``min_confidence`` (equal passes).
 
     A NULL or NaN score never passes. Each score is compared on its own because
     ``least`` skips NULLs and NaN sorts above every number.
     """
-    gate = F.lit(True)
-    for score in scores:
-        gate = gate & score.isNotNull() & ~F.isnan(score) & (score >= F.lit(float(min_confidence)))
-    return gate
+    return F.expr(_gate(side, joints, min_confidence, keypoints))
 
 
-def cosine(ux: Column, uy: Column, vx: Column, vy: Column) -> Column:
-    """Cosine between two limbs; a limb of length zero gives 0, hence 90 degrees."""
-    lengths = F.sqrt(ux * ux + uy * uy) * F.sqrt(vx * vx + vy * vy)
-    return (ux * vx + uy * vy) / (lengths + F.lit(LIMB_EPSILON))
+def _gate(side: str, joints: Sequence[str], min_confidence: float, keypoints: str) -> str:
+    scores = [f"get({keypoints}.scores, {joint_index(f'{side}_{joint}')})" for joint in joints]
+    passes = [
+        f"coalesce({score} >= double('{float(min_confidence)}') AND NOT isnan({score}), false)"
+        for score in scores
+    ]
+    return f"({' AND '.join(passes)})"
 
 
-def degrees_of(cos: Column) -> Column:
-    """Angle of a clipped cosine. NULL stays NULL and NaN stays NaN.
+def chosen_side(joints: Sequence[str], min_confidence: float, keypoints: str = "keypoints") -> Column:
+    """Name of the first side that passes the gate, left before right, else NULL."""
+    cases = [f"WHEN {_gate(side, joints, min_confidence, keypoints)} THEN '{side}'" for side in SIDES]
+    return F.expr(f"CASE {' '.join(cases)} END")
 
-    The NaN branch is explicit because ``least(1, NaN)`` is 1 in Spark.
-    """
-    clipped = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cos))
-    return F.when(F.isnan(cos), F.lit(float("nan"))).when(
-        cos.isNotNull(), F.degrees(F.acos(clipped))
-    )
 
+def cosine(u: tuple[str, str], v: tuple[str, str]) -> Column:
+    """Cosine between two limbs given by their columns; a limb of length zero gives 0, hence 90
+    degrees."""
+    (ux, uy), (vx, vy) = u, v
+    lengths = f"sqrt({ux} * {ux} + {uy} * {uy}) * sqrt({vx} * {vx} + {vy} * {vy})"
+    return F.expr(f"({ux} * {vx} + {uy} * {vy}) / ({lengths} + double('{LIMB_EPSILON}'))")
 
-def side_gate(side: str, joints: Sequence[str], min_confidence: float, keypoints: str = "keypoints") -> Column:
-    scores = [joint_score(f"{side}_{joint}", keypoints) for joint in joints]
-    return confidence_gate(scores, min_confidence)
 
+def degrees_of(cos: str) -> Column:
+    """Angle of a cosine column, clipped. NULL stays NULL and NaN stays NaN.
 
-def chosen_side(joints: Sequence[str], min_confidence: float, keypoints: str = "keypoints") -> Column:
-    """Name of the first side that passes the gate, left before right, else NULL."""
-    return F.coalesce(
-        *[F.when(side_gate(side, joints, min_confidence, keypoints), F.lit(side)) for side in SIDES]
+    The NaN branch is explicit because ``least(1, NaN)`` is 1 in Spark, the NULL one because
+    ``least`` skips NULLs.
+    """
+    return F.expr(
+        f"CASE WHEN isnan({cos}) THEN double('NaN') "
+        f"WHEN {cos} IS NOT NULL THEN degrees(acos(least(1D, greatest(-1D, {cos})))) END"
     )
 
 
-def sided_xy(side: Column, joint: str, keypoints: str = "keypoints") -> Column:
-    """``STRUCT<x, y>`` of a joint on the side named by a column; NULL without a side."""
-    index = F.coalesce(
-        *[F.when(side == F.lit(s), F.lit(joint_index(f"{s}_{joint}"))) for s in SIDES]
-    )
-    return F.get(F.col(f"{keypoints}.coords"), index)
+def _sided(tag: str, joint: str, keypoints: str) -> str:
+    """A joint's point on the side named by the column ``<tag>_side``."""
+    cases = " ".join(f"WHEN '{side}' THEN {joint_index(f'{side}_{joint}')}" for side in SIDES)
+    return f"get({keypoints}.coords, CASE {tag}_side {cases} END)"
 
 
-def with_angles(
+def with_side_angles(
     df: DataFrame, wanted: Mapping[str, tuple[Sequence[str], float]], keypoints: str = "keypoints"
 ) -> DataFrame:
-    """Add ``<tag>_side`` and ``<tag>_angle`` per wanted ``tag: (three joints, min_confidence)``.
-
-    The angle is the one at the middle joint, on the chosen side. Built in steps (side, limbs,
-    cosine, angle), each used by the next several times, so that every value is computed once
-    per row and the generated methods stay small enough to be compiled. No row is dropped.
-    """
+    """Add ``<tag>_side`` and ``<tag>_angle`` per wanted ``tag: (three joints, min_confidence)``: the
+    angle on the first side that passes the gate. No row is dropped."""
     original = df.columns
     df = df.withColumns(
         {f"{t}_side": chosen_side(joints, gate, keypoints) for t, (joints, gate) in wanted.items()}
     )
+    points = {t: [_sided(t, joint, keypoints) for joint in joints] for t, (joints, _) in wanted.items()}
+    df = with_angles(df, points)
+    return df.select(*original, *[f"{t}_{n}" for t in wanted for n in ("side", "angle")])
+
+
+def with_angles(df: DataFrame, wanted: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Add ``<tag>_angle``, the angle at the second of three points given as SQL expressions.
+
+    Built in steps (limbs, cosine, angle), each used several times by the next, so that every
+    value is computed once per row and the generated methods stay small enough to be compiled.
+    """
+    original = df.columns
     limbs = {}
-    for t, (joints, _) in wanted.items():
-        a, b, c = (sided_xy(F.col(f"{t}_side"), joint, keypoints) for joint in joints)
+    for t, (a, b, c) in wanted.items():
         for axis in ("x", "y"):
-            limbs[f"{t}_u{axis}"] = a[axis] - b[axis]
-            limbs[f"{t}_v{axis}"] = c[axis] - b[axis]
+            limbs[f"{t}_u{axis}"] = F.expr(f"{a}.{axis} - {b}.{axis}")
+            limbs[f"{t}_v{axis}"] = F.expr(f"{c}.{axis} - {b}.{axis}")
     df = df.withColumns(limbs)
     df = df.withColumns(
-        {f"{t}_cos": cosine(*[F.col(f"{t}_{n}") for n in ("ux", "uy", "vx", "vy")]) for t in wanted}
+        {
+            f"{t}_cos": cosine((f"{t}_ux", f"{t}_uy"), (f"{t}_vx", f"{t}_vy"))
+            for t in wanted
+        }
     )
-    df = df.withColumns({f"{t}_angle": degrees_of(F.col(f"{t}_cos")) for t in wanted})
-    return df.select(*original, *[f"{t}_{n}" for t in wanted for n in ("side", "angle")])
+    df = df.withColumns({f"{t}_angle": degrees_of(f"{t}_cos") for t in wanted})
+    return df.select(*original, *[f"{t}_angle" for t in wanted])

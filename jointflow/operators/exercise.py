@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from jointflow.config import Machine, Registry
 from jointflow.functions.labels import rep_feedback
-from jointflow.functions.pose import with_angles
+from jointflow.functions.pose import with_side_angles
 from jointflow.schema import EXERCISE_STATE, PERSON_KEY, TRACK_KEY, TRACK_ORDER
 
 #: About nine minutes at 30 frames a second; a track has at most one box per frame.
@@ -125,7 +125,7 @@ def tracked_angles(persons: DataFrame, machines: Sequence[Machine], keep: Sequen
     df = persons.filter(
         F.col("video_id").isNotNull() & F.col("track_id").isNotNull() & F.col("frame_idx").isNotNull()
     )
-    df = with_angles(
+    df = with_side_angles(
         df, {f"_m{m.ordinal}": (m.joints, m.min_confidence) for m in machines if m.angle is None}
     )
     own = {f"_m{m.ordinal}_angle": m.angle for m in machines if m.angle is not None}

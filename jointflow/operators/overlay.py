@@ -1,19 +1,15 @@
 """What to draw on a frame, as rows: skeleton lines, keypoint dots, id and exercise texts.
 
-Every item has the fields of ``ITEM``; a person's items form one array, so a person is read once and
-all kinds of items come out of one projection.
+A person's items form one array, so a person is read once and all kinds of items come out of one
+projection.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jointflow.functions.boxes import pixel
-from jointflow.functions.labels import color_slot, exercise_text, id_text
+from jointflow.functions.labels import color_slot, exercise_text
 from jointflow.schema import FRAME_KEY, PERSON_KEY
 
 # The skeleton as pairs of keypoint indices, and the drawing style.
@@ -38,99 +34,111 @@ FILLED = -1
 ID_OFFSET, ID_SCALE, ID_THICKNESS = 10, 0.6, 2
 TEXT_OFFSET, TEXT_STEP, TEXT_SCALE, TEXT_THICKNESS = 28, 18, 0.5, 1
 
-ITEM = (
-    "STRUCT<kind STRING, idx INT, x1 INT, y1 INT, x2 INT, y2 INT, "
-    "size DOUBLE, thickness INT, text STRING>"
-)
+_ITEM = {
+    "kind": "STRING",
+    "idx": "INT",
+    "x1": "INT",
+    "y1": "INT",
+    "x2": "INT",
+    "y2": "INT",
+    "size": "DOUBLE",
+    "thickness": "INT",
+    "text": "STRING",
+}
+_NONE = f"CAST(array() AS ARRAY<STRUCT<{', '.join(f'{n}: {t}' for n, t in _ITEM.items())}>>)"
 
 
-def _item(kind: str, idx: Column, x1, y1, x2=None, y2=None, size=None, thickness=None, text=None) -> Column:
-    def typed(value, type_: str) -> Column:
-        column = value if isinstance(value, Column) else F.lit(value)
-        return column.cast(type_)
-
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        idx.cast("int").alias("idx"),
-        typed(x1, "int").alias("x1"),
-        typed(y1, "int").alias("y1"),
-        typed(x2, "int").alias("x2"),
-        typed(y2, "int").alias("y2"),
-        typed(size, "double").alias("size"),
-        typed(thickness, "int").alias("thickness"),
-        typed(text, "string").alias("text"),
-    )
+def _item(**values: object) -> str:
+    """SQL of one item; fields not given are NULL."""
+    fields = [f"'{n}', CAST({values.get(n, 'NULL')} AS {t})" for n, t in _ITEM.items()]
+    return f"named_struct({', '.join(fields)})"
+
 
+def _pixel(value: str) -> str:
+    """Truncated toward zero; NaN or out-of-range becomes NULL instead of failing the job."""
+    return f"TRY_CAST({value} AS INT)"
 
-def _shown(score: Column) -> Column:
+
+def _shown(score: str) -> str:
     """Strictly above the drawing score; NULL and NaN are not."""
-    return F.coalesce((score > F.lit(DRAW_SCORE)) & ~F.isnan(score), F.lit(False))
+    return f"coalesce({score} > double('{DRAW_SCORE}') AND NOT isnan({score}), false)"
 
 
-def _none() -> Column:
-    return F.array().cast(f"ARRAY<{ITEM}>")
+def _line_shown(a: str, b: str) -> str:
+    return f"{_shown(f'get(keypoints.scores, {a})')} AND {_shown(f'get(keypoints.scores, {b})')}"
 
 
 def segment_items() -> Column:
     """Lines of the skeleton whose two ends are both shown."""
-    edges = F.array(
-        *[
-            F.struct(F.lit(i).alias("idx"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-            for i, (a, b) in enumerate(SKELETON)
-        ]
+    edges = ", ".join(
+        f"named_struct('idx', {i}, 'a', {a}, 'b', {b})" for i, (a, b) in enumerate(SKELETON)
+    )
+    ends = {
+        f"{axis}{n}": _pixel(f"get(keypoints.coords, e.{end}).{axis}")
+        for n, end in ((1, "a"), (2, "b"))
+        for axis in ("x", "y")
+    }
+    line = _item(kind="'segment'", idx="e.idx", thickness=LINE_THICKNESS, **ends)
+    drawn = f"filter(array({edges}), e -> {_line_shown('e.a', 'e.b')})"
+    return F.expr(
+        f"CASE WHEN keypoints IS NOT NULL THEN transform({drawn}, e -> {line}) ELSE {_NONE} END"
     )
-    coords, scores = F.col("keypoints.coords"), F.col("keypoints.scores")
-
-    def line(e: Column) -> Column:
-        a, b = F.get(coords, e["a"]), F.get(coords, e["b"])
-        return _item(
-            "segment", e["idx"], pixel(a["x"]), pixel(a["y"]), pixel(b["x"]), pixel(b["y"]),
-            thickness=LINE_THICKNESS,
-        )
-
-    drawn = F.filter(edges, lambda e: _shown(F.get(scores, e["a"])) & _shown(F.get(scores, e["b"])))
-    return F.when(F.col("keypoints").isNotNull(), F.transform(drawn, line)).otherwise(_none())
 
 
 def dot_items() -> Column:
     """Filled dots of the keypoints that are shown."""
-    points = F.transform(
-        F.arrays_zip(F.col("keypoints.coords").alias("coords"), F.col("keypoints.scores").alias("scores")),
-        lambda p, i: F.struct(p["coords"].alias("at"), p["scores"].alias("score"), i.alias("idx")),
+    dot = _item(
+        kind="'dot'",
+        idx="i",
+        x1=_pixel("get(keypoints.coords, i).x"),
+        y1=_pixel("get(keypoints.coords, i).y"),
+        size=DOT_RADIUS,
+        thickness=FILLED,
     )
-    dots = F.transform(
-        F.filter(points, lambda p: _shown(p["score"])),
-        lambda p: _item(
-            "dot", p["idx"], pixel(p["at"]["x"]), pixel(p["at"]["y"]), size=DOT_RADIUS, thickness=FILLED
-        ),
+    drawn = (
+        f"filter(sequence(0, size(keypoints.scores) - 1), i -> {_shown('get(keypoints.scores, i)')})"
+    )
+    return F.expr(
+        f"CASE WHEN size(keypoints.scores) > 0 THEN transform({drawn}, i -> {dot}) ELSE {_NONE} END"
     )
-    return F.when(F.col("keypoints").isNotNull(), dots).otherwise(_none())
 
 
 def id_items() -> Column:
     """The track id above the box; also for a person without keypoints."""
-    return F.array(
-        _item(
-            "id", F.lit(0), pixel(F.col("bbox.x1")), pixel(F.col("bbox.y1")) - ID_OFFSET,
-            size=ID_SCALE, thickness=ID_THICKNESS, text=id_text(F.col("track_id")),
-        )
+    label = _item(
+        kind="'id'",
+        idx=0,
+        x1=_pixel("bbox.x1"),
+        y1=f"{_pixel('bbox.y1')} - {ID_OFFSET}",
+        size=ID_SCALE,
+        thickness=ID_THICKNESS,
+        text="concat('ID:', string(track_id))",
     )
+    return F.expr(f"array({label})")
+
+
+def exercise_items() -> Column:
+    """One text per active exercise, stacked upwards in exercise order. Needs ``_texts``."""
+    label = _item(
+        kind="'exercise'",
+        idx="s.ordinal",
+        x1=_pixel("bbox.x1"),
+        y1=f"{_pixel('bbox.y1')} - {TEXT_OFFSET} - s.ordinal * {TEXT_STEP}",
+        size=TEXT_SCALE,
+        thickness=TEXT_THICKNESS,
+        text="s.text",
+    )
+    return F.expr(f"transform(_texts, s -> {label})")
 
 
-def exercise_items(states: str = "states") -> Column:
-    """One text per active exercise, stacked upwards in exercise order."""
+def _texts() -> Column:
     return F.transform(
-        states,
-        lambda s: _item(
-            "exercise",
-            s["ordinal"],
-            pixel(F.col("bbox.x1")),
-            pixel(F.col("bbox.y1")) - TEXT_OFFSET - s["ordinal"] * TEXT_STEP,
-            size=TEXT_SCALE,
-            thickness=TEXT_THICKNESS,
-            text=exercise_text(s["exercise"], s["rep_count"], s["angle"]),
+        "states",
+        lambda s: F.struct(
+            s["ordinal"].alias("ordinal"),
+            exercise_text(s["exercise"], s["rep_count"], s["angle"]).alias("text"),
         ),
-    )
+    ).alias("_texts")
 
 
 def _rows(persons: DataFrame, items: Column) -> DataFrame:
@@ -151,7 +159,7 @@ def id_labels(persons: DataFrame) -> DataFrame:
 
 
 def exercise_labels(persons_with_states: DataFrame) -> DataFrame:
-    return _rows(persons_with_states, exercise_items())
+    return _rows(persons_with_states.select("*", _texts()), exercise_items())
 
 
 def overlay(persons_with_states: DataFrame) -> DataFrame:
@@ -161,10 +169,9 @@ def overlay(persons_with_states: DataFrame) -> DataFrame:
     shuffle by frame: the items before a person are a running sum of item counts over the few
     persons of the frame, and the items themselves are made after it.
     """
-    scores = F.col("keypoints.scores")
-    lines = [_shown(F.get(scores, F.lit(a))) & _shown(F.get(scores, F.lit(b))) for a, b in SKELETON]
-    counts = [line.cast("int") for line in lines]
-    counts += [F.coalesce(F.size(F.filter(scores, _shown)), F.lit(0)), F.lit(1), F.size("states")]
+    lines = " + ".join(f"int({_line_shown(str(a), str(b))})" for a, b in SKELETON)
+    dots = f"coalesce(size(filter(keypoints.scores, s -> {_shown('s')})), 0)"
+    count = F.expr(f"{lines} + greatest(0, {dots}) + 1 + size(states)")
     earlier = (
         Window.partitionBy(*FRAME_KEY)
         .orderBy("det_idx")
@@ -172,8 +179,9 @@ def overlay(persons_with_states: DataFrame) -> DataFrame:
     )
     items = F.concat(segment_items(), dot_items(), id_items(), exercise_items())
     return (
-        persons_with_states.select(*PERSON_KEY, "track_id", "bbox", "keypoints", "states")
-        .withColumn("_count", reduce(add, counts))
+        persons_with_states.select(
+            *PERSON_KEY, "track_id", "bbox", "keypoints", _texts(), count.alias("_count")
+        )
         .withColumn("_before", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
         .select(
             *PERSON_KEY,
@@ -183,7 +191,7 @@ def overlay(persons_with_states: DataFrame) -> DataFrame:
         )
         .select(
             *PERSON_KEY,
-            (F.col("_before") + F.col("_pos") + 1).cast("int").alias("z"),
+            F.expr("int(_before + _pos + 1)").alias("z"),
             "color_idx",
             "_item.*",
         )

@@ -59,10 +59,11 @@ class _RepCounter(StatefulProcessor):
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
-        # A track's rows of one micro-batch come in any order and several pieces.
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(
-            ["frame_idx", "det_idx"], kind="stable", ignore_index=True
-        )
+        # A track's rows of one micro-batch come in any order and several pieces, and a row that
+        # was delivered twice counts once, in one micro-batch as over several.
+        order = ["frame_idx", "det_idx"]
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
+        pdf = pdf.drop_duplicates(order, ignore_index=True)
         n = len(self.limits)
         if self.state.exists():
             frame, det, down, reps, angle = self.state.get()
@@ -116,8 +117,8 @@ def stream_exercise_states(
     """State of every active exercise for every person row of a stream, as the batch scan gives it.
 
     The joints are evaluated in the JVM; only keys and one angle per exercise reach the stateful
-    step. Rows not newer than a track's state are skipped: micro-batches must follow the
-    frame order, rows inside one may come in any order. With ``ttl_ms`` the state of a track
+    step. Rows not newer than a track's state are skipped, repeated rows as well: micro-batches must
+    follow the frame order, rows inside one may come in any order. With ``ttl_ms`` the state of a track
     not seen for that long (processing time) is dropped and the track starts over; such a query must
     be stopped or triggered once, as it runs empty batches to watch the clock.
     """

@@ -351,7 +351,7 @@ def rep_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rep_count_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks small enough that every track is cut many times."""
-    rows = squat_rows(spark, sf_dir, chunk_frames=500)
+    rows = squat_rows(spark, sf_dir, cut=500)
     return rounded(rows.select(*PERSON_KEY, "track_id", "rep_count", "phase", "angle"))
 
 
@@ -375,7 +375,7 @@ def rep_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rep_count_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = {"squat": {**CONFIG["squat"], "down_threshold": 120, "up_threshold": 60}}
-    states = ex.track_states(views.persons(spark, sf_dir), machines(config), chunk_frames=2000)
+    states = ex.track_states(views.persons(spark, sf_dir), machines(config), cut=2000)
     return ex.state_rows(states).select(*PERSON_KEY, "track_id", "rep_count", "phase", "feedback")
 
 

@@ -2,11 +2,11 @@
 
 A track's rows drive a two-state counter (up, down) per exercise. Every row either
 sets the phase, flips it (only possible when ``down > up``) or leaves it alone, so a run
-of rows acts on the phase as one of those three again. That makes the scan splittable:
-tracks are cut into chunks of ``chunk_frames`` frames, each chunk is scanned for both
-possible starting phases, the few chunk results are folded per track, and the phase, count
-and angle found at each chunk's start are joined back. One very long track thus spreads over
-as many tasks as it has chunks, and both passes read the same shuffle.
+of rows acts on the phase as one of those three again. That makes the scan splittable, for the case
+that one track holds a large share of all rows: such a track is cut into chunks of frames, each
+chunk is scanned for both possible starting phases, the few chunk results are folded per
+track, and the phase, count and angle found at each chunk's start are joined back. Tracks
+of ordinary length are scanned in one piece by the same windows.
 """
 
 from __future__ import annotations
@@ -21,9 +21,17 @@ from jointflow.config import Machine, Registry
 from jointflow.functions.labels import rep_feedback
 from jointflow.functions.pose import with_side_angles
 from jointflow.schema import EXERCISE_STATE, PERSON_KEY, TRACK_KEY, TRACK_ORDER
+from jointflow.session import written
 
-#: About nine minutes at 30 frames a second; a track has at most one box per frame.
-CHUNK_FRAMES = 16_384
+#: Rows a chunk of a long track should have. Tracks of up to twice as many (18 hours at 30 frames
+#: a second) stay in one piece.
+CHUNK_ROWS = 1_000_000
+#: Long tracks to send to every executor at most (about 50 bytes each); more are joined by shuffle.
+BROADCAST_TRACKS = 100_000
+
+#: How to cut tracks: ``"auto"`` cuts only long ones, a number cuts all of them every so many frames, None
+#: none.
+Cut = int | str | None
 
 Phase = Callable[[Column], Column]
 
@@ -116,17 +124,11 @@ def _state(machine: Machine, down: Column, was_down: Column, reps: Column, held:
 
 
 def tracked_angles(persons: DataFrame, machines: Sequence[Machine], keep: Sequence[str]) -> DataFrame:
-    """Only what the scan needs crosses the shuffle: keys, one angle per exercise, kept columns.
-
-    Rows without a track (or frame number) belong to no state and are left out, here and not by
-    the join further down, so that both reads of this table have one and the same plan.
-    """
+    """Only what the scan needs crosses the shuffle: keys, one angle per exercise, kept columns."""
     names = [*PERSON_KEY, "track_id", *[c for c in keep if c not in (*PERSON_KEY, "track_id")]]
-    df = persons.filter(
-        F.col("video_id").isNotNull() & F.col("track_id").isNotNull() & F.col("frame_idx").isNotNull()
-    )
     df = with_side_angles(
-        df, {f"_m{m.ordinal}": (m.joints, m.min_confidence) for m in machines if m.angle is None}
+        _tracked(persons),
+        {f"_m{m.ordinal}": (m.joints, m.min_confidence) for m in machines if m.angle is None},
     )
     own = {f"_m{m.ordinal}_angle": m.angle for m in machines if m.angle is not None}
     if own:
@@ -134,15 +136,55 @@ def tracked_angles(persons: DataFrame, machines: Sequence[Machine], keep: Sequen
     return df.select(*names, *[f"_m{m.ordinal}_angle" for m in machines])
 
 
-def _chunked(df: DataFrame, chunk_frames: int) -> DataFrame:
-    chunk = F.floor(F.col("frame_idx") / F.lit(chunk_frames))
-    return df.withColumn(_CHUNK, chunk).filter(F.col(_CHUNK).isNotNull())
+def _tracked(persons: DataFrame) -> DataFrame:
+    """Rows without a track (or frame number) belong to no state and are left out."""
+    return persons.filter(
+        F.col("video_id").isNotNull() & F.col("track_id").isNotNull() & F.col("frame_idx").isNotNull()
+    )
+
+
+def _cutter(persons: DataFrame, cut: Cut) -> Callable[[DataFrame], DataFrame] | None:
+    """A function adding the chunk of each row, NULL for tracks left in one piece; None if all are.
+
+    ``"auto"`` counts the rows per track in a job of its own. It reads three columns and is combined
+    before its shuffle. At most one track in ``2 * CHUNK_ROWS`` rows can be long, but whether their list
+    is small enough to be broadcast is checked all the same.
+    """
+    if cut is None:
+        return None
+    if cut != "auto":
+        chunk = F.floor(F.col("frame_idx") / F.lit(cut))
+        return lambda df: df.withColumn(_CHUNK, chunk).filter(F.col(_CHUNK).isNotNull())
+    pieces = F.ceil(F.col("n") / F.lit(CHUNK_ROWS))
+    frames = F.col("last") - F.col("_first") + 1
+    long = written(
+        _tracked(persons)
+        .groupBy(*TRACK_KEY)
+        .agg(
+            F.count("*").alias("n"),
+            F.min("frame_idx").alias("_first"),
+            F.max("frame_idx").alias("last"),
+        )
+        .filter(F.col("n") > 2 * CHUNK_ROWS)
+        .select(*TRACK_KEY, "_first", F.ceil(frames / pieces).alias("_width")),
+        "long-tracks",
+    )
+    count = long.count()
+    if count == 0:
+        return None
+    listed = F.broadcast(long) if count <= BROADCAST_TRACKS else long
+    chunk = F.floor((F.col("frame_idx") - F.col("_first")) / F.col("_width"))
+    return (
+        lambda df: df.join(listed, list(TRACK_KEY), "left")
+        .withColumn(_CHUNK, chunk)
+        .drop("_first", "_width")
+    )
 
 
 def _chunk_entries(rows: DataFrame, machines: Sequence[Machine]) -> tuple[DataFrame, dict]:
     """One row per (track, chunk): the state of every machine on entering it.
 
-    ``rows`` is already scanned per chunk, so the grouping needs no further shuffle; only this
+    ``rows`` are already scanned per chunk, so the grouping needs no further shuffle; only this
     small table is shuffled by track and folded in chunk order.
     """
     scanned, phases = rows
@@ -189,90 +231,96 @@ def _chunk_entries(rows: DataFrame, machines: Sequence[Machine]) -> tuple[DataFr
 def track_states(
     persons: DataFrame,
     machines: Sequence[Machine],
-    chunk_frames: int | None = CHUNK_FRAMES,
+    cut: Cut = "auto",
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per person row with ``states``, an array with one entry per machine.
 
-    ``keep`` names further person columns to carry along. ``chunk_frames=None`` scans every track
-    in one piece, which is cheaper when no track is long. Every person row yields states, also
-    rows without an angle: they repeat the state reached before.
+    ``keep`` names further person columns to carry along. Every person row yields states, also
+    rows without an angle: they repeat the state reached before. ``cut="auto"`` first counts rows
+    per track; where ``persons`` is costly to compute, write it to a table before, or give another ``cut``.
     """
     if not machines:
         raise ValueError("no active exercise")
-    order = [F.col(c) for c in TRACK_ORDER]
     df = tracked_angles(persons, machines, keep)
     names = [c for c in df.columns if not c.startswith("_m")]
-    if chunk_frames is None:
-        window = Window.partitionBy(*TRACK_KEY).orderBy(*order)
-        df, phases = _scan(df, machines, window, [False])
-        up = F.lit(False)
-        states = [
-            _state(
-                m,
-                phases[t][0](up),
-                phases[t][1](up),
-                F.col(f"{t}_reps_False"),
-                F.col(f"{t}_held"),
-            )
-            for m in machines
-            for t in [f"_m{m.ordinal}"]
-        ]
-        return df.select(*names, F.array(*states).alias("states"))
+    cutter = _cutter(persons, cut)
+    if cutter is None:
+        return _scan_whole(df, machines).select(*names, "states")
 
-    window = Window.partitionBy(*TRACK_KEY, _CHUNK).orderBy(*order)
-    scanned, phases = _scan(_chunked(df, chunk_frames), machines, window, [False, True])
-    narrow = _chunked(tracked_angles(persons, machines, ()), chunk_frames) if keep else None
-    source = (scanned, phases) if narrow is None else _scan(narrow, machines, window, [False, True])
-    entries, _ = _chunk_entries(source, machines)
+    window = Window.partitionBy(*TRACK_KEY, _CHUNK).orderBy(*TRACK_ORDER)
+    scanned, phases = _scan(cutter(df), machines, window, [False, True])
+    # The chunk results come from the rows of cut tracks only, without the kept columns. With
+    # nothing kept and all tracks cut, both scans read one and the same shuffle.
+    narrow = cutter(tracked_angles(persons, machines, ())).filter(F.col(_CHUNK).isNotNull())
+    entries, _ = _chunk_entries(_scan(narrow, machines, window, [False, True]), machines)
     carried = [f"_m{m.ordinal}_{c}" for m in machines for c in ("start", "base", "from")]
-    joined = scanned.join(entries.select(*TRACK_KEY, _CHUNK, *carried), [*TRACK_KEY, _CHUNK])
+    joined = scanned.join(
+        entries.select(*TRACK_KEY, _CHUNK, *carried), [*TRACK_KEY, _CHUNK], "left"
+    )
     states = []
     for m in machines:
         t = f"_m{m.ordinal}"
-        start = F.col(f"{t}_start")
+        start = F.coalesce(f"{t}_start", F.lit(False))
         reps = F.when(start, F.col(f"{t}_reps_True")).otherwise(F.col(f"{t}_reps_False"))
         states.append(
             _state(
                 m,
                 phases[t][0](start),
                 phases[t][1](start),
-                F.col(f"{t}_base") + reps,
+                F.coalesce(f"{t}_base", F.lit(0)) + reps,
                 F.coalesce(f"{t}_held", f"{t}_from"),
             )
         )
     return joined.select(*names, F.array(*states).alias("states"))
 
 
-def final_states(
-    persons: DataFrame, machines: Sequence[Machine], chunk_frames: int = CHUNK_FRAMES
-) -> DataFrame:
-    """Last state per (video, track, exercise), straight from the chunk results.
-
-    Nothing is joined back to the rows, so this costs one shuffle of the narrow rows plus
-    one of the chunk table.
-    """
-    window = Window.partitionBy(*TRACK_KEY, _CHUNK).orderBy(*TRACK_ORDER)
-    scan = _scan(
-        _chunked(tracked_angles(persons, machines, ()), chunk_frames), machines, window, [False, True]
-    )
-    chunks, folded = _chunk_entries(scan, machines)
+def _scan_whole(df: DataFrame, machines: Sequence[Machine]) -> DataFrame:
+    window = Window.partitionBy(*TRACK_KEY).orderBy(*TRACK_ORDER)
+    df, phases = _scan(df, machines, window, [False])
+    up = F.lit(False)
     states = []
     for m in machines:
         t = f"_m{m.ordinal}"
-        now, was, _, _ = folded[t]
+        now, was, _, _ = phases[t]
         states.append(
-            _state(
-                m,
-                now(F.lit(False)),
-                was(F.lit(False)),
-                F.col(f"{t}_base") + F.col(f"{t}_gain"),
-                F.coalesce(f"{t}_held", f"{t}_from"),
-            )
+            _state(m, now(up), was(up), F.col(f"{t}_reps_False"), F.col(f"{t}_held"))
         )
-    last = F.max_by(F.array(*states), F.col(_CHUNK)).alias("states")
+    return df.withColumn("states", F.array(*states))
+
+
+def final_states(
+    persons: DataFrame, machines: Sequence[Machine], cut: Cut = "auto"
+) -> DataFrame:
+    """Last state per (video, track, exercise).
+
+    Grouping follows the partitioning of the scan, so the rows are shuffled once; of cut tracks
+    only the chunk results go on, nothing is joined back to the rows.
+    """
+    cutter = _cutter(persons, cut)
+    df = tracked_angles(persons, machines, ())
+    if cutter is None:
+        rows = _scan_whole(df, machines)
+        last = F.max_by("states", F.struct(*TRACK_ORDER)).alias("states")
+    else:
+        window = Window.partitionBy(*TRACK_KEY, _CHUNK).orderBy(*TRACK_ORDER)
+        rows, folded = _chunk_entries(_scan(cutter(df), machines, window, [False, True]), machines)
+        states = []
+        for m in machines:
+            t = f"_m{m.ordinal}"
+            now, was, _, _ = folded[t]
+            states.append(
+                _state(
+                    m,
+                    now(F.lit(False)),
+                    was(F.lit(False)),
+                    F.col(f"{t}_base") + F.col(f"{t}_gain"),
+                    F.coalesce(f"{t}_held", f"{t}_from"),
+                )
+            )
+        last = F.max_by(F.array(*states), F.coalesce(F.col(_CHUNK), F.lit(0))).alias("states")
     return (
-        chunks.groupBy(*TRACK_KEY)
+        rows.groupBy(*TRACK_KEY)
         .agg(last)
         .select(*TRACK_KEY, F.inline("states"))
         .drop("ordinal", "completed")
@@ -288,7 +336,7 @@ def exercise_states(
     persons: DataFrame,
     config: Mapping[str, Mapping],
     registry: Registry | None = None,
-    chunk_frames: int | None = CHUNK_FRAMES,
+    cut: Cut = "auto",
 ) -> DataFrame:
     """State of every active exercise for every person row.
 
@@ -299,7 +347,7 @@ def exercise_states(
     machines = registry.machines(config)
     parts = []
     if machines:
-        parts.append(state_rows(track_states(persons, machines, chunk_frames)).select(*columns))
+        parts.append(state_rows(track_states(persons, machines, cut)).select(*columns))
     for _, name, settings, transform in registry.custom(config):
         own = transform(persons, settings).withColumn("exercise", F.lit(name))
         parts.append(own.select(*[F.col(f.name).cast(f.dataType) for f in EXERCISE_STATE.fields]))

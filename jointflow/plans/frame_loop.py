@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from jointflow.config import DEFAULT_CONFIDENCE, DEFAULT_IOU, Registry
 from jointflow.operators.detections import filter_frames, parse_detections, suppress_frames
-from jointflow.operators.exercise import CHUNK_FRAMES, track_states
+from jointflow.operators.exercise import Cut, track_states
 from jointflow.operators.overlay import overlay
 
 
@@ -25,12 +25,12 @@ def frame_states(
     registry: Registry | None = None,
     confidence: float = DEFAULT_CONFIDENCE,
     iou: float = DEFAULT_IOU,
-    chunk_frames: int | None = CHUNK_FRAMES,
+    cut: Cut = "auto",
     keep: tuple[str, ...] = ("bbox", "keypoints"),
 ) -> DataFrame:
     """Person rows with the states of all configured counters."""
     machines = (registry or Registry()).machines(config)
-    return track_states(persons_of(frames, confidence, iou), machines, chunk_frames, keep)
+    return track_states(persons_of(frames, confidence, iou), machines, cut, keep)
 
 
 def frame_overlay(

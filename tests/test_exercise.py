@@ -18,8 +18,9 @@ def check(states, rows, down, up, exercise="squat"):
         assert all(map(same, have, want)), (r, want)
 
 
-@pytest.mark.parametrize("chunk", [None, 7, 100, 10**6])
-def test_states_match_the_walk(spark, chunk):
+@pytest.mark.parametrize("chunk", [None, 7, 100, "auto"])
+def test_states_match_the_walk(spark, chunk, monkeypatch):
+    monkeypatch.setattr(ex, "CHUNK_ROWS", 20)
     rows = random_rows(chunk or 1)
     df = spark.createDataFrame(rows, ANGLES)
     machines = [angle_machine(d, u, f"e{i}", i) for i, (d, u) in enumerate(LIMITS)]
@@ -53,26 +54,37 @@ def test_rows_without_keypoints_keep_the_start_state(spark):
     assert rows[1].phase == "down" and rows[1].angle == pytest.approx(30, abs=0.01)
 
 
-def test_one_track_with_most_rows(spark):
-    """A long track is cut into chunks that spread over tasks; nothing is lost."""
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_one_track_with_most_rows(spark, monkeypatch, broadcast):
+    """A long track is cut into chunks that spread over tasks, short ones are not; nothing is lost."""
+    monkeypatch.setattr(ex, "CHUNK_ROWS", 500)
+    monkeypatch.setattr(ex, "BROADCAST_TRACKS", broadcast)
     long = [("v", f, 0, 7, (f * 37 % 181) * 1.0) for f in range(6000)]
     rows = long + [("v", f, t, t, (f * 53 % 181) * 1.0) for t in range(10, 20) for f in range(50)]
     df = spark.createDataFrame(rows, ANGLES).repartition(4)
-    check(ex.track_states(df, [angle_machine(90, 160)], 500), rows, 90, 160)
+    machines = [angle_machine(90, 160)]
+    check(ex.track_states(df, machines), rows, 90, 160)
+    cut = ex._cutter(df, "auto")(df).groupBy("track_id", "_chunk").count().collect()
+    assert len(cut) == 12 + 10 and max(r["count"] for r in cut) == 500
+    last = {r[3]: count_rows(rows, 90, 160)[r[:3]] for r in sorted(rows, key=lambda r: r[1])}
+    for r in ex.final_states(df, machines).collect():
+        assert (r.rep_count, r.phase, r.angle, r.feedback) == last[r.track_id]
 
 
 def test_untracked_rows_have_no_state(spark):
     rows = [("v", 0, 0, None, 10.0), ("v", 1, 0, 1, 10.0)]
     df = spark.createDataFrame(rows, ANGLES)
-    for chunk in (None, 10):
+    for chunk in (None, 10, "auto"):
         assert ex.track_states(df, [angle_machine(90, 160)], chunk).count() == 1
 
 
-def test_final_states_are_the_last_rows(spark):
+@pytest.mark.parametrize("cut", [None, 20, "auto"])
+def test_final_states_are_the_last_rows(spark, cut, monkeypatch):
+    monkeypatch.setattr(ex, "CHUNK_ROWS", 30)
     rows = random_rows(5)
     df = spark.createDataFrame(rows, ANGLES)
     machines = [angle_machine(d, u, f"e{i}", i) for i, (d, u) in enumerate(LIMITS)]
-    final = ex.final_states(df, machines, 20)
+    final = ex.final_states(df, machines, cut).cache()
     states = ex.state_rows(ex.track_states(df, machines, None)).select(*EXERCISE_STATE.fieldNames())
     last = ex.latest_states(states).select(*final.columns)
     assert final.exceptAll(last).isEmpty() and last.exceptAll(final).isEmpty()
@@ -162,7 +174,7 @@ def test_map_and_person_exercises(spark):
 
 
 def test_plan_shuffles_rows_once(spark, tmp_path):
-    """Both passes of the scan read one shuffle, and only six leg joints' arrays are read."""
+    """Both passes of a cut scan read one shuffle; a whole scan has one, also for last states."""
     df = person(spark, [{"frame_idx": f, "points": leg("left", f)} for f in range(50)])
     df.write.parquet(str(tmp_path / "p"))
     stored = spark.read.parquet(str(tmp_path / "p"))
@@ -173,3 +185,9 @@ def test_plan_shuffles_rows_once(spark, tmp_path):
     assert plan.count("ReusedExchange") == 1
     assert "bbox" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    whole = ex.state_rows(ex.track_states(stored, Registry().machines(DEFAULT_CONFIG)))
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    final = ex.final_states(stored, Registry().machines(DEFAULT_CONFIG))
+    plan = final._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1

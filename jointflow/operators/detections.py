@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jointflow.config import DEFAULT_CONFIDENCE, DEFAULT_IOU
-from jointflow.functions.boxes import overlaps
 from jointflow.operators.crowded import suppress_in_crowds
 from jointflow.schema import DETECTIONS, FRAME_KEY, PERSON_KEY
 from jointflow.session import written
@@ -40,8 +39,8 @@ def _take(frames: DataFrame, kept: Column) -> DataFrame:
 
 def _positions() -> Column:
     # An empty frame needs its own branch: sequence(0, -1) would count down.
-    return F.when(F.size("boxes") > 0, F.sequence(F.lit(0), F.size("boxes") - 1)).otherwise(
-        F.array().cast("array<int>")
+    return F.expr(
+        "CASE WHEN size(boxes) > 0 THEN sequence(0, size(boxes) - 1) ELSE CAST(array() AS ARRAY<INT>) END"
     )
 
 
@@ -55,29 +54,40 @@ def filter_frames(frames: DataFrame, threshold: float = DEFAULT_CONFIDENCE) -> D
     return _take(frames, F.filter(_positions(), enough))
 
 
-def greedy(candidates: Column, iou: float) -> Column:
-    """Greedy suppression inside one array of ``STRUCT<rank, det_idx, box>``, best rank first."""
-    return F.aggregate(
-        F.array_sort(candidates),
-        F.filter(candidates, lambda c: F.lit(False)),
-        lambda kept, box: F.when(
-            F.exists(kept, lambda k: overlaps(k["box"], box["box"], iou)), kept
-        ).otherwise(F.array_append(kept, box)),
+def _greedy(candidates: str, iou: float) -> Column:
+    """Greedy suppression inside one array of ``STRUCT<rank, det_idx, box, area>``, best rank first.
+
+    Written as SQL text: the comparison is evaluated per pair of boxes, so it stops at the first side
+    on which two boxes do not meet.
+    """
+    width = "least(k.box.x2, b.box.x2) - greatest(k.box.x1, b.box.x1)"
+    height = "least(k.box.y2, b.box.y2) - greatest(k.box.y1, b.box.y1)"
+    inter = f"({width}) * ({height})"
+    overlap = (
+        f"{width} > 0 AND {height} > 0 "
+        f"AND {inter} > double('{float(iou)}') * (k.area + b.area - {inter})"
+    )
+    return F.expr(
+        f"aggregate(array_sort({candidates}), filter({candidates}, c -> false), "
+        f"(kept, b) -> CASE WHEN exists(kept, k -> {overlap}) THEN kept ELSE array_append(kept, b) END, "
+        "kept -> array_sort(transform(kept, k -> k.det_idx)))"
+    )
+
+
+def _candidate(det_idx: str, conf: str, box: str) -> str:
+    area = f"greatest(0D, {box}.x2 - {box}.x1) * greatest(0D, {box}.y2 - {box}.y1)"
+    return (
+        f"named_struct('rank', -{conf}, 'det_idx', {det_idx}, 'box', {box}, 'area', {area})"
     )
 
 
 def suppress_frames(frames: DataFrame, iou: float = DEFAULT_IOU) -> DataFrame:
     """Frame rows without boxes that overlap a better box of the frame; order is kept."""
-    candidates = F.transform(
-        _positions(),
-        lambda i: F.struct(
-            (-F.get(F.col("box_conf"), i)).alias("rank"),
-            i.alias("det_idx"),
-            F.get(F.col("boxes"), i).alias("box"),
-        ),
+    one = _candidate("i", "get(box_conf, i)", "get(boxes, i)")
+    frames = frames.withColumn("_at", _positions()).withColumn(
+        "_candidates", F.expr(f"transform(_at, i -> {one})")
     )
-    kept = F.transform(greedy(candidates, iou), lambda k: k["det_idx"])
-    return _take(frames, F.array_sort(kept))
+    return _take(frames, _greedy("_candidates", iou)).drop("_at", "_candidates")
 
 
 def suppress_duplicates(
@@ -106,16 +116,11 @@ def suppress_duplicates(
 def _suppress_gathered(rows: DataFrame, iou: float) -> DataFrame:
     payload = [c for c in rows.columns if c not in FRAME_KEY]
     gathered = rows.groupBy(*FRAME_KEY).agg(F.collect_list(F.struct(*payload)).alias("_found"))
-    candidates = F.transform(
-        "_found",
-        lambda d: F.struct(
-            (-d["conf"]).alias("rank"), d["det_idx"].alias("det_idx"), d["bbox"].alias("box")
-        ),
-    )
-    kept = F.transform(greedy(candidates, iou), lambda k: k["det_idx"])
+    one = _candidate("d.det_idx", "d.conf", "d.bbox")
     return (
-        gathered.withColumn("_kept", kept)
-        .withColumn("_found", F.filter("_found", lambda d: F.array_contains("_kept", d["det_idx"])))
+        gathered.withColumn("_candidates", F.expr(f"transform(_found, d -> {one})"))
+        .withColumn("_kept", _greedy("_candidates", iou))
+        .withColumn("_found", F.expr("filter(_found, d -> array_contains(_kept, d.det_idx))"))
         .select(*FRAME_KEY, F.inline("_found"))
         .select(*rows.columns)
     )

@@ -115,13 +115,22 @@ def suppress_duplicates(
 
 def _suppress_gathered(rows: DataFrame, iou: float) -> DataFrame:
     payload = [c for c in rows.columns if c not in FRAME_KEY]
-    gathered = rows.groupBy(*FRAME_KEY).agg(F.collect_list(F.struct(*payload)).alias("_found"))
     one = _candidate("d.det_idx", "d.conf", "d.bbox")
+    gathered = rows.groupBy(*FRAME_KEY).agg(
+        F.collect_list(F.struct(*payload)).alias("_found")
+    )
+    candidates = F.expr(f"transform(_found, d -> {one})")
+    # Named twice, _kept is computed once per frame: a column used only once would be moved
+    # into the lambda. And as inline gets an expression and not a column, no filter on its size is
+    # derived, which would be pushed below and compute everything again.
+    kept = F.expr(
+        "CASE WHEN size(_kept) = size(_found) THEN _found "
+        "ELSE filter(_found, d -> array_contains(_kept, d.det_idx)) END"
+    )
     return (
-        gathered.withColumn("_candidates", F.expr(f"transform(_found, d -> {one})"))
+        gathered.withColumn("_candidates", candidates)
         .withColumn("_kept", _greedy("_candidates", iou))
-        .withColumn("_found", F.expr("filter(_found, d -> array_contains(_kept, d.det_idx))"))
-        .select(*FRAME_KEY, F.inline("_found"))
+        .select(*FRAME_KEY, F.inline(kept))
         .select(*rows.columns)
     )
 
@@ -145,10 +154,12 @@ def parse_detections(frames: DataFrame) -> DataFrame:
             for name in _PER_DETECTION
         ]
     )
+    # Untracked frames yield no rows. Not a filter: it would be pushed below the steps that made
+    # the arrays and compute them again.
+    tracked = F.when(F.col("boxes").isNotNull() & F.col("track_ids").isNotNull(), zipped)
     found = F.col("found")
     return (
-        tracked_only(frames)
-        .select(*FRAME_KEY, "ts", F.posexplode(zipped).alias("det_idx", "found"))
+        frames.select(*FRAME_KEY, "ts", F.posexplode(tracked).alias("det_idx", "found"))
         .filter(found["boxes"].isNotNull() & found["track_ids"].isNotNull())
         .select(
             *FRAME_KEY,

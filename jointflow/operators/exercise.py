@@ -233,18 +233,20 @@ def track_states(
     machines: Sequence[Machine],
     cut: Cut = "auto",
     keep: Sequence[str] = (),
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """One row per person row with ``states``, an array with one entry per machine.
 
     ``keep`` names further person columns to carry along. Every person row yields states, also
     rows without an angle: they repeat the state reached before. ``cut="auto"`` first counts rows
-    per track; where ``persons`` is costly to compute, write it to a table before, or give another ``cut``.
+    per track; where ``persons`` is costly to compute, write it to a table before, give another
+    ``cut``, or name rows to count instead in ``sized_by``: any that hold at least these rows.
     """
     if not machines:
         raise ValueError("no active exercise")
     df = tracked_angles(persons, machines, keep)
     names = [c for c in df.columns if not c.startswith("_m")]
-    cutter = _cutter(persons, cut)
+    cutter = _cutter(persons if sized_by is None else sized_by, cut)
     if cutter is None:
         return _scan_whole(df, machines).select(*names, "states")
 
@@ -329,7 +331,9 @@ def final_states(
 
 def state_rows(states: DataFrame) -> DataFrame:
     """Exercise-state rows out of the ``states`` arrays."""
-    return states.select(*PERSON_KEY, "track_id", F.inline("states"))
+    # An expression and not the column itself: else a filter on its size is derived and pushed down,
+    # which builds the array twice.
+    return states.select(*PERSON_KEY, "track_id", F.inline(F.flatten(F.array("states"))))
 
 
 def exercise_states(

@@ -28,9 +28,14 @@ def frame_states(
     cut: Cut = "auto",
     keep: tuple[str, ...] = ("bbox", "keypoints"),
 ) -> DataFrame:
-    """Person rows with the states of all configured counters."""
+    """Person rows with the states of all configured counters.
+
+    Long tracks are told by the detections before suppression, which are never fewer and need
+    no work to count.
+    """
     machines = (registry or Registry()).machines(config)
-    return track_states(persons_of(frames, confidence, iou), machines, cut, keep)
+    persons = persons_of(frames, confidence, iou)
+    return track_states(persons, machines, cut, keep, sized_by=parse_detections(frames))
 
 
 def frame_overlay(

@@ -24,10 +24,6 @@ def whole_degrees(angle: Column) -> Column:
     )
 
 
-def id_text(track_id: Column) -> Column:
-    return F.concat(F.lit("ID:"), track_id.cast("string"))
-
-
 def exercise_text(name: Column, rep_count: Column, angle: Column) -> Column:
     return F.concat(
         name, F.lit(": "), rep_count.cast("string"), F.lit(" reps | "), whole_degrees(angle), F.lit("°")

@@ -88,11 +88,18 @@ def scan_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows of a micro-batch at most. A track's rows of one micro-batch are sorted in one task, and all of
+#: them may be of one track.
+LANDING_ROWS = 5_000_000
+
+
 def _land(spark: SparkSession, sf_dir: str, steps: int):
-    """Person files in a landing folder, in ``steps`` ranges of frames one after the other."""
+    """Person files in a landing folder, in ranges of frames one after the other: at least ``steps``,
+    and as many as keep a landing small."""
     persons = views.persons(spark, sf_dir)
     path = shared_folder(spark, "landing")
-    last = views.events(spark, sf_dir).agg(F.max("event_id")).first()[0]
+    last, rows = views.events(spark, sf_dir).agg(F.max("event_id"), F.count("*")).first()
+    steps = max(steps, -(-rows // LANDING_ROWS))
     for step in range(steps):
         first, end = step * (last + 1) // steps, (step + 1) * (last + 1) // steps
         part = persons.filter((F.col("frame_idx") >= first) & (F.col("frame_idx") < end))
@@ -103,8 +110,9 @@ def _land(spark: SparkSession, sf_dir: str, steps: int):
 @query
 def stream_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, checkpoint = shared_folder(spark, "persons"), shared_folder(spark, "checkpoint")
-    (path,) = _land(spark, sf_dir, 1)
-    io.stream_states(io.stream_detections(spark, path, 16, schema=PERSON), out, checkpoint).awaitTermination()
+    for path in _land(spark, sf_dir, 1):
+        persons = io.stream_detections(spark, path, 16, schema=PERSON)
+        io.stream_states(persons, out, checkpoint).awaitTermination()
     return io.scan_persons(spark, out).select(
         *PERSON_KEY,
         "track_id",
@@ -433,12 +441,15 @@ def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streaming
 
 
-def _stream(spark: SparkSession, sf_dir: str, config: Mapping, steps: int, sink) -> str:
+def _stream(
+    spark: SparkSession, sf_dir: str, config: Mapping, steps: int, sink, ttl_ms: int | None = None
+) -> str:
     """Run the stateful query to the end of the input after each landing; the state carries over."""
     out, checkpoint = shared_folder(spark, "states"), shared_folder(spark, "checkpoint")
     for path in _land(spark, sf_dir, steps):
         persons = io.stream_detections(spark, path, schema=PERSON)
-        sink(stream_exercise_states(persons, config, registry()), out, checkpoint).awaitTermination()
+        states = stream_exercise_states(persons, config, registry(), ttl_ms)
+        sink(states, out, checkpoint).awaitTermination()
     return out
 
 
@@ -459,18 +470,12 @@ def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def state_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States that are dropped a day after a track was last seen."""
-    out, checkpoint = shared_folder(spark, "states"), shared_folder(spark, "checkpoint")
-    (path,) = _land(spark, sf_dir, 1)
-    persons = io.stream_detections(spark, path, schema=PERSON)
-    (
-        stream_exercise_states(persons, SQUAT, registry(), ttl_ms=DAY_MS)
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(once=True)
-        .start()
-        .awaitTermination()
-    )
+
+    def once(states: DataFrame, out: str, checkpoint: str):
+        writer = states.writeStream.format("parquet").option("path", out)
+        return writer.option("checkpointLocation", checkpoint).trigger(once=True).start()
+
+    out = _stream(spark, sf_dir, SQUAT, 1, once, ttl_ms=DAY_MS)
     return rounded(spark.read.schema(EXERCISE_STATE).parquet(out))
 
 

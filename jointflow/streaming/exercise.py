@@ -118,7 +118,8 @@ def stream_exercise_states(
 
     The joints are evaluated in the JVM; only keys and one angle per exercise reach the stateful
     step. Rows not newer than a track's state are skipped, repeated rows as well: micro-batches must
-    follow the frame order, rows inside one may come in any order. With ``ttl_ms`` the state of a track
+    follow the frame order, rows inside one may come in any order. A track's rows of one micro-batch
+    are sorted in one task, so bound the micro-batch (``max_files`` of the source). With ``ttl_ms`` the state of a track
     not seen for that long (processing time) is dropped and the track starts over; such a query must
     be stopped or triggered once, as it runs empty batches to watch the clock.
     """

@@ -30,3 +30,12 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["stream_rep_count", "state_ttl"])
+def test_stream_over_many_landings(spark, con, name, monkeypatch):
+    from checks import queries
+
+    monkeypatch.setattr(queries, "LANDING_ROWS", 350)
+    table = QUERIES[name](spark, str(TESTDATA / SF)).toArrow()
+    assert difference(table, con.execute(SQL[name]).to_arrow_table()) is None

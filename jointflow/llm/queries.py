@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jointflow.llm import bpe, lm_scoring, ngram_join, token_output, toxicity
+from jointflow.llm import (
+    bpe,
+    decontamination,
+    license_scan,
+    lm_scoring,
+    ngram_join,
+    pii,
+    sharding,
+    token_output,
+    topk_search,
+    toxicity,
+)
 from jointflow.llm.common import crc_mod
 from jointflow.session import shared_folder
 
@@ -14,11 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm_scoring.score(docs.withColumn("held_out", crc_mod("doc_id", 7) == 2))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +49,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Shards of the query; a cluster names its own.
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return sharding.place(docs, "doc_id", SHARDS).select("doc_id", "slot", "shard")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -43,6 +72,23 @@ def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path, files, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [k.name for k in pii.KINDS if k.base]
+    count = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(name).alias(f"n_{name}") for name in base],
+        F.sha2(pii.digest(F.filter("spans", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"),
+        pii.digest(F.col("spans")).alias("spans"),
+    )
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -51,5 +97,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_scoring, op4_byte_bpe, op6_ngram_jaccard, op7_simple8b, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_lm_scoring,
+        op3_topk_search,
+        op4_byte_bpe,
+        op5_sharding,
+        op6_ngram_jaccard,
+        op7_simple8b,
+        op8_pii,
+        op9_decontamination,
+        op10_toxicity,
+    )
+}
+ORACLES = {
+    "op1_license_scan": license_scan.oracle(),
+    "op3_topk_search": topk_search.oracle(5, "vec_id % 50 = 0"),
+    "op8_pii": pii.oracle(),
+}

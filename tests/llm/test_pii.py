@@ -1,0 +1,105 @@
+import re
+
+import pytest
+from jointflow.llm import pii
+from pyspark.sql import functions as F
+from tables import documents, frame
+
+# The base kinds in their plain form.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def base(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub(r"\D", "", m[0], flags=re.A)
+            ok = {
+                "email": True,
+                "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")),
+                "card": 16 <= len(digits) <= 19 and luhn(digits),
+                "phone": 8 <= len(digits) <= 15,
+            }[kind]
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+TEXTS = [
+    "mail a.b+c@x-y.example.com, _d@e.f and a@b@c.d or x@y.z_q@r.s..t @ no@dot",
+    "a@b" + ".c" * 20_000 + " end",
+    "1.2.3.4.5.6.7.8 256.1.1.1 1.1.1.1 001.002.003.00004 12345.1.1.1 1.2.3.999.1.1.1 9.9.9",
+    "4111 1111 1111 1111 and 4111-1111-1111-1111-1 x4111111111111111y 41111111111111110 4111  1111 1111 1111",
+    "5500005555555559, 6011000990139424; 12 4111 1111 1111 1111 and 4111 1111 1111 1112",
+    "9" * 50_000,
+    "1 " * 30_000,
+    "a" * 60_000 + "@" + "b" * 60_000,
+    "+1 (017) 555-7713, +49.30.123456 +1234567 +12 34 56 78 +1" + " 2" * 40 + " call +44 20 7946 0958.",
+    "😀 é +1 (017) 555-7713 ünï@example.org 10.0.0.1 漢字",
+    "+" * 20_000 + "1" * 8,
+    "IBAN: DE89370400440532013000, GB82WEST12345698765432 DE89370400440532013001 XX89370400440532013000",
+    "xDE89370400440532013000 DE89370400440532013000y FE5949719B6B82BC439E9329B",
+    "phone 555-123-4567 or 555 123 4567; nothing near: " + "z " * 40 + "555.123.4567",
+    "v 1.10.100.1000 +1 (136) 555-7479a b@c.d",
+]
+
+
+def spans(spark, rows):
+    got = pii.find_spans(frame(spark, rows).selectExpr("*", "1 AS spans")).select("doc_id", "spans").collect()
+    return [(r.doc_id, [(s.kind, s.start, s.end) for s in r.spans]) for r in got]
+
+
+def test_base_kinds(spark):
+    for doc, found in spans(spark, list(enumerate(TEXTS))):
+        names = {k.name for k in pii.KINDS if k.base}
+        assert [s for s in found if s[0] in names] == base(TEXTS[doc]), TEXTS[doc][:80]
+
+
+def test_other_kinds(spark):
+    found = dict(spans(spark, list(enumerate(TEXTS))))
+    cut = lambda doc, kind: [TEXTS[doc][a:b] for k, a, b in found[doc] if k == kind]
+    assert cut(11, "iban") == ["DE89370400440532013000", "GB82WEST12345698765432"]
+    assert cut(12, "iban") == []
+    assert cut(13, "phone_local") == ["555-123-4567", "555 123 4567"]
+    # Inside a base span there is no other span.
+    assert cut(8, "phone_local") == cut(14, "phone_local") == []
+
+
+@pytest.mark.parametrize("number", ["4111111111111111", "0", "79927398713", "79927398710", "0000000000000000000"])
+def test_luhn(spark, number):
+    table = spark.createDataFrame([(number,)], "n string")
+    assert table.select(pii.luhn(F.col("n"))).first()[0] == luhn(number)
+
+
+def test_redact(spark):
+    rows = documents(10) + list(enumerate(TEXTS, 5_000))
+    df = pii.find_spans(frame(spark, rows))
+    for r in pii.redact(df).select("doc_id", "text", "spans").collect():
+        if r.doc_id is None or r.doc_id < 5_000:
+            continue
+        text, out, at = TEXTS[r.doc_id - 5_000], "", 0
+        for a, b, kind in sorted((s.start, s.end, s.kind) for s in r.spans):
+            if a >= at:
+                out += text[at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        assert r.text == out + text[at:]
+    # Nulls and texts without spans stay as they are.
+    kept = pii.redact(df).where("size(spans) = 0").select("doc_id", "text").collect()
+    assert {(r.doc_id, r.text) for r in kept} <= set(rows) and (1000, None) in {(r.doc_id, r.text) for r in kept}
+
+
+def test_empty_table(spark):
+    assert pii.redact(pii.find_spans(frame(spark, []))).count() == 0

@@ -220,7 +220,7 @@ def tracker_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
         return segment["det_idx"] + 1
 
     rows = views.boxes(spark, sf_dir).select(*PERSON_KEY, "conf", "bbox")
-    return track_with(rows, by_slot, segment_frames=400).select(*PERSON_KEY, "track_id")
+    return track_with(rows, by_slot).select(*PERSON_KEY, "track_id")
 
 
 @query

@@ -1,15 +1,16 @@
 """Persistent track ids for flat detections.
 
 A tracker is sequential, and one video may hold a large share of all rows. Videos are
-therefore cut into segments of ``segment_frames`` frames. Each segment is tracked on its own, starting
-``warmup_frames`` earlier so that its tracker has seen the persons who are around when the segment
-starts. The detections of those frames are tracked twice, by both neighbours; that tells which
-track of a segment goes on in the next. Chains of such tracks get one id. Neither the result of a
-segment nor the links depend on how Spark distributes the work.
-
-The tracker of a segment is a function of the segment's rows; the default one associates boxes
-in two stages, first the confident detections and then the weaker ones (ByteTrack, 2021), with
-constant velocity in place of a Kalman filter and greedy in place of optimal matching.
+therefore cut into segments of ``segment_frames`` frames that are tracked side by side. Each segment first assumes that
+its tracker has seen the ``warmup_frames`` frames before it only. Then the live tracks with which a segment ended are
+compared with those its successor assumed, as exact numbers; segments that assumed wrongly are tracked again from the
+true ones, until none is left. So ids are those of a tracker that walks whole videos, however the cut falls. After a
+gap longer than the tracker remembers, both sides are empty and nothing is tracked twice.
+
+The tracker associates boxes in two stages, first the confident detections and then the weaker ones (ByteTrack, 2021), with
+constant velocity in place of a Kalman filter and greedy in place of optimal matching. Its live tracks are a set: ties are
+told by place, not by age. A tracker given as a plain function has no state to hand on; it gets whole videos
+unless a cut is asked for.
 """
 
 from __future__ import annotations
@@ -68,30 +69,49 @@ def _match(predicted: np.ndarray, boxes: np.ndarray, least: float) -> list[tuple
     return pairs
 
 
-def two_stage_tracker(config: TrackerConfig = TrackerConfig()) -> Callable[[pd.DataFrame], pd.Series]:
-    """A segment tracker: rows sorted by frame and detection in, local ids (or NA) out.
+#: Live tracks as arrays: local id, last frame, and last box with its speed in eight numbers.
+State = dict[str, np.ndarray]
+
+
+def _empty() -> State:
+    return {"id": np.empty(0, np.int64), "last": np.empty(0, np.int64), "place": np.empty((0, 8))}
+
+
+def _ordered(state: State, frame: int, max_lost: int) -> State:
+    """The tracks that can still be found at ``frame``, in order of place and last frame."""
+    alive = np.flatnonzero(frame - state["last"] <= max_lost)
+    place, last, ids = state["place"][alive], state["last"][alive], state["id"][alive]
+    order = alive[np.lexsort((ids, last, *place.T[::-1]))]
+    return {k: v[order] for k, v in state.items()}
+
+
+class TwoStageTracker:
+    """A tracker whose live tracks can be handed on: rows sorted by frame and detection in, local ids (or NA) out.
 
     Works frame by frame on arrays; its state is the live tracks only.
     """
 
-    def track(rows: pd.DataFrame) -> pd.Series:
+    def __init__(self, config: TrackerConfig) -> None:
+        self.config = config
+
+    def __call__(self, rows: pd.DataFrame) -> pd.Series:
+        return self.resume(rows, _empty())[0]
+
+    def resume(self, rows: pd.DataFrame, state: State) -> tuple[pd.Series, State]:
+        config = self.config
         frames = rows["frame_idx"].to_numpy()
         conf = rows["conf"].to_numpy(dtype=float)
         boxes = rows[list(_CORNERS)].to_numpy(dtype=float)
         ids = np.zeros(len(rows), dtype=np.int64)
-        live_id = np.empty(0, dtype=np.int64)
-        last_box, speed = np.empty((0, 4)), np.empty((0, 4))
-        last_frame = np.empty(0, dtype=np.int64)
-        next_id = 1
+        next_id = int(state["id"].max(initial=0)) + 1
         edges = np.flatnonzero(np.diff(frames)) + 1
         for at in np.split(np.arange(len(rows)), edges):
             if not len(at):
                 continue
             frame = frames[at[0]]
-            alive = frame - last_frame <= config.max_lost
-            live_id, last_box, speed, last_frame = (
-                v[alive] for v in (live_id, last_box, speed, last_frame)
-            )
+            state = _ordered(state, frame, config.max_lost)
+            live_id, last_frame, place = state["id"], state["last"].copy(), state["place"].copy()
+            last_box, speed = place[:, :4], place[:, 4:]
             free = np.arange(len(live_id))
             strong = at[conf[at] >= config.high]
             weak = at[(conf[at] >= config.low) & (conf[at] < config.high)]
@@ -107,13 +127,16 @@ def two_stage_tracker(config: TrackerConfig = TrackerConfig()) -> Callable[[pd.D
             born = strong[ids[strong] == 0]
             ids[born] = np.arange(next_id, next_id + len(born))
             next_id += len(born)
-            live_id = np.concatenate([live_id, ids[born]])
-            last_box = np.concatenate([last_box, boxes[born]])
-            speed = np.concatenate([speed, np.zeros((len(born), 4))])
-            last_frame = np.concatenate([last_frame, np.full(len(born), frame)])
-        return pd.Series(ids, index=rows.index, dtype="Int64").replace(0, pd.NA)
+            state = {
+                "id": np.concatenate([live_id, ids[born]]),
+                "last": np.concatenate([last_frame, np.full(len(born), frame)]),
+                "place": np.concatenate([place, np.hstack([boxes[born], np.zeros((len(born), 4))])]),
+            }
+        return pd.Series(ids, index=rows.index, dtype="Int64").replace(0, pd.NA), state
+
 
-    return track
+def two_stage_tracker(config: TrackerConfig = TrackerConfig()) -> TwoStageTracker:
+    return TwoStageTracker(config)
 
 
 def _segments(rows: DataFrame, segment_frames: int | None, warmup_frames: int) -> DataFrame:
@@ -130,18 +153,107 @@ def _segments(rows: DataFrame, segment_frames: int | None, warmup_frames: int) -
     )
 
 
+_RUN = "kind string, video_id string, segment long, frame_idx long, det_idx int, local_id long, place array<double>"
+
+
+def _run_rows(kind: str, video: str, segment: int, state: State) -> pd.DataFrame:
+    n = len(state["id"])
+    return pd.DataFrame(
+        {
+            "kind": [kind] * n,
+            "video_id": video,
+            "segment": segment,
+            "frame_idx": state["last"],
+            "det_idx": np.arange(n, dtype=np.int32),
+            "local_id": state["id"],
+            "place": list(state["place"]),
+        }
+    )
+
+
+def _tracked_segment(
+    tracker: TwoStageTracker, pdf: pd.DataFrame, segment_frames: int, start: State | None
+) -> pd.DataFrame:
+    """A segment's ids (``row``) and the live tracks it began (``start``) and ended with (``end``)."""
+    pdf = pdf.sort_values(["frame_idx", "det_idx"], kind="stable", ignore_index=True)
+    video, segment = pdf["video_id"].iloc[0], int(pdf["segment"].iloc[0])
+    own = pdf[pdf["own"]]
+    if start is None:
+        _, start = tracker.resume(pdf[~pdf["own"]], _empty())
+    border, max_lost = segment * segment_frames, tracker.config.max_lost
+    start = _ordered(start, border, max_lost)
+    start["id"] = np.arange(1, len(start["id"]) + 1)  # slots, in order of place
+    ids, end = tracker.resume(own, start)
+    rows = own[["video_id", "segment", "frame_idx", "det_idx"]].assign(kind="row", local_id=ids, place=None)
+    parts = [rows, _run_rows("start", video, segment, start), _run_rows("end", video, segment, end)]
+    return pd.concat([p.astype({"local_id": "Int64"}) for p in parts])[[c.split()[0] for c in _RUN.split(", ")]]
+
+
+def _states(runs: DataFrame, segment_frames: int, max_lost: int) -> DataFrame:
+    """Per segment: the live tracks it assumed, and those its predecessor handed on that can still be found.
+
+    Live tracks of one frame are few; only they are gathered.
+    """
+    track = F.struct("place", F.col("frame_idx").alias("last"), "local_id")
+    gathered = runs.groupBy("video_id", "segment").agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "start", track))).alias("start"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "end", track))).alias("end"),
+    )
+    order = Window.partitionBy("video_id").orderBy("segment")
+    handed = F.coalesce(F.lag("end").over(order), F.filter("start", lambda t: F.lit(False)))
+    border = F.col("segment") * F.lit(segment_frames)
+    return gathered.withColumn("prev_segment", F.lag("segment").over(order)).withColumn(
+        "handed", F.filter(handed, lambda t: border - t["last"] <= max_lost)
+    )
+
+
+def _without_names(tracks: str):
+    return F.transform(tracks, lambda t: F.struct(t["place"].alias("place"), t["last"].alias("last")))
+
+
+def _resumed(rows: DataFrame, tracker: TwoStageTracker, segment_frames: int, warmup_frames: int) -> tuple[DataFrame, DataFrame]:
+    """Ids of all segments as if videos had been tracked in one piece, and the states that link them."""
+    max_lost = tracker.config.max_lost
+    cut = _segments(rows, segment_frames, warmup_frames)
+    key = ["video_id", "segment"]
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _tracked_segment(tracker, pdf, segment_frames, None) if pdf["own"].any() else pd.DataFrame(columns=[c.split()[0] for c in _RUN.split(", ")])
+
+    def again(pdf: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        tracks = given["handed"].iloc[0]
+        state = _empty() if not len(tracks) else {
+            "id": np.array([t["local_id"] for t in tracks]),
+            "last": np.array([t["last"] for t in tracks]),
+            "place": np.array([t["place"] for t in tracks], dtype=float),
+        }
+        return _tracked_segment(tracker, pdf, segment_frames, state)
+
+    runs = written(cut.groupBy(*key).applyInPandas(first, _RUN), "segments")
+    while True:
+        states = written(_states(runs, segment_frames, max_lost), "segment-states")
+        wrong = states.where(_without_names("start") != _without_names("handed")).select(*key, "handed")
+        if wrong.isEmpty():
+            return runs.where("kind = 'row'"), states
+        # Only these are tracked again; the first of them for the last time.
+        own = cut.where("own").join(wrong.select(*key), key, "left_semi")
+        better = own.groupBy(*key).cogroup(wrong.groupBy(*key)).applyInPandas(again, _RUN)
+        runs = written(runs.join(wrong.select(*key), key, "left_anti").unionByName(better), "segments")
+
+
 def track_with(
     rows: DataFrame,
     tracker: Callable[[pd.DataFrame], pd.Series],
-    segment_frames: int | None = SEGMENT_FRAMES,
+    segment_frames: int | None = None,
     warmup_frames: int = 60,
 ) -> DataFrame:
-    """Set ``track_id`` of flat detections with a segment tracker.
+    """Set ``track_id`` of flat detections with a tracker of one's own.
 
-    ``tracker`` gets the rows of one segment of one video (``frame_idx, det_idx, conf, x1, y1, x2, y2``) in
-    order and returns a segment-local id per row, NA for none. Ids of the result count from 1 per
-    video in order of appearance. ``warmup_frames`` must be at most ``segment_frames``, and should be
-    longer than the tracker remembers a lost track. Only keys, confidence and box travel to
+    ``tracker`` gets the rows of one video (``frame_idx, det_idx, conf, x1, y1, x2, y2``) in
+    order and returns a local id per row, NA for none. Ids of the result count from 1 per
+    video in order of appearance. With ``segment_frames`` it gets a segment at a time, begun ``warmup_frames`` earlier, and
+    tracks of neighbours are linked by the detections both saw: right for trackers that forget all within the warm-up,
+    which must be at most ``segment_frames``. Only keys, confidence and box travel to
     Python; the other columns are joined back.
     """
     if segment_frames is not None and not 0 < warmup_frames <= segment_frames:
@@ -162,12 +274,13 @@ def track_with(
         ),
         "tracklets",
     )
-    ids = _global_ids(local)
-    assigned = (
-        local.filter("own")
-        .join(ids, list(_TRACKLET), "left")
-        .select(*PERSON_KEY, F.col("id").alias("track_id"))
-    )
+    links = _links(local).withColumn("prev_segment", F.col("segment") - 1)
+    return _assigned(rows, local.filter("own"), links)
+
+
+def _assigned(rows: DataFrame, local: DataFrame, links: DataFrame) -> DataFrame:
+    ids = _global_ids(local, links)
+    assigned = local.join(ids, list(_TRACKLET), "left").select(*PERSON_KEY, F.col("id").alias("track_id"))
     columns = [c for c in rows.columns if c != "track_id"]
     return rows.select(*columns).join(assigned, list(PERSON_KEY), "left")
 
@@ -195,23 +308,29 @@ def _links(local: DataFrame) -> DataFrame:
     )
 
 
-def _global_ids(local: DataFrame) -> DataFrame:
-    """``(video_id, segment, local_id, id)``: chains of linked tracklets share one id."""
+def _global_ids(local: DataFrame, links: DataFrame) -> DataFrame:
+    """``(video_id, segment, local_id, id)``: chains of linked tracklets share one id.
+
+    ``links`` name the tracklet before; one may live through a segment without a row of its own.
+    """
+    nowhere = links.select(*_TRACKLET, F.lit(None).cast("long").alias("frame_idx"), F.lit(None).cast("int").alias("det_idx"))
     tracklets = (
-        local.filter(F.col("own") & F.col("local_id").isNotNull())
+        local.filter(F.col("local_id").isNotNull())
+        .select(*_TRACKLET, "frame_idx", "det_idx")
+        .unionByName(nowhere)
         .groupBy(*_TRACKLET)
-        .agg(F.min(F.struct("frame_idx", "det_idx")).alias("first"))
+        .agg(F.min(F.when(F.col("frame_idx").isNotNull(), F.struct("frame_idx", "det_idx"))).alias("first"))
     )
     # The head of a tracklet's chain, found by following ever longer jumps: each round doubles them,
     # so rounds grow with the logarithm of the longest chain. Tracklets are one row per track
     # and segment.
     jumps = written(
-        tracklets.join(_links(local), list(_TRACKLET), "left").select(
+        tracklets.join(links, list(_TRACKLET), "left").select(
             *_TRACKLET,
             "first",
             F.when(
                 F.col("prev_id").isNotNull(),
-                F.struct((F.col("segment") - 1).alias("segment"), F.col("prev_id").alias("local_id")),
+                F.struct(F.col("prev_segment").alias("segment"), F.col("prev_id").alias("local_id")),
             ).alias("to"),
             F.struct("segment", "local_id").alias("head"),
         ),
@@ -260,8 +379,15 @@ def assign_tracks(
     config: TrackerConfig = TrackerConfig(),
     segment_frames: int | None = SEGMENT_FRAMES,
 ) -> DataFrame:
-    """Set ``track_id`` by two-stage association; it stays NULL on weak detections of no track."""
-    warmup = 2 * config.max_lost
-    if segment_frames is not None:
-        warmup = min(warmup, segment_frames)
-    return track_with(rows, two_stage_tracker(config), segment_frames, warmup)
+    """Set ``track_id`` by two-stage association; it stays NULL on weak detections of no track.
+
+    The result does not depend on ``segment_frames``.
+    """
+    tracker = two_stage_tracker(config)
+    if segment_frames is None:
+        return track_with(rows, tracker)
+    narrow = rows.select(*PERSON_KEY, "conf", *[F.col(f"bbox.{c}").alias(c) for c in _CORNERS])
+    local, states = _resumed(narrow, tracker, segment_frames, min(2 * config.max_lost, segment_frames))
+    pairs = F.inline(F.arrays_zip(F.transform("start", lambda t: t["local_id"]).alias("local_id"), F.transform("handed", lambda t: t["local_id"]).alias("prev_id")))
+    links = states.where("prev_segment is not null").select("video_id", "segment", "prev_segment", pairs)
+    return _assigned(rows, local, links)

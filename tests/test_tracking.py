@@ -108,3 +108,38 @@ def test_own_tracker(spark):
     assert set(got.values()) == {1, 2, 3}
     with pytest.raises(ValueError):
         track_with(spark.createDataFrame(rows, BOXES), by_place, 20, 21)
+
+
+def restless(seed, frames=220, people=5):
+    """Weak stretches, gaps, crossings and repeated boxes, so that tracks live over every border in every way."""
+    rng = random.Random(seed)
+    rows = []
+    for f in range(frames):
+        d = 0
+        for p in range(people):
+            if rng.random() < 0.25 or (f // 23 + p) % 5 == 0:
+                continue
+            conf = rng.choice([0.05, 0.3, 0.3, 0.9]) if (f // 17 + p) % 3 else 0.9
+            x = round(40.0 * p + (f * (-1) ** p) % 60 + rng.choice([0, 1, 2]), 1)
+            rows.append(("v", f, d, conf, (x, 0.0, x + 50, 90.0)))
+            d += 1
+    return rows
+
+
+@pytest.mark.parametrize("segment", [7, 40, 9_000])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_segments_do_not_change_ids(spark, segment, seed):
+    df = spark.createDataFrame(restless(seed), BOXES)
+    assert ids(assign_tracks(df, segment_frames=segment)) == ids(assign_tracks(df, segment_frames=None))
+
+
+def test_weak_stretch_over_a_border(spark):
+    rows = [("v", f, 0, 0.9 if f <= 8_935 else 0.3, HERE) for f in range(8_900, 9_100)]
+    got = ids(assign_tracks(spark.createDataFrame(rows, BOXES)))
+    assert set(got.values()) == {1} and len(got) == 200
+
+
+def test_track_without_rows_in_a_segment(spark):
+    rows = [("v", f, 0, 0.9, HERE) for f in (0, 1, 28, 29)] + [("v", f, 0, 0.9, (500.0, 0.0, 600.0, 100.0)) for f in (12, 14)]
+    got = ids(assign_tracks(spark.createDataFrame(rows, BOXES), segment_frames=5))
+    assert [got["v", f, 0] for f in (0, 1, 12, 14, 28, 29)] == [1, 1, 2, 2, 1, 1]

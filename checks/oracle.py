@@ -6,11 +6,18 @@ formulation under test.
 
 from __future__ import annotations
 
-from jointflow.functions.pose import COCO_JOINTS
-from jointflow.operators.overlay import SKELETON
-
 POINTS = range(17)
 
+# Fixed values, written out here so that a slip in the package shows: joints by number, and skeleton lines.
+COCO_JOINTS = {
+    name: i
+    for i, name in enumerate(
+        "nose left_eye right_eye left_ear right_ear left_shoulder right_shoulder left_elbow right_elbow "
+        "left_wrist right_wrist left_hip right_hip left_knee right_knee left_ankle right_ankle".split()
+    )
+}
+SKELETON = ((5, 6), (5, 7), (7, 9), (6, 8), (8, 10), (5, 11), (6, 12), (11, 12), (11, 13), (13, 15), (12, 14), (14, 16))
+
 
 def h(k: int, prime: int) -> str:
     r = f"(event_id % {prime})"
@@ -252,6 +259,41 @@ def oracles() -> dict[str, str]:
         machine("squat", "loop_persons", angle(LEG), 90, 160),
         machine("elbow", "loop_persons", angle(ARM), 70, 150),
     )
+    # Frames without ids: weak boxes go, positions close up, lanes never overlap, slots are tracks from their first sure box.
+    lanes = (
+        "lanes AS (SELECT * REPLACE (cast(row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY det_idx) - 1 as integer) "
+        "AS det_idx, det_idx * 1000.0 + x1 % 10 AS x1, y1 % 10 AS y1, det_idx * 1000.0 + x1 % 10 + 100 AS x2, y1 % 10 + 100 AS y2), "
+        "det_idx AS slot FROM boxes WHERE conf >= 0.35)"
+    )
+    lane_slots = (
+        "lane_slots AS (SELECT video_id, slot, row_number() OVER (PARTITION BY video_id ORDER BY first, slot) AS id, first "
+        "FROM (SELECT video_id, slot, min(frame_idx) AS first FROM lanes WHERE conf >= 0.5 GROUP BY video_id, slot))"
+    )
+    tracked = (
+        "tracked AS (SELECT l.* REPLACE (id AS track_id) FROM lanes l JOIN lane_slots s "
+        "ON s.video_id = l.video_id AND s.slot = l.slot AND l.frame_idx >= s.first)"
+    )
+    lane_loop = [
+        BOXES,
+        lanes,
+        lane_slots,
+        tracked,
+        machine("squat", "tracked", angle(LEG), 90, 160),
+        machine("elbow", "tracked", angle(ARM), 70, 150),
+    ]
+    hands = (
+        "hands AS (SELECT video_id, frame_idx, det_idx, track_id, cast(0 as bigint) AS rep_count, "
+        "cast(0.0 as double) AS exact FROM loop_persons)"
+    )
+    hook_loop = with_(
+        BOXES,
+        suppression("(SELECT * FROM boxes WHERE conf >= 0.45)"),
+        loop_persons,
+        machine("squat", "loop_persons", angle(LEG), 90, 160),
+        machine("elbow", "loop_persons", angle(ARM), 70, 150),
+        hands,
+        drawing("loop_persons", ["squat", "hands", "elbow"]),
+    )
     box_row = f"{KEY}, conf, x1, y1, x2, y2"
     parsed_row = f"{KEY}, track_id, {box_row.removeprefix(KEY + ', ')}, has_points, px13 AS x13, ps13 AS s13"
     counts = (
@@ -371,6 +413,9 @@ def oracles() -> dict[str, str]:
         + f"{rows_of('knees')} UNION ALL SELECT {KEY}, track_id, 'hands', cast(0 as bigint), "
         "CASE WHEN py9 < py5 AND py10 < py6 THEN 'up' ELSE 'down' END, cast(0.0 as double), '' FROM person",
         "multi_exercise": f"{both} {rows_of('squat')} UNION ALL {rows_of('elbow')}",
+        "frame_loop_tracked": f"{with_(*lane_loop)} {rows_of('squat')} UNION ALL {rows_of('elbow')}",
+        "frame_overlay": with_(*lane_loop, drawing("tracked", ["squat", "elbow"])) + "SELECT * FROM drawn",
+        "exercise_hook_overlay": hook_loop + "SELECT * FROM drawn",
         "frame_loop": f"{loop} {rows_of('squat')} UNION ALL {rows_of('elbow')}",
     }
     return sql

@@ -19,7 +19,8 @@ from jointflow.operators import detections as det
 from jointflow.operators import exercise as ex
 from jointflow.operators import overlay as draw
 from jointflow.operators.hooks import detect_with
-from jointflow.operators.tracking import assign_tracks, track_with
+from jointflow.operators.tracking import TrackerConfig, assign_tracks, track_with
+from jointflow.plans import frame_loop as loop
 from jointflow.plans.frame_loop import frame_states
 from jointflow.schema import (
     DETECTIONS,
@@ -316,12 +317,10 @@ def person_exercises(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def state_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    persons = views.persons(spark, sf_dir)
-    states = ex.exercise_states(persons, CONFIG, registry())
-    rows = ex.attach_states(persons.select(*PERSON_KEY, "track_id", "bbox"), states, "squat")
-    return rounded(
-        rows.select(*PERSON_KEY, "track_id", "exercise", *STATE, F.col("bbox.x1").alias("x1"))
-    )
+    """The state beside the person it belongs to: one scan, the kept columns ride along."""
+    states = ex.track_states(views.persons(spark, sf_dir), machines(SQUAT), keep=("bbox",))
+    rows = states.select(*PERSON_KEY, "track_id", F.col("bbox.x1").alias("x1"), F.inline(F.flatten(F.array("states"))))
+    return rounded(rows.select(*PERSON_KEY, "track_id", "exercise", *STATE, "x1"))
 
 
 @query
@@ -441,6 +440,17 @@ def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streaming
 
 
+#: Seconds after which a stream that should have come to its end is given up.
+STREAM_LIMIT = 900
+
+
+def _finish(stream) -> None:
+    """Wait for a stream that reads to the end of its input."""
+    if not stream.awaitTermination(STREAM_LIMIT):
+        stream.stop()
+        raise TimeoutError("the stream did not come to its end")
+
+
 def _stream(
     spark: SparkSession, sf_dir: str, config: Mapping, steps: int, sink, ttl_ms: int | None = None
 ) -> str:
@@ -449,7 +459,7 @@ def _stream(
     for path in _land(spark, sf_dir, steps):
         persons = io.stream_detections(spark, path, schema=PERSON)
         states = stream_exercise_states(persons, config, registry(), ttl_ms)
-        sink(states, out, checkpoint).awaitTermination()
+        _finish(sink(states, out, checkpoint))
     return out
 
 
@@ -571,3 +581,40 @@ def frame_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything the frame loop does between reading and drawing."""
     states = frame_states(views.detections(spark, sf_dir), CONFIG, registry(), keep=())
     return rounded(ex.state_rows(states).select(*PERSON_KEY, "track_id", "exercise", *STATE))
+
+
+def _untracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames without ids, every slot of a frame in a place of its own, so tracks are known."""
+
+    def lane(box: Column, slot: Column) -> Column:
+        left, top = slot * 1000.0 + box["x1"] % 10, box["y1"] % 10
+        return F.struct(left.alias("x1"), top.alias("y1"), (left + 100).alias("x2"), (top + 100).alias("y2"))
+
+    frames = views.detections(spark, sf_dir)
+    ids = DETECTIONS["track_ids"].dataType
+    return frames.withColumns({"boxes": F.transform("boxes", lane), "track_ids": F.lit(None).cast(ids)})
+
+
+@query
+def frame_loop_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole loop on frames whose detections have no ids yet: filter, suppress, track, count."""
+    states = frame_states(
+        _untracked(spark, sf_dir), CONFIG, registry(), confidence=0.35, keep=(), tracker=TrackerConfig()
+    )
+    return rounded(ex.state_rows(states).select(*PERSON_KEY, "track_id", "exercise", *STATE))
+
+
+@query
+def frame_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawing lists of such frames."""
+    return loop.frame_overlay(
+        _untracked(spark, sf_dir), CONFIG, registry(), confidence=0.35, tracker=TrackerConfig()
+    )
+
+
+@query
+def exercise_hook_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transform between two counters has its label in the order of the config."""
+    config = {"squat": CONFIG["squat"], "hands": {"enabled": True}, "elbow": CONFIG["elbow"]}
+    own = registry().register("hands", transform=_hands)
+    return loop.frame_overlay(views.detections(spark, sf_dir), config, own)

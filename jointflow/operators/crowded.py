@@ -2,7 +2,7 @@
 
 Rounds over a pyramid of grids. A box has the level whose cell size is its longer side
 rounded down to a power of two. Two boxes with IoU above ``t`` differ in area by less than a
-factor ``1/t`` and in each side as well, so their levels differ by at most ``log2(1/t) + 1``.
+factor ``1/t`` and in each side as well, so their levels differ by at most ``log2(1/t)``, rounded up.
 A box is registered in all cells it touches on its own level and on that many levels above;
 any two boxes that may overlap enough thus share a cell. In each round a box that ranks first in
 all its cells can have no better overlapping rival and is kept, and boxes overlapping a kept
@@ -62,18 +62,18 @@ def suppress_in_crowds(rows: DataFrame, iou: float) -> DataFrame:
     executor costs at most one round."""
     if not 0.0 < iou < 1.0:
         raise ValueError(f"iou must lie between 0 and 1, got {iou}")
-    spread = math.ceil(math.log2(1.0 / iou)) + 1
+    spread = math.ceil(math.log2(1.0 / iou))
     b = F.col("bbox")
     real = (b["x2"] > b["x1"]) & (b["y2"] > b["y1"])
     for corner in ("x1", "y1", "x2", "y2"):
-        real = real & ~F.isnan(b[corner])
+        real = real & ~F.isnan(b[corner]) & (F.abs(b[corner]) < float("inf"))
     ranked = rows.select(
         *PERSON_KEY,
         F.struct((-F.col("conf")).alias("worse"), F.col("det_idx").alias("det_idx")).alias("rank"),
         "bbox",
         F.coalesce(real, F.lit(False)).alias("_real"),
     )
-    # A box without area overlaps nothing.
+    # A box without area overlaps nothing, nor does one without end: its overlap with any other is no number or none.
     kept = [ranked.filter(~F.col("_real")).select(*PERSON_KEY)]
     alive = written(ranked.filter("_real").drop("_real"), "crowd")
     while not alive.isEmpty():
@@ -88,6 +88,8 @@ def suppress_in_crowds(rows: DataFrame, iou: float) -> DataFrame:
             .select(*PERSON_KEY, F.col("first.bbox").alias("bbox")),
             "crowd",
         )
+        if winners.isEmpty():
+            raise RuntimeError("no box is first in all its cells: detections repeat a det_idx in one frame")
         kept.append(winners.select(*PERSON_KEY))
         marks = (
             _cells(winners.withColumn("rank", F.lit(None)), spread)

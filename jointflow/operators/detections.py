@@ -45,15 +45,23 @@ def _positions() -> Column:
 
 
 def filter_frames(frames: DataFrame, threshold: float = DEFAULT_CONFIDENCE) -> DataFrame:
-    """Frame rows without their detections below the confidence; a frame may become empty."""
+    """Frame rows without their detections below the confidence; a frame may become empty.
+
+    Frames without ``box_conf`` say nothing about confidence and keep their detections.
+    """
 
     def enough(i: Column) -> Column:
         conf = F.get(F.col("box_conf"), i)
-        return (conf >= F.lit(float(threshold))) & ~F.isnan(conf)
+        return F.col("box_conf").isNull() | ((conf >= F.lit(float(threshold))) & ~F.isnan(conf))
 
     return _take(frames, F.filter(_positions(), enough))
 
 
+def _checked(iou: float) -> None:
+    if not 0.0 <= iou <= 1.0:
+        raise ValueError(f"iou must lie between 0 and 1, got {iou}")
+
+
 def _greedy(candidates: str, iou: float) -> Column:
     """Greedy suppression inside one array of ``STRUCT<rank, det_idx, box, area>``, best rank first.
 
@@ -99,14 +107,19 @@ def suppress_duplicates(
     gathered into one row, so frame sizes are counted first (one job over the two key columns,
     combined before its shuffle); frames beyond ``crowd`` boxes take :func:`suppress_in_crowds`,
     which gives the same result without gathering. ``crowd=None`` skips the count where frames
-    are known to be small.
+    are known to be small. Rows need a frame and a ``det_idx`` of their own in it; rows without are left out.
     """
+    _checked(iou)
+    rows = rows.dropna(subset=list(PERSON_KEY))
     if crowd is None:
         return _suppress_gathered(rows, iou)
     sizes = rows.groupBy(*FRAME_KEY).count()
     crowded = written(sizes.filter(F.col("count") > crowd).select(*FRAME_KEY), "crowded")
     if crowded.isEmpty():
         return _suppress_gathered(rows, iou)
+    if not 0.0 < iou < 1.0:
+        # At 1 no box goes. At 0 any contact counts, and the pyramid of grids would have no end.
+        return rows if iou == 1.0 else _suppress_gathered(rows, iou)
     few = _suppress_gathered(rows.join(crowded, list(FRAME_KEY), "left_anti"), iou)
     many = rows.join(crowded, list(FRAME_KEY), "left_semi")
     kept = suppress_in_crowds(many, iou)
@@ -140,12 +153,8 @@ def tracked_only(frames: DataFrame) -> DataFrame:
     return frames.filter(F.col("boxes").isNotNull() & F.col("track_ids").isNotNull())
 
 
-def parse_detections(frames: DataFrame) -> DataFrame:
-    """One person row per box that has a track id, in detection order; no shuffle.
-
-    Boxes beyond the ids, and ids beyond the boxes, are left out. A person
-    without keypoints gets NULL keypoints.
-    """
+def _unnested(frames: DataFrame, when: Column) -> DataFrame:
+    """One row per position of the detection arrays of frames for which ``when`` holds."""
     # arrays_zip is NULL as soon as one array is, so absent optional arrays count as empty.
     types = {f.name: f.dataType for f in DETECTIONS.fields}
     zipped = F.arrays_zip(
@@ -154,23 +163,40 @@ def parse_detections(frames: DataFrame) -> DataFrame:
             for name in _PER_DETECTION
         ]
     )
-    # Untracked frames yield no rows. Not a filter: it would be pushed below the steps that made
-    # the arrays and compute them again.
-    tracked = F.when(F.col("boxes").isNotNull() & F.col("track_ids").isNotNull(), zipped)
+    # Not a filter: it would be pushed below the steps that made the arrays and compute them again.
     found = F.col("found")
+    return frames.select(
+        *FRAME_KEY, "ts", F.posexplode(F.when(when, zipped)).alias("det_idx", "found")
+    ).filter(found["boxes"].isNotNull())
+
+
+def _detection_columns() -> list[Column]:
+    found = F.col("found")
+    return [
+        found["box_conf"].alias("conf"),
+        found["boxes"].alias("bbox"),
+        F.when(
+            found["kpt_xy"].isNotNull() & found["kpt_conf"].isNotNull(),
+            F.struct(found["kpt_xy"].alias("coords"), found["kpt_conf"].alias("scores")),
+        ).alias("keypoints"),
+    ]
+
+
+def parse_detections(frames: DataFrame) -> DataFrame:
+    """One person row per box that has a track id, in detection order; no shuffle.
+
+    Boxes beyond the ids, and ids beyond the boxes, are left out. A person
+    without keypoints gets NULL keypoints.
+    """
+    tracked = F.col("boxes").isNotNull() & F.col("track_ids").isNotNull()
+    track_id = F.col("found")["track_ids"]
     return (
-        frames.select(*FRAME_KEY, "ts", F.posexplode(tracked).alias("det_idx", "found"))
-        .filter(found["boxes"].isNotNull() & found["track_ids"].isNotNull())
-        .select(
-            *FRAME_KEY,
-            "ts",
-            F.col("det_idx"),
-            found["track_ids"].cast("bigint").alias("track_id"),
-            found["box_conf"].alias("conf"),
-            found["boxes"].alias("bbox"),
-            F.when(
-                found["kpt_xy"].isNotNull() & found["kpt_conf"].isNotNull(),
-                F.struct(found["kpt_xy"].alias("coords"), found["kpt_conf"].alias("scores")),
-            ).alias("keypoints"),
-        )
+        _unnested(frames, tracked)
+        .filter(track_id.isNotNull())
+        .select(*FRAME_KEY, "ts", "det_idx", track_id.cast("bigint").alias("track_id"), *_detection_columns())
     )
+
+
+def flat_detections(frames: DataFrame) -> DataFrame:
+    """One row per box, whether or not it has a track id, for a tracker to give it one; no shuffle."""
+    return _unnested(frames, F.col("boxes").isNotNull()).select(*FRAME_KEY, "ts", "det_idx", *_detection_columns())

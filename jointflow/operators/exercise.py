@@ -228,6 +228,13 @@ def _chunk_entries(rows: DataFrame, machines: Sequence[Machine]) -> tuple[DataFr
     return chunks.withColumns(added), folded
 
 
+#: The states of a person row, one entry per exercise.
+STATES = (
+    "array<struct<ordinal:int,exercise:string,rep_count:bigint,phase:string,angle:double,"
+    "feedback:string,completed:boolean>>"
+)
+
+
 def track_states(
     persons: DataFrame,
     machines: Sequence[Machine],
@@ -241,9 +248,11 @@ def track_states(
     rows without an angle: they repeat the state reached before. ``cut="auto"`` first counts rows
     per track; where ``persons`` is costly to compute, write it to a table before, give another
     ``cut``, or name rows to count instead in ``sized_by``: any that hold at least these rows.
+    Without machines the arrays are empty.
     """
     if not machines:
-        raise ValueError("no active exercise")
+        names = [*PERSON_KEY, "track_id", *[c for c in keep if c not in (*PERSON_KEY, "track_id")]]
+        return _tracked(persons).select(*names, F.array().cast(STATES).alias("states"))
     df = tracked_angles(persons, machines, keep)
     names = [c for c in df.columns if not c.startswith("_m")]
     cutter = _cutter(persons if sized_by is None else sized_by, cut)
@@ -291,6 +300,29 @@ def _scan_whole(df: DataFrame, machines: Sequence[Machine]) -> DataFrame:
     return df.withColumn("states", F.array(*states))
 
 
+def with_custom_states(
+    states: DataFrame, persons: DataFrame, config: Mapping[str, Mapping], registry: Registry
+) -> DataFrame:
+    """``states`` rows with the states of the config's transforms put in their place among the others.
+
+    One join per transform on the person key, with narrow rows on the transform's side. A person
+    for whom a transform gives no row has no entry of it.
+    """
+    for ordinal, name, settings, transform in registry.custom(config):
+        own = transform(persons, settings)
+        state = F.struct(
+            F.lit(ordinal).alias("ordinal"),
+            F.lit(name).alias("exercise"),
+            *[F.col(c).cast(EXERCISE_STATE[c].dataType).alias(c) for c in ("rep_count", "phase", "angle", "feedback")],
+            (F.col("completed") if "completed" in own.columns else F.lit(False)).alias("completed"),
+        )
+        own = own.groupBy(*PERSON_KEY).agg(F.min(state).alias("_own"))
+        added = F.when(F.col("_own").isNotNull(), F.array("_own")).otherwise(F.array().cast(STATES))
+        states = states.join(own, list(PERSON_KEY), "left")
+        states = states.withColumn("states", F.array_sort(F.concat("states", added.cast(STATES)))).drop("_own")
+    return states
+
+
 def final_states(
     persons: DataFrame, machines: Sequence[Machine], cut: Cut = "auto"
 ) -> DataFrame:
@@ -299,6 +331,9 @@ def final_states(
     Grouping follows the partitioning of the scan, so the rows are shuffled once; of cut tracks
     only the chunk results go on, nothing is joined back to the rows.
     """
+    if not machines:
+        none = track_states(persons, machines).select(*TRACK_KEY, F.inline(F.flatten(F.array("states"))))
+        return none.drop("ordinal", "completed")
     cutter = _cutter(persons, cut)
     df = tracked_angles(persons, machines, ())
     if cutter is None:
@@ -393,7 +428,7 @@ def person_exercises(persons: DataFrame, machines: Sequence[Machine]) -> DataFra
     """
     active = F.array(
         *[F.struct(F.lit(m.ordinal).alias("ordinal"), F.lit(m.name).alias("exercise")) for m in machines]
-    )
+    ).cast("array<struct<ordinal:int,exercise:string>>")
     return persons.select("*", F.inline(active))
 
 

@@ -381,12 +381,14 @@ def assign_tracks(
 ) -> DataFrame:
     """Set ``track_id`` by two-stage association; it stays NULL on weak detections of no track.
 
-    The result does not depend on ``segment_frames``.
+    The result does not depend on ``segment_frames``. A detection without a confidence counts as sure.
     """
     tracker = two_stage_tracker(config)
     if segment_frames is None:
-        return track_with(rows, tracker)
-    narrow = rows.select(*PERSON_KEY, "conf", *[F.col(f"bbox.{c}").alias(c) for c in _CORNERS])
+        sure = rows.withColumns({"_conf": F.col("conf"), "conf": F.coalesce("conf", F.lit(1.0))})
+        return track_with(sure, tracker).withColumn("conf", F.col("_conf")).drop("_conf")
+    conf = F.coalesce("conf", F.lit(1.0)).alias("conf")
+    narrow = rows.select(*PERSON_KEY, conf, *[F.col(f"bbox.{c}").alias(c) for c in _CORNERS])
     local, states = _resumed(narrow, tracker, segment_frames, min(2 * config.max_lost, segment_frames))
     pairs = F.inline(F.arrays_zip(F.transform("start", lambda t: t["local_id"]).alias("local_id"), F.transform("handed", lambda t: t["local_id"]).alias("prev_id")))
     links = states.where("prev_segment is not null").select("video_id", "segment", "prev_segment", pairs)

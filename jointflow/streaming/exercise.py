@@ -123,10 +123,15 @@ def stream_exercise_states(
     not seen for that long (processing time) is dropped and the track starts over; such a query must
     be stopped or triggered once, as it runs empty batches to watch the clock.
     """
-    use_rocksdb(persons.sparkSession)
-    machines = (registry or Registry()).machines(config)
+    registry = registry or Registry()
+    if custom := [name for _, name, *_ in registry.custom(config)]:
+        raise ValueError(f"transforms cannot be streamed: {', '.join(custom)}")
+    machines = registry.machines(config)
     if not machines:
-        raise ValueError("no active exercise")
+        types = {f.name: f.dataType for f in EXERCISE_STATE.fields}
+        none = [F.lit(None).cast(t).alias(n) for n, t in types.items() if n not in persons.columns]
+        return persons.where("false").select("*", *none).select(*[F.col(n).cast(t).alias(n) for n, t in types.items()])
+    use_rocksdb(persons.sparkSession)
     angles = tracked_angles(persons, machines, ())
     # Rows reach Python as named tuples, whose fields cannot start with an underscore.
     angles = angles.select(

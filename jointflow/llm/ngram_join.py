@@ -7,11 +7,14 @@ class and take part once. The steps:
    quarter of either set unshared, so a class more than a quarter of whose shingles turn up there in no
    other class has no partner and drops out. That needs one count per shingle, summed before it is shuffled.
 2. The sets of the remaining classes, cut along the global order into ``FRAGMENTS`` fragments.
-3. Candidates: classes with a common shingle among the lowest quarter (prefix filter). First each class is held only
-   against the most central class of each of its prefix shingles, so a group of n near copies costs about
-   n pairs. A candidate's overlap is counted fragment by fragment and summed.
-4. Components of the links found. Then every pair of classes still in different components with a common prefix shingle,
-   now with rare shingles first, is counted the same way, so that no link between components is lost.
+3. Candidates share one of the first quarter of their shingles, rarest first (prefix filter), and from where they meet first
+   enough shingles must be left for the similarity (positional filter): near copies that have changed too much leave
+   the common buckets of their group. First each class is held only against the most central class of each
+   bucket, so a group of n near copies costs about n pairs. A pair's overlap is counted fragment by
+   fragment and summed.
+4. Components of the links found. Then every pair of classes in different components that passes both filters is
+   counted the same way, so no link between components is lost. Buckets in which all that could still meet are of one
+   component make no pairs.
 
 Null and empty texts and texts without words have no shingles and link with nothing; texts of fewer than five words have
 one; a row with a null doc_id takes part as a document of its own, but its group is named after another row's
@@ -34,7 +37,7 @@ from jointflow.session import written
 WIDTH = 5
 #: Similarity as a fraction: shared shingles over all shingles of the two.
 LEAST = (75, 100)
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: Remaining classes up to which their keys are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_CLASSES = 2_000_000
 #: Remembered words of a worker, in each of two generations.
@@ -154,8 +157,9 @@ def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
                     out, schema=pa.schema([("key", pa.int64()), ("n", pa.int64()), ("fragment", pa.int32()), ("shingles", pa.list_(pa.int64()))])
                 )
 
-    made = rows.select("text").mapInArrow(run, "key long, n long, fragment int, shingles array<long>")
-    return made.dropDuplicates(["key", "fragment"])  # a row that comes twice
+    made = written(rows.select("text").mapInArrow(run, "key long, n long, fragment int, shingles array<long>"), "shingle-sets")
+    twice = made.groupBy("key", "fragment").count().where("count > 1")  # of a row that comes twice
+    return made if twice.isEmpty() else written(made.dropDuplicates(["key", "fragment"]), "shingle-sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -169,8 +173,53 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.where(LEAST[1] * F.col("shared") >= LEAST[0] * union).select("a", "b")
 
 
-def _lengths_fit():
-    return LEAST[1] * F.least("na", "nb") >= LEAST[0] * F.greatest("na", "nb")
+def _may_link(ra, na, rb, nb):
+    """Whether two sets that meet first where they have ``ra`` and ``rb`` shingles left can be similar enough."""
+    return (LEAST[0] + LEAST[1]) * F.least(ra, rb) >= LEAST[0] * (F.col(na) + F.col(nb))
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(shingle, key, n, left, own): each set's first shingles, rarest first, that other sets have too.
+
+    ``left`` counts the set's shingles from this one on, ``own`` those of the set alone. Of n shingles every similar set has
+    one of the first n - ceil(3/4 n) + 1.
+    """
+    every = sets.select("key", F.explode("shingles").alias("shingle"))
+    counts = every.groupBy("shingle").agg(F.count("*").alias("classes"))
+    order = Window.partitionBy("key").orderBy("classes", "shingle")
+    sizes = sets.groupBy("key").agg(F.first("n").alias("n"))
+    ranked = every.join(counts, "shingle").withColumn("place", F.row_number().over(order) - 1)
+    alone = F.sum((F.col("classes") == 1).cast("int")).over(Window.partitionBy("key"))
+    ranked = ranked.withColumn("own", alone).where("classes > 1").join(sizes, "key")
+    front = F.col("place") <= F.col("n") - F.ceil(F.col("n") * LEAST[0] / LEAST[1])
+    return ranked.where(front).select("shingle", "key", "n", (F.col("n") - F.col("place")).alias("left"), "own")
+
+
+def _star_pairs(members: DataFrame) -> DataFrame:
+    """(a, b, na, nb): every class against the class with the smallest share of its own shingles in each bucket."""
+    central = F.struct((F.col("own") / F.col("n")).alias("share"), "key", "n", "left")
+    tops = members.groupBy("shingle").agg(F.min(central).alias("top"))
+    pairs = members.join(tops, "shingle").where("key <> top.key")
+    pairs = pairs.select(
+        F.col("top.key").alias("a"), F.col("key").alias("b"), F.col("top.n").alias("na"), F.col("n").alias("nb"),
+        F.col("top.left").alias("ra"), F.col("left").alias("rb"),
+    )
+    return pairs.where(_may_link("ra", "na", "rb", "nb")).select("a", "b", "na", "nb").distinct()
+
+
+def _pairs_over_components(members: DataFrame) -> DataFrame:
+    """(a, b, na, nb): all pairs of classes in different components that may be similar."""
+    # A class stays in a bucket while it may link to the smallest class there, and the one with most left to it.
+    reach = (LEAST[0] + LEAST[1]) * F.col("left") - LEAST[0] * F.col("n")
+    members = members.withColumn("reach", reach)
+    bounds = members.groupBy("shingle").agg(F.min("n").alias("smallest"), F.max("reach").alias("furthest"))
+    members = members.join(bounds, "shingle").where((F.col("reach") >= LEAST[0] * F.col("smallest")) & (F.col("furthest") >= LEAST[0] * F.col("n")))
+    members = written(members.select("shingle", "key", "n", "left", "component"), "shingle-reach")
+    mixed = members.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    rest = members.join(mixed.select("shingle"), "shingle", "left_semi")
+    side = lambda x: rest.select("shingle", *[F.col(c).alias(n + x) for c, n in (("key", ""), ("n", "n"), ("left", "r"), ("component", "c"))])
+    pairs = side("a").join(side("b"), "shingle").where("a < b and ca <> cb").where(_may_link("ra", "na", "rb", "nb"))
+    return pairs.select("a", "b", "na", "nb").distinct()
 
 
 def similar_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -184,60 +233,15 @@ def similar_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Dat
     alone = alone.where("key = last").groupBy("key").agg(F.count("*").alias("alone"))
     kept = classes.join(alone, "key", "left").fillna(0, ["alone"])
     kept = written(kept.where(F.col("alone") <= F.floor(F.col("n") / 4)).where("alone < n"), "shingle-classes")
-    sets = written(_sets(docs, kept, width), "shingle-sets")
-
-    # Prefix shingles: the lowest quarter in hash order, over the fragments.
-    small = Prefix.of(sets)
-    central = kept.select("key", (F.col("alone") / F.col("n")).alias("own"))
-    members = written(small.join(central, "key"), "shingle-prefixes")
-    tops = members.groupBy("shingle").agg(F.min(F.struct("own", "key", "n")).alias("top"), F.count("*").alias("members"))
-    stars = members.join(tops.where("members > 1"), "shingle").where("key <> top.key")
-    stars = stars.select(F.col("top.key").alias("a"), F.col("key").alias("b"), F.col("top.n").alias("na"), F.col("n").alias("nb"))
-    stars = written(stars.where(_lengths_fit()).distinct(), "shingle-stars")
-    links = written(_linked(stars, sets), "shingle-links")
-    joined = written(components(links), "shingle-components")
-
-    # Pairs over different components. Shingles whose classes are all in one component need no pairs.
-    named = kept.select("key").join(joined.withColumnRenamed("node", "key"), "key", "left")
-    named = named.select("key", F.coalesce("component", "key").alias("component"))
-    ranked = written(Prefix.rare_first(sets, named), "shingle-rare")
-    mixed = ranked.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    left = written(ranked.join(mixed.select("shingle"), "shingle", "left_semi"), "shingle-mixed")
-    a = left.select("shingle", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    b = left.select("shingle", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = a.join(b, "shingle").where("a < b and ca <> cb").where(_lengths_fit()).select("a", "b", "na", "nb").distinct()
-    more = written(_linked(pairs, sets), "shingle-more")
+    sets = _sets(docs, kept, width)
+    members = written(_prefixes(sets), "shingle-prefixes")
+    links = written(_linked(_star_pairs(members), sets), "shingle-links")
+    joined = written(components(links), "shingle-components").withColumnRenamed("node", "key")
+    named = members.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    more = written(_linked(_pairs_over_components(named), sets), "shingle-more")
     return rows, components(links.unionByName(more))
 
 
-class Prefix:
-    """Prefixes of sets in a global order."""
-
-    @staticmethod
-    def size(n):
-        """A set of n shingles shares one of its first so many with every partner, in any one order."""
-        return n - F.ceil(n * LEAST[0] / LEAST[1]) + 1
-
-    @classmethod
-    def of(cls, sets: DataFrame) -> DataFrame:
-        """(key, n, shingle) in hash order. A fragment's part follows from the sizes of those before it."""
-        before = Window.partitionBy("key").orderBy("fragment").rowsBetween(Window.unboundedPreceding, -1)
-        skipped = F.coalesce(F.sum(F.size("shingles")).over(before), F.lit(0))
-        rest = F.greatest(cls.size(F.col("n")) - skipped, F.lit(0)).cast("int")
-        cut = sets.select("key", "n", "shingles", rest.alias("rest")).where("rest > 0")
-        return cut.select("key", "n", F.explode(F.slice("shingles", F.lit(1), F.col("rest"))).alias("shingle"))
-
-    @classmethod
-    def rare_first(cls, sets: DataFrame, named: DataFrame) -> DataFrame:
-        """(key, n, component, shingle) with the shingles of fewest classes first. Prefix shingles of one class are left out."""
-        every = sets.select("key", "n", F.explode("shingles").alias("shingle"))
-        counts = every.groupBy("shingle").agg(F.count("*").alias("classes"))
-        ordered = every.join(counts, "shingle")
-        place = F.row_number().over(Window.partitionBy("key").orderBy("classes", "shingle"))
-        front = ordered.withColumn("place", place).where(F.col("place") <= cls.size(F.col("n"))).where("classes > 1")
-        return front.join(named, "key").select("key", "n", "component", "shingle")
-
-
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, row, n_shingles, component_id) of every row: the least doc_id reachable over links, itself included.
 

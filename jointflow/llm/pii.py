@@ -101,8 +101,8 @@ KINDS = (
     ),
     Kind(
         "iban",
-        "(?:" + "|".join(IBAN_COUNTRIES) + ")[0-9]{2}[A-Z0-9]{11,30}",
-        mod97, 0.6, r"iban|bank|account", "", beside="[A-Za-z0-9]",
+        "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
+        lambda m: F.substring(m, 1, 2).isin(IBAN_COUNTRIES) & mod97(m), 0.6, r"iban|bank|account", "", beside="[A-Za-z0-9]",
     ),
     Kind(
         "phone_local",
@@ -118,13 +118,15 @@ _FOUND = "array<struct<start:int,end:int,match:string>>"
 def _found(text: Column, kind: Kind) -> Column:
     """Places and strings of the pattern's matches."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    zipped = F.arrays_zip(matches.alias("match"), F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(matches)).alias("gap"))
+    # The piece after the last match has none beside it.
+    zipped = F.arrays_zip(matches.alias("match"), F.split(text, kind.pattern, -1).alias("gap"))
 
     def add(seen: Column, x: Column) -> Column:
         start = seen["at"] + F.length(x["gap"])
         end = start + F.length(x["match"])
         span = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(seen["spans"], F.array(span)).alias("spans"))
+        more = F.struct(end.alias("at"), F.concat(seen["spans"], F.array(span)).alias("spans"))
+        return F.when(x["match"].isNull(), seen).otherwise(more)
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("spans"))
     spans = F.aggregate(zipped, first, add, lambda s: s["spans"])
@@ -163,7 +165,7 @@ def find_spans(df: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KIND
     rows = df.withColumn("_text", whole_text(text))
     rows = rows.withColumns({names[k.name]: _found(F.col("_text"), k) for k in kinds})
     rows = rows.withColumns({names[k.name]: _confirmed(F.col("_text"), k, F.col(names[k.name])) for k in kinds})
-    rows = rows.withColumn("_base", F.concat(*[F.col(names[k.name]) for k in kinds if k.base]))
+    rows = rows.withColumn("_base", F.concat(F.array().cast(SPANS), *[F.col(names[k.name]) for k in kinds if k.base]))
     clear = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     others = [F.filter(names[k.name], clear) for k in kinds if not k.base]
     rows = rows.withColumn("spans", F.concat("_base", *others))
@@ -227,11 +229,11 @@ valid AS (
              text[greatest(start - {NEAR}, 0) + 1:start] || ' ' || text[stop + 1:stop + {NEAR}]), context) THEN {CONTEXT_WEIGHT} ELSE 0 END AS total
   FROM placed WHERE CASE kind
     WHEN 'email' THEN TRUE
-    WHEN 'ip' THEN regexp_full_match(match, '{OCTET}(?:\.{OCTET}){{3}}')
+    WHEN 'ip' THEN regexp_full_match(match, '{OCTET}(?:\\.{OCTET}){{3}}')
     WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum([CASE WHEN j % 2 = 1 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END
       FOR d, j IN [c::INT FOR c IN string_split(reverse(digits), '')]]) % 10 = 0
     WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
-    WHEN 'iban' THEN array_to_string([CASE WHEN c < 'A' THEN c ELSE (ascii(c) - 55)::VARCHAR END FOR c IN string_split(turned, '')], '')::VARCHAR <> ''
+    WHEN 'iban' THEN match[:2] IN ({', '.join(map(repr, IBAN_COUNTRIES))})
       AND list_reduce(list_prepend(0, [CASE WHEN c < 'A' THEN ascii(c) - 48 ELSE 1000 + ascii(c) - 55 END FOR c IN string_split(turned, '')]),
         lambda r, v: CASE WHEN v >= 1000 THEN (r * 100 + v - 1000) % 97 ELSE (r * 10 + v) % 97 END) = 1
     ELSE TRUE END

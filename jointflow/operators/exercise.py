@@ -26,8 +26,11 @@ from jointflow.session import written
 #: Rows a chunk of a long track should have. Tracks of up to twice as many (18 hours at 30 frames
 #: a second) stay in one piece.
 CHUNK_ROWS = 1_000_000
-#: Long tracks to send to every executor at most (about 50 bytes each); more are joined by shuffle.
+#: Chunk borders of long tracks to send to every executor at most (8 bytes each, some 50 per track); with more
+#: the tracks are joined by shuffle.
 BROADCAST_TRACKS = 100_000
+#: Chunks of a track at most; beyond that they grow.
+MOST_CHUNKS = 1_000
 
 #: How to cut tracks: ``"auto"`` cuts only long ones, a number cuts all of them every so many frames, None
 #: none.
@@ -147,7 +150,9 @@ def _cutter(persons: DataFrame, cut: Cut) -> Callable[[DataFrame], DataFrame] |
     """A function adding the chunk of each row, NULL for tracks left in one piece; None if all are.
 
     ``"auto"`` counts the rows per track in a job of its own. It reads three columns and is combined
-    before its shuffle. At most one track in ``2 * CHUNK_ROWS`` rows can be long, but whether their list
+    before its shuffle. Borders between chunks are quantiles of the frame numbers of the track's rows, from
+    sketches of bounded size that are combined before their shuffle as well: a gap in the numbers moves no rows into one
+    chunk. At most one track in ``2 * CHUNK_ROWS`` rows can be long, but whether their list
     is small enough to be broadcast is checked all the same.
     """
     if cut is None:
@@ -155,29 +160,25 @@ def _cutter(persons: DataFrame, cut: Cut) -> Callable[[DataFrame], DataFrame] |
     if cut != "auto":
         chunk = F.floor(F.col("frame_idx") / F.lit(cut))
         return lambda df: df.withColumn(_CHUNK, chunk).filter(F.col(_CHUNK).isNotNull())
-    pieces = F.ceil(F.col("n") / F.lit(CHUNK_ROWS))
-    frames = F.col("last") - F.col("_first") + 1
-    long = written(
-        _tracked(persons)
-        .groupBy(*TRACK_KEY)
-        .agg(
-            F.count("*").alias("n"),
-            F.min("frame_idx").alias("_first"),
-            F.max("frame_idx").alias("last"),
-        )
-        .filter(F.col("n") > 2 * CHUNK_ROWS)
-        .select(*TRACK_KEY, "_first", F.ceil(frames / pieces).alias("_width")),
-        "long-tracks",
-    )
-    count = long.count()
-    if count == 0:
+    rows = _tracked(persons).select(*TRACK_KEY, "frame_idx")
+    counts = rows.groupBy(*TRACK_KEY).agg(F.count("*").alias("n"))
+    long = written(counts.filter(F.col("n") > 2 * CHUNK_ROWS), "long-tracks")
+    found = long.agg(F.count("*").alias("tracks"), F.max("n").alias("most")).first()
+    if found["tracks"] == 0:
         return None
-    listed = F.broadcast(long) if count <= BROADCAST_TRACKS else long
-    chunk = F.floor((F.col("frame_idx") - F.col("_first")) / F.col("_width"))
+    pieces = min(MOST_CHUNKS, -(-found["most"] // CHUNK_ROWS))
+    few = found["tracks"] * pieces <= BROADCAST_TRACKS
+    keys = long.select(*TRACK_KEY)
+    fractions = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    borders = F.percentile_approx("frame_idx", fractions, F.lit(max(10_000, 100 * pieces))).alias("_borders")
+    own = rows.join(F.broadcast(keys) if few else keys, list(TRACK_KEY), "left_semi")
+    borders = written(own.groupBy(*TRACK_KEY).agg(borders), "track-borders")
+    listed = F.broadcast(borders) if few else borders
+    frame = F.col("frame_idx")
+    before = F.filter("_borders", lambda border: border < frame)
+    chunk = F.when(F.col("_borders").isNotNull(), F.size(before).cast("bigint"))
     return (
-        lambda df: df.join(listed, list(TRACK_KEY), "left")
-        .withColumn(_CHUNK, chunk)
-        .drop("_first", "_width")
+        lambda df: df.join(listed, list(TRACK_KEY), "left").withColumn(_CHUNK, chunk).drop("_borders")
     )
 
 

@@ -65,9 +65,24 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def stream_states(
-    states: DataFrame, path: str, checkpoint: str, available_now: bool = True
+    states: DataFrame, path: str, checkpoint: str, available_now: bool = True, late_path: str | None = None
 ) -> StreamingQuery:
-    """Append a stream of states to parquet files, exactly once per checkpoint."""
+    """Append a stream of states to parquet files, exactly once per checkpoint.
+
+    With ``late_path`` a stream made ``with_late`` leaves its late rows there, a folder ``batch=<n>`` for each micro-batch
+    that a repeated batch overwrites, and its states at ``path`` in the same way.
+    """
+    if late_path is not None:
+
+        def split(batch: DataFrame, batch_id: int) -> None:
+            batch = batch.persist()  # else the stateful step would run twice
+            own, late = batch.where("not late").drop("late"), batch.where("late")
+            own.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            late.select("video_id", "frame_idx", "det_idx", "track_id").write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
+            batch.unpersist()
+
+        parted = states.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
+        return (parted.trigger(availableNow=True) if available_now else parted).start()
     writer = (
         states.writeStream.format("parquet")
         .outputMode("append")

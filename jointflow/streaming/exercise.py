@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from jointflow.config import Registry
@@ -21,7 +22,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _STATE = "frame_idx LONG, det_idx INT, down ARRAY<BOOLEAN>, reps ARRAY<LONG>, angle ARRAY<DOUBLE>"
 _OUT = (
     "video_id STRING, frame_idx LONG, det_idx INT, track_id LONG, machine INT, "
-    "rep_count LONG, down BOOLEAN, angle DOUBLE"
+    "rep_count LONG, down BOOLEAN, angle DOUBLE, late BOOLEAN"
 )
 
 
@@ -62,15 +63,21 @@ class _RepCounter(StatefulProcessor):
         # A track's rows of one micro-batch come in any order and several pieces, and a row that
         # was delivered twice counts once, in one micro-batch as over several.
         order = ["frame_idx", "det_idx"]
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
-        pdf = pdf.drop_duplicates(order, ignore_index=True)
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        late = pdf.duplicated(order)
         n = len(self.limits)
         if self.state.exists():
             frame, det, down, reps, angle = self.state.get()
             newer = (pdf["frame_idx"] > frame) | ((pdf["frame_idx"] == frame) & (pdf["det_idx"] > det))
-            pdf = pdf[newer].reset_index(drop=True)
+            late |= ~newer
         else:
             down, reps, angle = [False] * n, [0] * n, [0.0] * n
+        if late.any():
+            rest = pdf.loc[late, order].assign(
+                video_id=key[0], track_id=key[1], machine=-1, rep_count=0, down=False, angle=0.0, late=True
+            )
+            yield rest[[c.split()[0] for c in _OUT.split(", ")]]
+        pdf = pdf[~late].reset_index(drop=True)
         if len(pdf):
             down, reps, angle = list(down), list(reps), list(angle)
             for i, (machine, down_limit, up_limit) in enumerate(self.limits):
@@ -94,6 +101,7 @@ class _RepCounter(StatefulProcessor):
                         "rep_count": count,
                         "down": on,
                         "angle": held,
+                        "late": False,
                     }
                 )
             last = pdf.iloc[-1]
@@ -113,12 +121,15 @@ def stream_exercise_states(
     config: Mapping[str, Mapping],
     registry: Registry | None = None,
     ttl_ms: int | None = None,
+    with_late: bool = False,
 ) -> DataFrame:
     """State of every active exercise for every person row of a stream, as the batch scan gives it.
 
     The joints are evaluated in the JVM; only keys and one angle per exercise reach the stateful
-    step. Rows not newer than a track's state are skipped, repeated rows as well: micro-batches must
-    follow the frame order, rows inside one may come in any order. A track's rows of one micro-batch
+    step. Micro-batches must follow the frame order, rows inside one may come in any order. Rows not newer than a
+    track's state came too late to be counted, repeated rows as well: the metric ``late_rows`` of every micro-batch tells how
+    many, and ``with_late`` keeps them as rows without a state and with ``late`` true, for
+    :func:`~jointflow.sources.detections.stream_states` to write to a table of their own. A track's rows of one micro-batch
     are sorted in one task, so bound the micro-batch (``max_files`` of the source). With ``ttl_ms`` the state of a track
     not seen for that long (processing time) is dropped and the track starts over; such a query must
     be stopped or triggered once, as it runs empty batches to watch the clock.
@@ -129,6 +140,7 @@ def stream_exercise_states(
     machines = registry.machines(config)
     if not machines:
         types = {f.name: f.dataType for f in EXERCISE_STATE.fields}
+        types |= {"late": T.BooleanType()} if with_late else {}
         none = [F.lit(None).cast(t).alias(n) for n, t in types.items() if n not in persons.columns]
         return persons.where("false").select("*", *none).select(*[F.col(n).cast(t).alias(n) for n, t in types.items()])
     use_rocksdb(persons.sparkSession)
@@ -146,14 +158,19 @@ def stream_exercise_states(
         outputMode="Append",
         timeMode="None" if ttl_ms is None else "ProcessingTime",
     )
+    counted = counted.observe("late_rows", F.count(F.when(F.col("late"), 1)).alias("n"))
+    if not with_late:
+        counted = counted.where("not late")
     name = F.create_map(*[F.lit(v) for m in machines for v in (m.ordinal, m.name)])
-    reps = F.col("rep_count")
-    return counted.withColumns(
+    reps = F.when(~F.col("late"), F.col("rep_count"))
+    made = counted.withColumns(
         {
             "exercise": name[F.col("machine")],
-            "phase": F.when(F.col("down"), F.lit("down")).otherwise(F.lit("up")),
+            "rep_count": reps,
+            "phase": F.when(~F.col("late"), F.when(F.col("down"), F.lit("down")).otherwise(F.lit("up"))),
             # NaN leaves pandas as NULL, and an angle is never NULL.
-            "angle": F.coalesce("angle", F.lit(float("nan"))),
-            "feedback": rep_feedback(reps),
+            "angle": F.when(~F.col("late"), F.coalesce("angle", F.lit(float("nan")))),
+            "feedback": F.when(~F.col("late"), rep_feedback(F.col("rep_count"))),
         }
-    ).select(*EXERCISE_STATE.fieldNames())
+    )
+    return made.select(*EXERCISE_STATE.fieldNames(), *(["late"] if with_late else []))

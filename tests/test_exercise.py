@@ -191,3 +191,12 @@ def test_plan_shuffles_rows_once(spark, tmp_path):
     final = ex.final_states(stored, Registry().machines(DEFAULT_CONFIG))
     plan = final._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_a_gap_in_the_frame_numbers_leaves_chunks_even(spark, monkeypatch):
+    monkeypatch.setattr(ex, "CHUNK_ROWS", 100)
+    rows = [("v", f if f < 999 else 10**9, 0, 7, (f * 37 % 181) * 1.0) for f in range(1000)]
+    df = spark.createDataFrame(rows, ANGLES).repartition(3)
+    sizes = [r["count"] for r in ex._cutter(df, "auto")(df).groupBy("_chunk").count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 120
+    check(ex.track_states(df, [angle_machine(90, 160)]), rows, 90, 160)

@@ -88,3 +88,45 @@ def test_state_with_a_time_to_live(spark, tmp_path):
     assert query.awaitTermination(120)
     rows = spark.read.parquet(out).orderBy("frame_idx").collect()
     assert [r.rep_count for r in rows] == [0, 1, 1, 2]
+
+
+def test_late_rows_are_kept_and_counted(spark, tmp_path):
+    rows = random_rows(5, tracks=6, longest=60)
+    folder, out, late, checkpoint = (str(tmp_path / n) for n in ("in", "out", "late", "c"))
+    df = spark.createDataFrame(rows, ANGLES)
+    counted = 0
+    for part in ("frame_idx % 2 = 0", "frame_idx % 2 <> 0"):  # the wrong order
+        df.filter(part).coalesce(1).write.mode("append").parquet(folder)
+        source = io.stream_detections(spark, folder, max_files=1, schema=ANGLES)
+        states = stream_exercise_states(source, CONFIG, registry(), with_late=True)
+        query = io.stream_states(states, out, checkpoint, late_path=late)
+        assert query.awaitTermination(300)
+        counted += sum(p["observedMetrics"]["late_rows"]["n"] for p in query.recentProgress if p["observedMetrics"])
+    key = ["video_id", "frame_idx", "det_idx", "track_id"]
+    kept = spark.read.parquet(out).select(*key).distinct()
+    rest = spark.read.parquet(late).select(*key)
+    assert rest.count() == counted > 0 and kept.count() + counted == len(rows)
+    assert kept.unionByName(rest).exceptAll(df.select(*key)).isEmpty()
+    # What was counted is as a batch over those rows alone.
+    wanted = {tuple(r) for r in kept.collect()}
+    own_rows = [r for r in rows if (r[0], r[1], r[2], r[3]) in wanted]
+    for name, settings in CONFIG.items():
+        walked = count_rows(own_rows, settings["down"], settings["up"])
+        for r in spark.read.parquet(out).where(f"exercise = '{name}'").collect():
+            assert (r.rep_count, r.phase) == walked[r.video_id, r.frame_idx, r.det_idx][:2]
+
+
+def test_a_state_expires_and_the_track_starts_over(spark, tmp_path):
+    import time
+
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "c"))
+    for start, angles in ((0, (30, 170, 30)), (10, (175, 30, 170))):
+        people = [{"frame_idx": start + f, "points": leg("left", a)} for f, a in enumerate(angles)]
+        person(spark, people).write.mode("append").parquet(folder)
+        states = stream_exercise_states(io.stream_detections(spark, folder, schema=PERSON), DEFAULT_CONFIG, ttl_ms=1_000)
+        writer = states.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        assert writer.trigger(once=True).start().awaitTermination(120)
+        time.sleep(3)
+    rows = spark.read.parquet(out).orderBy("frame_idx").collect()
+    # With the state kept, frame 10 would end a repetition that began at frame 2.
+    assert [(r.frame_idx, r.rep_count) for r in rows] == [(0, 0), (1, 1), (2, 1), (10, 0), (11, 0), (12, 1)]

@@ -46,7 +46,8 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     shift = x.copy()
     for k in range(1, 8):
         shift = shift * (x + k)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(shift)
 
 
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:

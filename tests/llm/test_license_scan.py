@@ -8,7 +8,7 @@ GRANT = next(t for t, label in scan.TEXTS if label == "mit")
 ROWS = [
     (0, "Released under the MIT License. MIT license; mit-LICENSE mit  license"),
     (1, "licensed under the GNU General Public License and the gnu lesser general public license"),
-    (2, "the general public; license mit apache"),
+    (2, "the general public a license mit apache"),
     (3, GRANT.upper()),
     (4, "intro " + GRANT.replace("copy modify", "copy and then also modify").replace("free of charge ", "") + " outro"),
     (5, " ".join(GRANT.split()[:12])),

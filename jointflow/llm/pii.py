@@ -247,4 +247,4 @@ summed AS (
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY rank, start) AS spans
   FROM kept GROUP BY doc_id, text)
 SELECT d.doc_id, {zeros}, sha256(coalesce(s.base_spans, '')) AS base_sha256, coalesce(s.spans, '') AS spans
-FROM docs d LEFT JOIN summed s ON s.doc_id IS NOT DISTINCT FROM d.doc_id AND s.text = d.text"""
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d LEFT JOIN summed s ON s.doc_id IS NOT DISTINCT FROM d.doc_id AND s.text = d.text"""

@@ -169,14 +169,18 @@ def _add_slice(df: DataFrame, model, depth: int) -> DataFrame:
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Logistic regression of y on x by Newton steps with a slight pull to zero: intercept and slope per unit of x."""
+    """Logistic regression of y on x by Newton steps: intercept and slope per unit of x.
+
+    The slope per standard deviation has a normal prior of variance one, so a few documents alone make no steep curve.
+    """
+    pull = np.array([1e-3, 1.0])
     scale = float(np.std(x)) or 1.0
     features = np.stack([np.ones(len(x)), x / scale], 1)
     weights = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(features @ weights, -30, 30)))
-        slope = features.T @ (y - p) - 1e-3 * weights
-        bend = (features * (p * (1 - p))[:, None]).T @ features + 1e-3 * np.eye(2)
+        slope = features.T @ (y - p) - pull * weights
+        bend = (features * (p * (1 - p))[:, None]).T @ features + np.diag(pull)
         weights = weights + np.clip(np.linalg.solve(bend, slope), -5, 5)
     return float(weights[0]), float(weights[1] / scale)
 

@@ -33,8 +33,9 @@ def test_sql_on_odd_rows(spark, name, tmp_path):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    # Rows that are equal in all columns: a repeated document may have one row or several.
     table = QUERIES[name](spark, str(tmp_path)).dropDuplicates().toArrow()
-    assert difference(table, con.execute(ORACLES[name]).to_arrow_table()) is None
+    assert difference(table, con.execute(f"SELECT DISTINCT * FROM ({ORACLES[name]})").to_arrow_table()) is None
 
 
 def test_stages(spark, tmp_path):

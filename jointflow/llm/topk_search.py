@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Components of the vectors in a block, about: 16 MB as doubles.
-BLOCK_COMPONENTS = 2_000_000
+#: Components of the vectors in a block, about: 2 MB as doubles. Trees are built in time up to the square of a block.
+BLOCK_COMPONENTS = 200_000
 LEAF = 64
 
 

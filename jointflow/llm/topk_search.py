@@ -6,7 +6,8 @@ meet in one merge of k rows per block. In a task both sides are indexed by a cov
 points below it within 2^l, and its children's centres lie more than 2^(l - 1) apart. The walk takes
 pairs of nodes, best bound first. No point under two nodes with centres q, p and radii r, s can score more than
 q.p + |q| s + |p| r + r s; a pair whose bound does not exceed the worst k-th score among the node's queries
-is left out. What is left ends in leaves, scored by one matrix product.
+is left out. What is left ends in leaves, scored by one matrix product. Points that are all far from each other, as in many
+dimensions without structure, stay together in one leaf.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without a vec_id. A vec_id
 that repeats counts once, with its least vector. Scores are of vectors with the same number of components only.
@@ -51,11 +52,15 @@ class CoverTree:
             while 2.0**level >= self.radius[node]:  # levels on which the node has but itself for a child
                 level -= 1
             nearest, owner, centers = far.copy(), np.zeros(len(rows), np.int64), [self.center[node]]
-            while (worst := int(np.argmax(nearest))) is not None and nearest[worst] > 2.0**level:
+            most = 4 * -(-len(rows) // leaf)
+            while nearest[worst := int(np.argmax(nearest))] > 2.0**level and len(centers) <= most:
                 gap = self._distances(rows[worst], rows)
                 closer = gap < nearest
                 nearest[closer], owner[closer] = gap[closer], len(centers)
                 centers.append(int(rows[worst]))
+            if len(centers) > most:  # points all apart from each other: nothing to tell them by, so one leaf
+                self.rows[node] = rows
+                continue
             for c, center in enumerate(centers):
                 mine = owner == c
                 child = self._node(center, rows[mine], nearest[mine])

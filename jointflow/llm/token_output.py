@@ -38,6 +38,8 @@ HEAD = "<8s6q"
 MAGIC = b"S8BTOK01"
 #: Ids after which a writer begins a new file.
 FILE_IDS = 2_000_000
+#: Documents whose words are looked up together.
+BATCH = 2_048
 #: Words whose ids a worker remembers in each of two generations, and their greatest length in bytes.
 CACHE_WORDS, CACHE_LENGTH = 300_000, 40
 
@@ -148,8 +150,9 @@ class WordEncoder:
             flat = np.array(x.ids, "<u4")
             cuts = np.flatnonzero(self.ends[flat]) + 1
             if len(cuts) == len(group):  # each word of letters ends in one token that ends a word
-                for i, part in zip(group, np.split(flat, cuts[:-1])):
-                    ids[i] = part.tobytes()
+                raw, stops = flat.tobytes(), (cuts * 4).tolist()
+                for i, a, b in zip(group, [0, *stops], stops):
+                    ids[i] = raw[a:b]
         rest = [i for i, x in enumerate(ids) if x is None]
         for i, x in zip(rest, encode([texts[i] for i in rest], add_special_tokens=False)):
             ids[i] = np.array(x.ids, "<u4").tobytes()
@@ -270,8 +273,8 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, end_id: int, tex
 
         manifest = pa.schema([("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
                 new = encoder.encode([t.encode() for t in batch.column("text").to_pylist()])
                 for d, x in zip(batch.column("doc_id").to_pylist(), new):
                     doc_ids.append(d)

@@ -13,8 +13,6 @@ an empty table, and columns named like the new ones are replaced by them.
 from __future__ import annotations
 
 import base64
-from heapq import heappop, heappush
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +21,9 @@ from pyspark.sql import types as T
 from jointflow.llm.common import append_columns, texts, worker_state
 
 #: Most pre-tokens that a worker remembers in each of two generations, and their greatest length.
-CACHE_ENTRIES, CACHE_LENGTH = 300_000, 48
+CACHE_ENTRIES, CACHE_LENGTH = 150_000, 48
 #: Characters of a batch whose new pre-tokens are merged together.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,10 +43,14 @@ class RankQueue:
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+        if bucket is None:
+            self.fill(rank, [position])
+        else:
+            bucket.append(position)
+
+    def fill(self, rank: int, positions: list[int]) -> None:
+        """Positions for a rank whose bucket is empty."""
+        self.buckets[rank] = positions
         for level in self.levels:
             at, bit = rank >> 6, 1 << (rank & 63)
             level[at] |= bit
@@ -66,15 +68,17 @@ class RankQueue:
             at = at << 6 | ((word & -word).bit_length() - 1)
         return at
 
-    def drop(self, rank: int) -> None:
-        """Unmark a rank whose bucket is empty."""
-        del self.buckets[rank]
+    def take(self, rank: int) -> list[int]:
+        """Empty a rank's bucket: its positions from left to right."""
+        positions = self.buckets.pop(rank)
+        positions.sort()
         for level in self.levels:
             at, bit = rank >> 6, 1 << (rank & 63)
             level[at] &= ~bit
             if level[at]:
                 break
             rank = at
+        return positions
 
 
 class Merger:
@@ -82,62 +86,72 @@ class Merger:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
+        self.byte_pairs = np.full(1 << 16, -1)
         self.pairs: dict[int, int] = {}
         for token, rank in ranks.items():
+            if len(token) == 2:
+                self.byte_pairs[token[0] << 8 | token[1]] = rank
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 20 | right] = rank
         self.queue = RankQueue(max(ranks.values()) + 1)
 
-    def merge(self, pretokens: list[bytes]) -> list[list[int]]:
-        """Ids of each pre-token."""
-        ids: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts = []
-        byte_ids, pairs, queue = self.byte_ids, self.pairs, self.queue
+    def merge(self, pretokens: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token (none of them empty), as little-endian unsigned 32-bit integers."""
+        if not pretokens:
+            return []
+        data = np.frombuffer(b"".join(pretokens), np.uint8).astype(np.int64)
+        n = len(data)
+        ends = np.cumsum([len(x) for x in pretokens])
+        linked, back = np.arange(1, n + 1), np.arange(-1, n - 1)
+        linked[ends - 1] = -1
+        back[np.concatenate([[0], ends[:-1]])] = -1
+        first = np.append(self.byte_pairs[data[:-1] << 8 | data[1:]], -1)
+        first[ends - 1] = -1
+        ids, after, before = self.byte_ids[data].tolist(), linked.tolist(), back.tolist()
+
+        pairs, queue = self.pairs, self.queue
         push = queue.push
-        for token in pretokens:
-            start, n = len(ids), len(token)
-            starts.append(start)
-            ids.extend([byte_ids[b] for b in token])
-            after.extend(range(start + 1, start + n + 1))
-            before.extend(range(start - 1, start + n - 1))
-            if n:
-                after[-1], before[start] = -1, -1
-            for i in range(start, start + n - 1):
-                rank = pairs.get(ids[i] << 20 | ids[i + 1])
-                if rank is not None:
-                    push(rank, i)
+        found = np.flatnonzero(first >= 0)
+        found = found[np.argsort(first[found], kind="stable")]
+        starts = np.flatnonzero(np.diff(first[found], prepend=-1))
+        for positions in np.split(found, starts[1:]) if len(found) else ():
+            queue.fill(int(first[positions[0]]), positions.tolist())
         while (rank := queue.first()) >= 0:
-            bucket = queue.buckets[rank]
-            while bucket:
-                i = heappop(bucket)
+            bucket = queue.take(rank)
+            for at, i in enumerate(bucket):
                 j = after[i]
-                if j < 0 or ids[i] < 0 or pairs.get(ids[i] << 20 | ids[j]) != rank:
+                left = ids[i]
+                if j < 0 or left < 0 or pairs.get(left << 20 | ids[j]) != rank:
                     continue  # stale
                 k, h = after[j], before[i]
                 ids[i], ids[j], after[i] = rank, -1, k
+                # New pairs stand for longer strings, so none of them has this rank.
                 lowest = rank
                 if k >= 0:
                     before[k] = i
                     new = pairs.get(rank << 20 | ids[k])
                     if new is not None:
                         push(new, i)
-                        lowest = min(lowest, new)
+                        if new < lowest:
+                            lowest = new
                 if h >= 0:
                     new = pairs.get(ids[h] << 20 | rank)
                     if new is not None:
                         push(new, h)
-                        lowest = min(lowest, new)
-                if lowest < rank:
-                    break  # a new pair comes before the rest of this bucket
-            if not bucket:
-                queue.drop(rank)
-        starts.append(len(ids))
-        return [[x for x in ids[a:b] if x >= 0] for a, b in zip(starts, starts[1:])]
+                        if new < lowest:
+                            lowest = new
+                if lowest < rank:  # comes before the rest of this bucket
+                    if at + 1 < len(bucket):
+                        queue.fill(rank, bucket[at + 1 :])
+                    break
+        merged = np.array(ids)
+        real = merged >= 0
+        flat = merged[real].astype("<u4").tobytes()
+        stops = (np.cumsum(real)[ends - 1] * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *stops], stops)]
 
 
 class Encoder:
@@ -184,20 +198,25 @@ class Encoder:
                 new[s] = ids
             known[s] = ids
         ranks = self.merger.ranks
-        parts: dict[bytes, bytes | None] = {}
+        parts: dict[str, bytes | None] = {}
         cut = []
         for s in unknown:
-            tokens = [x.encode() for x in self.split(s)]
+            tokens = self.split(s)
             cut.append(tokens)
             for x in tokens:
                 if x not in parts:
-                    whole = ranks.get(x)
-                    parts[x] = None if whole is None else whole.to_bytes(4, "little")
+                    ids = new.get(x) or old.get(x)
+                    if ids is None:
+                        whole = ranks.get(x.encode())
+                        ids = None if whole is None else whole.to_bytes(4, "little")
+                    parts[x] = ids
         merge = [x for x, ids in parts.items() if ids is None]
-        for x, ids in zip(merge, self.merger.merge(merge)):
-            parts[x] = np.array(ids, "<u4").tobytes()
+        for x, ids in zip(merge, self.merger.merge([x.encode() for x in merge])):
+            parts[x] = ids
+            if len(x) <= CACHE_LENGTH:
+                new[x] = ids
         for s, tokens in zip(unknown, cut):
-            known[s] = ids = b"".join([parts[x] for x in tokens])
+            known[s] = ids = parts[s] if len(tokens) == 1 else b"".join([parts[x] for x in tokens])
             if len(s) <= CACHE_LENGTH:
                 new[s] = ids
         return known

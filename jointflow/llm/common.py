@@ -31,9 +31,16 @@ def crc_mod(column: str, modulus: int) -> Column:
 
 
 def worker_state(name: str) -> dict:
-    """A dict that lives as long as the Python worker process, for caches over tasks."""
+    """A dict that lives as long as the Python worker process, for caches over tasks.
+
+    A worker serves one operator after the other; asking for one's cache drops those of the others.
+    """
     module = sys.modules.setdefault("_jointflow_worker_state", types.ModuleType("_jointflow_worker_state"))
-    return module.__dict__.setdefault(name, {})
+    kept = module.__dict__.setdefault("state", {})
+    if name not in kept:
+        kept.clear()
+        kept[name] = {}
+    return kept[name]
 
 
 def append_columns(

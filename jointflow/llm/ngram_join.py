@@ -3,9 +3,9 @@
 Shingles are hashed to 64 bits; the hash is their global order. Texts with the same lower-cased words form one
 class and take part once. The steps:
 
-1. Of each class, the lowest three tenths (and one) of its shingles. Two sets with Jaccard 3/4 or more leave at most a
-   quarter of either set unshared, so a class more than a quarter of whose shingles turn up there in no
-   other class has no partner and drops out. That needs one count per shingle, summed before it is shuffled.
+1. Of each class, the lowest three tenths (and one) of its shingles. Of these a class with a partner has at most ``spare``
+   that turn up in no other class's: those the partner lacks, or those that shingles of the partner alone push out of
+   its part. A class with more has no partner and drops out. That needs one count per shingle, summed before it is shuffled.
 2. The sets of the remaining classes, cut along the global order into ``FRAGMENTS`` fragments.
 3. Candidates share one of the first quarter of their shingles, rarest first (prefix filter), and from where they meet first
    enough shingles must be left for the similarity (positional filter): near copies that have changed too much leave
@@ -38,6 +38,8 @@ WIDTH = 5
 #: Similarity as a fraction: shared shingles over all shingles of the two.
 LEAST = (75, 100)
 FRAGMENTS = 4
+#: Shingles from which a quarter of them is a safe bound in the first step; below, the worst case is worked out.
+TIGHT = 100
 #: Remaining classes up to which their keys are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_CLASSES = 2_000_000
 #: Remembered words of a worker, in each of two generations.
@@ -100,6 +102,24 @@ def lowest(n: int) -> int:
     return min(n, n * 3 // 10 + 1 + (n >= 10))
 
 
+def spare(n: int) -> int:
+    """How many of the lowest shingles of a class of n that has a partner may be in no other class's, at most.
+
+    With s shared, either up to n - s shingles the partner of size m lacks, or up to m - s of its own stand before the
+    shared ones, which leaves lowest(m) - (m - s) of those in its part. From ``TIGHT`` on the second is
+    0.2334 n + 0.9 at most, which is less than a quarter of n, rounded down.
+    """
+    least, most = LEAST
+    if n >= TIGHT:
+        return n // 4
+    worst = 0
+    for m in range(-(-n * least // most), n * most // least + 1):
+        shared = -(-(n + m) * least // (least + most))
+        own, pushed = min(n - shared, lowest(n)), min(m - shared, lowest(m))
+        worst = max(worst, own, lowest(n) - lowest(m) + pushed)
+    return worst
+
+
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
     """A row (doc_id, row, key, n) for each document, and rows (key, shingle) of its lowest shingles."""
     rows = docs.select(
@@ -232,7 +252,9 @@ def similar_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Dat
     alone = found.where("shingle is not null").groupBy("shingle").agg(F.min("key").alias("key"), F.max("key").alias("last"))
     alone = alone.where("key = last").groupBy("key").agg(F.count("*").alias("alone"))
     kept = classes.join(alone, "key", "left").fillna(0, ["alone"])
-    kept = written(kept.where(F.col("alone") <= F.floor(F.col("n") / 4)).where("alone < n"), "shingle-classes")
+    small = F.element_at(F.array(*[F.lit(spare(n)) for n in range(1, TIGHT)]), F.col("n").cast("int"))
+    bound = F.when(F.col("n") < TIGHT, small).otherwise(F.floor(F.col("n") / 4))
+    kept = written(kept.where(F.col("alone") <= bound).where("alone < n"), "shingle-classes")
     sets = _sets(docs, kept, width)
     members = written(_prefixes(sets), "shingle-prefixes")
     links = written(_linked(_star_pairs(members), sets), "shingle-links")

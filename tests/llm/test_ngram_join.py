@@ -91,3 +91,53 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(1, 30)] + [(100, 5), (50, 51), (52, 50), (60, 60), (7, 8), (8, 7)]
     got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {i: 1 for i in [*range(1, 31), 100]} | {50: 50, 51: 50, 52: 50}
+
+
+def test_first_filter_drops_no_partner():
+    """All sizes (a, b, shared) of similar sets, and all ways in which unshared shingles may stand before shared ones."""
+    tight = set()
+    for a in range(1, 400):
+        low = ngram_join.lowest(a)
+        for b in range(1, 540):
+            part = ngram_join.lowest(b)
+            for shared in range(-(-3 * (a + b) // 7), min(a, b) + 1):
+                # u of a's own and v of b's own stand first: a's part holds low - u shared ones, b's part - v of the same.
+                u, v = min(a - shared, low), min(b - shared, part)
+                alone = max(u, low - (part - v))
+                assert alone <= ngram_join.spare(a) < max(a, 2), (a, b, shared)
+                if alone > a // 4:
+                    tight.add((a, b))
+    assert tight == {(7, 9), (10, 13), (27, 36)}
+
+
+def test_worst_order_by_plain_enumeration():
+    """The worst case for small sets from all orders of shared shingles and those of one set alone."""
+    import itertools
+
+    for a in range(1, 8):
+        for b in range(a, 10):
+            for shared in range(-(-3 * (a + b) // 7), a + 1):
+                total = a + b - shared
+                for mine in itertools.combinations(range(total), a - shared):
+                    rest = [x for x in range(total) if x not in mine]
+                    for other in itertools.combinations(rest, b - shared):
+                        A = [x for x in range(total) if x not in other]
+                        B = [x for x in range(total) if x not in mine]
+                        A, B = set(A[: ngram_join.lowest(a)]), set(B[: ngram_join.lowest(b)])
+                        assert len(A - B) <= ngram_join.spare(a) and len(B - A) <= ngram_join.spare(b)
+
+
+@pytest.mark.parametrize("n,m", [(7, 9), (10, 13)])
+def test_new_shingles_before_the_shared_ones(spark, n, m):
+    """A text within a longer one, whose added shingles have hashes so low that shared ones fall out of its lowest part."""
+    shingler = ngram_join.Shingler(5)
+    for k in range(100_000):
+        words = [f"s{k}w{i}" for i in range(m + 4)]
+        a, b = (shingler.of(" ".join(words[: x + 4]))[1].tolist() for x in (n, m))
+        alone = set(a[: ngram_join.lowest(n)]) - set(b[: ngram_join.lowest(m)])
+        if len(alone) > n // 4:
+            break
+    else:
+        raise AssertionError("no such text found")
+    rows = [(1, " ".join(words[: n + 4])), (2, " ".join(words)), (3, "something else that links with none of them")]
+    assert mine(spark, rows) == brute_force(rows) == [(1, n, 1), (2, m, 1), (3, 4, 3)]

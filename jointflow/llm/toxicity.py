@@ -6,7 +6,7 @@ model of continuation counts, taken from the texts of both classes: what is rare
 both and doesn't speak for either. The difference of the two log-likelihoods per byte becomes a score by a
 logistic curve fitted on training documents kept out of the counts.
 
-Counts cover all labelled training documents. The log ratios of grams and contexts form a table that is cut by
+Counts cover all labelled training documents: those kept out for the curve are added once it is fitted. The log ratios of grams and contexts form a table that is cut by
 hash of the context into slices of about ``SLICE_ROWS`` rows at most; each slice is sent to the executors in turn, and
 as a gram and its context lie in one slice, partial sums add up to the same score for any number of slices.
 
@@ -37,7 +37,7 @@ SLICE_ROWS = 4_000_000
 BROADCAST_LABELS = 2_000_000
 #: Training documents the curve is fitted on, at most.
 FIT_ROWS = 20_000
-#: One of so many training documents is kept out of the counts for the curve.
+#: One of so many training documents is kept out of the counts until the curve is fitted.
 FIT_SHARE = 8
 TEXT_CHUNK = 4_000_000
 
@@ -197,13 +197,17 @@ def add_toxicity(df: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame
     else:
         counts = written(count_grams(rows.where("not fit")), "toxic-counts")
         have = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
-        if not have["n0"] or not have["n1"]:  # tables so small that one class is all kept for the curve
+        whole = not have["n0"] or not have["n1"]  # tables so small that one class is all kept for the curve
+        if whole:
             counts = written(count_grams(rows), "toxic-counts")
         ratios = log_ratios(counts)
         seen = add_ratio(rows.where("fit").limit(FIT_ROWS), ratios).select("log_ratio", "toxic").toArrow()
         if len(set(seen.column("toxic").to_pylist())) < 2:
             seen = add_ratio(rows.limit(FIT_ROWS), ratios).select("log_ratio", "toxic").toArrow()
         base, slope = fit_curve(seen.column("log_ratio").to_numpy(), seen.column("toxic").to_numpy())
+        if not whole:  # the scores take what was kept out for the curve into the counts
+            every = counts.unionByName(count_grams(rows.where("fit"))).groupBy("gram")
+            ratios = log_ratios(written(every.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-counts"))
         z = F.lit(base) + F.lit(slope) * F.col("log_ratio")
         df = add_ratio(df, ratios).withColumn("score", 1 / (1 + F.exp(-z))).drop("log_ratio")
     return df.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -111,3 +111,19 @@ def test_few_labels_and_odd_rows(spark, labels):
     if not labels:
         assert {r.score for r in got} == {0.5}
     assert toxicity.add_toxicity(docs.limit(0), docs, spark.createDataFrame(labels, LABELS)).count() == 0
+
+
+def test_documents_kept_for_the_curve_are_counted(spark):
+    """A toxic expression that stands only in documents the curve is fitted on is known to the scores."""
+    import zlib
+
+    rows, labels = corpus(300)
+    kept = [d for d, *_ in labels if (c := zlib.crc32(str(d).encode())) % 5 and c // 5 % toxicity.FIT_SHARE == 0]
+    assert len(kept) > 10
+    plain = frame(spark, [*rows, (5000, "balun topas qwyxj qwyxj qwyxj mitor")])
+    added = frame(spark, [(d, t + " qwyxj" * 30 if d in kept and labels[d][2] else t) for d, t in rows] + [(5000, "balun topas qwyxj qwyxj qwyxj mitor")])
+    table = spark.createDataFrame(labels, LABELS)
+    before, after = (
+        toxicity.add_toxicity(x.where("doc_id = 5000"), x, table).first().score for x in (plain, added)
+    )
+    assert after > 0.9 > before

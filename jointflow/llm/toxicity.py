@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,22 +35,30 @@ DISCOUNT = 0.75
 SLICE_ROWS = 4_000_000
 #: Rows of labels up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
-#: Training documents the curve is fitted on, at most.
+#: Training documents the curve is fitted on, at most: half of them toxic, half ordinary, weighted by the true shares.
 FIT_ROWS = 20_000
-#: One of so many training documents is kept out of the counts until the curve is fitted.
+#: One of so many training documents of each class (one at least) is kept out of the counts until the curve is fitted.
 FIT_SHARE = 8
 TEXT_CHUNK = 4_000_000
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows (text, toxic, fit): labelled, and not held out."""
+    """Training rows (text, toxic, hash of the doc_id): labelled, and not held out."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if labels.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
     rows = docs.where(F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0))
     rows = rows.select("doc_id", lower_ascii(whole_text("text")).alias("text")).join(known, "doc_id")
-    fit = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 5) % FIT_SHARE == 0
-    return rows.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), fit.alias("fit"))
+    return rows.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), F.xxhash64("doc_id").alias("hash"))
+
+
+def lowest_hashes(ids: DataFrame, sizes: dict[int, int]) -> Column:
+    """Whether a row is of one of the ``sizes[c]`` documents of its class c that have the lowest hashes in the table."""
+    found = F.lit(False)
+    for c, n in sizes.items():
+        last = ids.where(F.col("toxic") == c).select("hash").orderBy("hash").limit(n).agg(F.max("hash")).first()[0]
+        found = found | ((F.col("toxic") == c) & (F.col("hash") <= last))
+    return found
 
 
 def count_grams(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -168,8 +176,8 @@ def _add_slice(df: DataFrame, model, depth: int) -> DataFrame:
     return added.withColumn("log_ratio", F.col("log_ratio") + F.col("_part")).drop("_part")
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Logistic regression of y on x by Newton steps: intercept and slope per unit of x.
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Logistic regression of y on x, rows weighted, by Newton steps: intercept and slope per unit of x.
 
     The slope per standard deviation has a normal prior of variance one, so a few documents alone make no steep curve.
     """
@@ -179,8 +187,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     weights = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(features @ weights, -30, 30)))
-        slope = features.T @ (y - p) - pull * weights
-        bend = (features * (p * (1 - p))[:, None]).T @ features + np.diag(pull)
+        slope = features.T @ (weight * (y - p)) - pull * weights
+        bend = (features * (weight * p * (1 - p))[:, None]).T @ features + np.diag(pull)
         weights = weights + np.clip(np.linalg.solve(bend, slope), -5, 5)
     return float(weights[0]), float(weights[1] / scale)
 
@@ -191,20 +199,23 @@ def add_toxicity(df: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame
     Columns named ``log_ratio``, ``score`` or ``predicted`` are replaced.
     """
     rows = labelled(docs, labels)
-    rates = rows.agg(F.avg("toxic").alias("rate")).first()["rate"]
-    if rates in (None, 0.0, 1.0):
-        df = df.withColumn("score", F.lit(0.5 if rates is None else float(rates)))
+    ids = written(rows.groupBy("hash", "toxic").agg(F.count("*").alias("n")), "toxic-training")
+    sizes = {r["toxic"]: r for r in ids.groupBy("toxic").agg(F.count("*").alias("docs"), F.sum("n").alias("rows")).collect()}
+    if len(sizes) < 2:
+        df = df.withColumn("score", F.lit(float(*sizes) if sizes else 0.5))
     else:
-        counts = written(count_grams(rows.where("not fit")), "toxic-counts")
-        have = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
-        whole = not have["n0"] or not have["n1"]  # tables so small that one class is all kept for the curve
-        if whole:
-            counts = written(count_grams(rows), "toxic-counts")
+        half = max(1, FIT_ROWS // 2)
+        whole = any(r["docs"] < 2 for r in sizes.values())  # a class of one document is counted and fits the curve
+        take = {c: min(half, r["docs"] if whole else max(1, r["docs"] // FIT_SHARE)) for c, r in sizes.items()}
+        rows = rows.withColumn("fit", lowest_hashes(ids, take))
+        counts = written(count_grams(rows if whole else rows.where("not fit")), "toxic-counts")
         ratios = log_ratios(counts)
-        seen = add_ratio(rows.where("fit").limit(FIT_ROWS), ratios).select("log_ratio", "toxic").toArrow()
-        if len(set(seen.column("toxic").to_pylist())) < 2:
-            seen = add_ratio(rows.limit(FIT_ROWS), ratios).select("log_ratio", "toxic").toArrow()
-        base, slope = fit_curve(seen.column("log_ratio").to_numpy(), seen.column("toxic").to_numpy())
+        once = rows.where("fit").groupBy("hash", "toxic").agg(F.min("text").alias("text"))
+        seen = add_ratio(once, ratios).select("log_ratio", "toxic").toArrow()
+        x, y = (seen.column(c).to_numpy() for c in ("log_ratio", "toxic"))
+        share = sizes[1]["rows"] / (sizes[0]["rows"] + sizes[1]["rows"])
+        weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+        base, slope = fit_curve(x, y, weight)
         if not whole:  # the scores take what was kept out for the curve into the counts
             every = counts.unionByName(count_grams(rows.where("fit"))).groupBy("gram")
             ratios = log_ratios(written(every.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-counts"))

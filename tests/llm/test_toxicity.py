@@ -115,11 +115,10 @@ def test_few_labels_and_odd_rows(spark, labels):
 
 def test_documents_kept_for_the_curve_are_counted(spark):
     """A toxic expression that stands only in documents the curve is fitted on is known to the scores."""
-    import zlib
-
     rows, labels = corpus(300)
-    kept = [d for d, *_ in labels if (c := zlib.crc32(str(d).encode())) % 5 and c // 5 % toxicity.FIT_SHARE == 0]
-    assert len(kept) > 10
+    toxic = spark.createDataFrame(labels, LABELS).where("toxic = 1 and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    kept = [r.doc_id for r in toxic.orderBy(toxicity.F.xxhash64("doc_id")).limit(toxic.count() // toxicity.FIT_SHARE).collect()]
+    assert len(kept) > 4
     plain = frame(spark, [*rows, (5000, "balun topas qwyxj qwyxj qwyxj mitor")])
     added = frame(spark, [(d, t + " qwyxj" * 30 if d in kept and labels[d][2] else t) for d, t in rows] + [(5000, "balun topas qwyxj qwyxj qwyxj mitor")])
     table = spark.createDataFrame(labels, LABELS)
@@ -127,3 +126,16 @@ def test_documents_kept_for_the_curve_are_counted(spark):
         toxicity.add_toxicity(x.where("doc_id = 5000"), x, table).first().score for x in (plain, added)
     )
     assert after > 0.9 > before
+
+
+def test_curve_on_a_table_ordered_by_label(spark, monkeypatch):
+    """Few documents for the curve, and all ordinary ones come first: it sees both classes, in their true shares."""
+    import zlib
+
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 20)
+    rows, labels = corpus()
+    docs = frame(spark, sorted(rows, key=lambda r: labels[r[0]][2]))
+    scored = toxicity.add_toxicity(docs, docs, spark.createDataFrame(labels, LABELS)).collect()
+    held = [r for r in scored if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    for c in (0, 1):
+        assert np.mean([r.predicted == c for r in held if labels[r.doc_id][2] == c]) > 0.9

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from jointflow.llm import (
     bpe,
     decontamination,
+    filter_audit,
+    fingerprint,
     license_scan,
     lm_scoring,
+    merkle_manifest,
     ngram_join,
     pii,
     sharding,
@@ -97,6 +100,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -110,10 +125,15 @@ QUERIES = {
         op8_pii,
         op9_decontamination,
         op10_toxicity,
+        op11_fingerprint,
+        op12_merkle_manifest,
+        op13_filter_audit,
     )
 }
 ORACLES = {
     "op1_license_scan": license_scan.oracle(),
     "op3_topk_search": topk_search.oracle(5, "vec_id % 50 = 0"),
     "op8_pii": pii.oracle(),
+    "op12_merkle_manifest": merkle_manifest.oracle(),
+    "op13_filter_audit": filter_audit.oracle(),
 }

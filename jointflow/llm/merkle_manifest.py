@@ -21,7 +21,7 @@ An empty table gives an empty table. Columns of the caller are carried along und
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -135,7 +135,7 @@ def _height(leaves: int, block_height: int) -> int:
 def _roots(leaves: DataFrame, group: str, leaf: str, block_height: int) -> DataFrame:
     """``(group, _i, _n, leaf)`` of the level above: the root of every block, and how many blocks its group has."""
 
-    def build(key, table: pa.Table) -> pa.Table:
+    def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("_i")
         tree = Appender()
         for h in table.column("leaf").to_pylist():

@@ -51,17 +51,19 @@ def text_failures(text: Column) -> dict[str, Column]:
 def repeated_ids(texts: DataFrame, hot: DataFrame) -> DataFrame:
     """``(doc_id, hash)`` of rows of ``texts`` (doc_id, hash, text) whose text a smaller doc_id has; no id comes back
     for another reason, some may come twice. ``hot``: hashes of very many rows, ``HOT_SHARE`` at most."""
-    known = texts.where("doc_id is not null")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    salted = known.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "hash", "left").withColumn(
-        "salt", F.when(F.col("hot"), salt).otherwise(0)
-    )
-    least = salted.groupBy("hash", "salt", "text").agg(F.min("doc_id").alias("least"), F.max("hot").alias("hot"))
-    a, b = salted.alias("a"), least.alias("b")
+    known = texts.where("doc_id is not null").join(F.broadcast(hot.withColumn("hot", F.lit(True))), "hash", "left")
+    # Never null, so no filter is put below one side alone.
+    salt = F.coalesce(F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), F.lit(-1))
+    salted = known.select("hash", salt.alias("salt"), "text", "doc_id")
+    dealt = salted.repartition("hash", "salt", "text")
+    least = dealt.groupBy("hash", "salt", "text").agg(F.min("doc_id").alias("least"))
+    # Both sides read one shuffle of the texts: the planner would move a semi join below the shuffle of its left side,
+    # but not past a column of running numbers.
+    a, b = dealt.withColumn("row", F.monotonically_increasing_id()).alias("a"), least.alias("b")
     same = (F.col("a.hash") == F.col("b.hash")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.text") == F.col("b.text"))
-    within = a.join(b, same & (F.col("b.least") < F.col("a.doc_id")), "left_semi").select("doc_id", "hash")
-    # The least rows of the salts of a hot text, against the least of them all.
-    ends = least.where("hot")
+    within = a.join(b, same & (F.col("b.least") < F.col("a.doc_id")) & (F.col("a.row") >= 0), "left_semi").select("doc_id", "hash")
+    # The least rows of the salts of a hot text, against the least of them all; each task sends few of them.
+    ends = salted.where("salt >= 0").groupBy("hash", "salt", "text").agg(F.min("doc_id").alias("least"))
     first = ends.groupBy("hash", "text").agg(F.min("least").alias("least"))
     a, b = ends.alias("a"), first.alias("b")
     same = (F.col("a.hash") == F.col("b.hash")) & (F.col("a.text") == F.col("b.text"))

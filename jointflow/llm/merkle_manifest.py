@@ -195,14 +195,14 @@ def tree_witnesses(leaves: DataFrame, group: str, leaf: str, block_height: int =
 def manifest(rows: DataFrame, group: str, order: Sequence[str], leaf: str, block_height: int = BLOCK_HEIGHT) -> DataFrame:
     """``rows`` with ``subroot`` (of the row's group), ``root`` (of all) and ``witness`` (the steps from leaf to root).
 
-    ``leaf`` names the column with the row's hash. Columns named like the new ones are replaced.
+    ``leaf`` names the column with the row's hash; a null one counts as the hash of ``-``. Columns named like the new ones are replaced.
     """
     rows = rows.drop("subroot", "root", "witness")
     own = [c for c in rows.columns]
     plain = rows.select(
         F.col(group).alias("_group"),
         *[F.col(c).alias(f"_order{k}") for k, c in enumerate(order)],
-        F.col(leaf).alias("_leaf"),
+        F.coalesce(leaf, node_hash(F.lit("-"))).alias("_leaf"),
         F.struct(*[F.col(f"`{c}`") for c in own]).alias("_own"),
     )
     placed = numbered(plain, "_group", [f"_order{k}" for k in range(len(order))] + ["_leaf"], "leaves")

@@ -30,8 +30,10 @@ def test_sql_on_odd_rows(spark, name, tmp_path):
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     vectors = [(i, [float(i % 7) - 3, 0.5, None if i == 9 else 0.1], 0) for i in range(120)] + [(50, None, 0), (None, [1.0], 0)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    labels = [(i, i % 2, i % 3 % 2) for i in range(0, 2003, 3)] + [(3, 1, 1), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     # Rows that are equal in all columns: a repeated document may have one row or several.
     table = QUERIES[name](spark, str(tmp_path)).dropDuplicates().toArrow()

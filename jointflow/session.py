@@ -49,4 +49,14 @@ def written(df, purpose: str):
     """``df`` written to the shared folder and read back: its lineage is cut, executors may come and go."""
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._written_at = path
+    return made
+
+
+def discard(*tables) -> None:
+    """Delete tables of :func:`written`. Only what reads them must be written itself by then."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ the shared folder and read again as the next one's documents. All but the last r
 from __future__ import annotations
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import jointflow
@@ -18,32 +18,43 @@ from jointflow.session import written
 cloudpickle.register_pickle_by_value(jointflow)
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``text``, and all other columns in one: no column that a stage adds can take the place of another."""
+    return docs.select("text", F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("own"))
+
+
+def _unpacked(made: DataFrame, docs: DataFrame, changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``docs`` again, in their order; ``changed`` ones take the place of the old."""
+    place = {c: F.col("own")[c] for c in docs.columns} | {"text": F.col("text")} | (changed or {})
+    return made.select(*[place[c].alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is predicted go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = toxicity.add_toxicity(docs, docs.select("doc_id", "text"), labels)
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity.add_toxicity(_packed(docs), docs.select("doc_id", "text"), labels)
+    return _unpacked(scored.where("predicted = 0"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least doc_id stays."""
-    return ngram_join.keep_one(docs).select(*docs.columns)
+    return ngram_join.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, up to a fifth of its words changed, go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontamination.mark_leaks(docs, items).where("not leaked").select(*docs.columns)
+    return _unpacked(decontamination.mark_leaks(_packed(docs), items).where("not leaked"), docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data give way to their kind in brackets; ``n_chars`` follows where a text has changed."""
-    found = pii.find_spans(docs)
-    masked = pii.redact(found)
+    masked = pii.redact(pii.find_spans(_packed(docs)))
+    changed = {}
     if "n_chars" in docs.columns:
         size = F.length("text").cast(dict(docs.dtypes)["n_chars"])
-        masked = masked.withColumn("n_chars", F.when(F.size("spans") > 0, size).otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+        changed["n_chars"] = F.when(F.size("spans") > 0, size).otherwise(F.col("own")["n_chars"])
+    return _unpacked(masked, docs, changed)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +62,7 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded")
     whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", "n_tokens", "ids", whole.alias("decodes"))
 

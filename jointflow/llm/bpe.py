@@ -13,17 +13,25 @@ an empty table, and columns named like the new ones are replaced by them.
 from __future__ import annotations
 
 import base64
+from array import array
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from jointflow.llm.common import append_columns, texts, worker_state
+from jointflow.llm.grams import Lookup, chunks
 
 #: Most pre-tokens that a worker remembers in each of two generations, and their greatest length.
-CACHE_ENTRIES, CACHE_LENGTH = 150_000, 48
+CACHE_ENTRIES, CACHE_LENGTH = 200_000, 48
 #: Characters of a batch whose new pre-tokens are merged together.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 4_000_000
+#: Rows of a batch.
+ROWS = 2_048
+#: Positions of one rank from which they are merged side by side as arrays.
+WIDE = 24
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -96,31 +104,73 @@ class Merger:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 20 | right] = rank
+        keys = np.array(sorted(self.pairs), np.int64)
+        self.pair_places = Lookup(keys)
+        self.pair_ranks = np.array([*map(self.pairs.__getitem__, keys.tolist()), -1])
         self.queue = RankQueue(max(ranks.values()) + 1)
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, -1 for none and for ids below zero."""
+        found = self.pair_ranks[self.pair_places(left << 20 | np.maximum(right, 0))]
+        found[(left < 0) | (right < 0)] = -1
+        return found
+
+    def fill(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """Positions into the buckets of their ranks, where they have one."""
+        found = np.flatnonzero(ranks >= 0)
+        found = found[np.argsort(ranks[found], kind="stable")]
+        if not len(found):
+            return
+        ranks, positions = ranks[found], positions[found].tolist()
+        starts = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
+        buckets, fill = self.queue.buckets, self.queue.fill
+        for rank, start, end in zip(ranks[starts].tolist(), starts, [*starts[1:], len(positions)]):
+            if (bucket := buckets.get(rank)) is None:
+                fill(rank, positions[start:end])
+            else:
+                bucket.extend(positions[start:end])
+
     def merge(self, pretokens: list[bytes]) -> list[bytes]:
         """Ids of each pre-token (none of them empty), as little-endian unsigned 32-bit integers."""
         if not pretokens:
             return []
         data = np.frombuffer(b"".join(pretokens), np.uint8).astype(np.int64)
         n = len(data)
-        ends = np.cumsum([len(x) for x in pretokens])
+        sizes = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
+        ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(pretokens)), sizes)
         linked, back = np.arange(1, n + 1), np.arange(-1, n - 1)
         linked[ends - 1] = -1
-        back[np.concatenate([[0], ends[:-1]])] = -1
+        back[ends[:-1]] = -1
         first = np.append(self.byte_pairs[data[:-1] << 8 | data[1:]], -1)
         first[ends - 1] = -1
-        ids, after, before = self.byte_ids[data].tolist(), linked.tolist(), back.tolist()
+        # The same memory as numbers for single steps and as arrays for wide ones.
+        ids, after, before = (array("q", x.tobytes()) for x in (self.byte_ids[data], linked, back))
+        wide_ids, wide_after, wide_before = (np.frombuffer(x, np.int64) for x in (ids, after, before))
 
         pairs, queue = self.pairs, self.queue
         push = queue.push
-        found = np.flatnonzero(first >= 0)
-        found = found[np.argsort(first[found], kind="stable")]
-        starts = np.flatnonzero(np.diff(first[found], prepend=-1))
-        for positions in np.split(found, starts[1:]) if len(found) else ():
-            queue.fill(int(first[positions[0]]), positions.tolist())
+        self.fill(first, np.arange(n))
         while (rank := queue.first()) >= 0:
             bucket = queue.take(rank)
+            if len(bucket) >= WIDE:
+                # All pre-tokens that have the pair at once, in each the leftmost one; what is left waits its turn.
+                at = np.array(bucket)
+                right = wide_after[at]
+                good = (right >= 0) & (self.ranks_of(wide_ids[at], wide_ids[right]) == rank)
+                at, right = at[good], right[good]
+                leftmost = np.diff(owner[at], prepend=-1) > 0
+                if not leftmost.all():
+                    queue.fill(rank, at[~leftmost].tolist())
+                    at, right = at[leftmost], right[leftmost]
+                last, prev = wide_after[right], wide_before[at]
+                wide_ids[at], wide_ids[right], wide_after[at] = rank, -1, last
+                more, less = last >= 0, prev >= 0
+                wide_before[last[more]] = at[more]
+                merged = np.full(len(at), rank)
+                new = np.concatenate([self.ranks_of(merged[more], wide_ids[last[more]]), self.ranks_of(wide_ids[prev[less]], merged[less])])
+                self.fill(new, np.concatenate([at[more], prev[less]]))
+                continue
             for at, i in enumerate(bucket):
                 j = after[i]
                 left = ids[i]
@@ -147,9 +197,8 @@ class Merger:
                     if at + 1 < len(bucket):
                         queue.fill(rank, bucket[at + 1 :])
                     break
-        merged = np.array(ids)
-        real = merged >= 0
-        flat = merged[real].astype("<u4").tobytes()
+        real = wide_ids >= 0
+        flat = wide_ids[real].astype("<u4").tobytes()
         stops = (np.cumsum(real)[ends - 1] * 4).tolist()
         return [flat[a:b] for a, b in zip([0, *stops], stops)]
 
@@ -182,6 +231,30 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def pretokens(self, segments: list[str]) -> list[list[str]]:
+        """The matches of the pattern in each segment.
+
+        Segments that begin with a space and end with no white space are matched in one go, one behind the other, as if they
+        stood in one text.
+        """
+        plain = [s[:1] == " " and not s[-1:].isspace() for s in segments]
+        joined = "".join([s for s, x in zip(segments, plain) if x])
+        found = self.split(joined)
+        if sum(map(len, found)) != len(joined):  # a pattern that leaves characters out
+            return [self.split(s) for s in segments]
+        tokens, out = iter(found), []
+        for s, together in zip(segments, plain):
+            if not together:
+                out.append(self.split(s))
+                continue
+            own = [token := next(tokens)]
+            left = len(s) - len(token)
+            while left:
+                own.append(token := next(tokens))
+                left -= len(token)
+            out.append(own)
+        return out
+
     def learn(self, segments: set[str]) -> dict[str, bytes]:
         """The ids of every given segment, as little-endian unsigned 32-bit integers."""
         if len(self.new) > CACHE_ENTRIES:
@@ -199,10 +272,8 @@ class Encoder:
             known[s] = ids
         ranks = self.merger.ranks
         parts: dict[str, bytes | None] = {}
-        cut = []
-        for s in unknown:
-            tokens = self.split(s)
-            cut.append(tokens)
+        cut = self.pretokens(unknown)
+        for tokens in cut:
             for x in tokens:
                 if x not in parts:
                     ids = new.get(x) or old.get(x)
@@ -237,36 +308,72 @@ class Encoder:
         return out
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
-    """``df`` with ``ids`` (binary: little-endian unsigned 32-bit integers) and ``n_tokens`` of each whole text."""
-    key = f"bpe {len(ranks)} {hash(pattern)} {hash(tuple(sorted(ranks.items())))}"
+class Decoder:
+    """Ids to bytes: all tokens stand in one run of bytes, and the pieces of a whole batch are gathered from it at once."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.sizes = np.full(max(ranks.values()) + 1, -1)
+        tokens = sorted(ranks, key=ranks.__getitem__)
+        at = [ranks[t] for t in tokens]
+        self.sizes[at] = [len(t) for t in tokens]
+        self.starts = np.zeros(len(self.sizes), np.int64)
+        self.starts[at] = np.cumsum([0, *map(len, tokens)])[:-1]
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, batch: list[bytes]) -> Iterator[bytes]:
+        """The bytes of each list of little-endian unsigned 32-bit ids."""
+        for part in chunks(batch, CHUNK_CHARS):
+            ids = np.frombuffer(b"".join(part), "<u4")
+            if len(ids) and (ids.max() >= len(self.sizes) or (self.sizes[ids] < 0).any()):
+                raise ValueError("an id has no token")
+            sizes = self.sizes[ids]
+            ends = np.cumsum(sizes)
+            # Where each byte stands among the tokens: one further than the byte before, but for jumps between tokens.
+            place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[ids] - ends + sizes, sizes)
+            flat = self.data[place].tobytes()
+            stops = np.concatenate([[0], ends])[np.cumsum([len(x) // 4 for x in part])].tolist()
+            for a, b in zip([0, *stops], stops):
+                yield flat[a:b]
+
+
+def _coder(kind: str, ranks: dict[bytes, int], pattern: str, make):
+    """The worker's own encoder or decoder for these ranks."""
+    state = worker_state("byte-level BPE")
+    key = f"{kind} {len(ranks)} {hash(pattern)} {hash(tuple(sorted(ranks.items())))}"
+    return state.get(key) or state.setdefault(key, make())
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", decoded: str | None = None) -> DataFrame:
+    """``df`` with ``ids`` (binary: little-endian unsigned 32-bit integers) and ``n_tokens`` of each whole text.
+
+    With ``decoded`` the ids are decoded again in the same pass, into a binary column of that name.
+    """
 
     def make():
-        state = worker_state("encoders")
-        encoder = state.get(key) or state.setdefault(key, Encoder(ranks, pattern))
+        encoder = _coder("encode", ranks, pattern, lambda: Encoder(ranks, pattern))
+        decoder = _coder("decode", ranks, "", lambda: Decoder(ranks)) if decoded else None
 
         def of_batch(table: pa.Table) -> list[pa.Array]:
             ids = encoder.encode(texts(table, text))
-            return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            columns = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            return columns + ([pa.array(decoder.decode(ids), pa.binary())] if decoder else [])
 
         return of_batch
 
     fields = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
-    return append_columns(df, fields, make)
+    fields += [T.StructField(decoded, T.BinaryType())] if decoded else []
+    return append_columns(df, fields, make, rows=ROWS, caches=True)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the bytes that the ids stand for; null ids decode to no bytes, unknown ids are an error."""
 
     def make():
-        table_of: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            table_of[rank] = token
+        decoder = _coder("decode", ranks, "", lambda: Decoder(ranks))
 
         def of_batch(table: pa.Table) -> list[pa.Array]:
-            lists = [np.frombuffer(x or b"", "<u4").tolist() for x in table.column(ids).to_pylist()]
-            return [pa.array([b"".join([table_of[i] for i in x]) for x in lists], pa.binary())]
+            return [pa.array(decoder.decode([x or b"" for x in table.column(ids).to_pylist()]), pa.binary())]
 
         return of_batch
 
-    return append_columns(df, [T.StructField(out, T.BinaryType())], make)
+    return append_columns(df, [T.StructField(out, T.BinaryType())], make, caches=True)

@@ -43,16 +43,28 @@ def worker_state(name: str) -> dict:
     return kept[name]
 
 
+def drop_caches() -> None:
+    """For tasks without a cache of their own: what operators before have left in this worker goes."""
+    worker_state("none")
+
+
+def unused_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for k in range(len(taken) + 1) if (n := f"_{name}{k or ''}") not in taken) for name in wanted]
+
+
 def append_columns(
     df: DataFrame,
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[[pa.Table], list[pa.Array]]],
     rows: int = 512,
+    caches: bool = False,
 ) -> DataFrame:
     """``df`` with new columns made from Arrow batches of ``rows`` rows at most.
 
     ``make()`` is called once for each task and gives the function of a batch. A new column takes the
-    place of one of the same name.
+    place of one of the same name. Unless it ``caches``, what other operators left in a worker is dropped.
     """
     new = [f.name for f in fields]
     kept = [c for c in df.columns if c not in new]
@@ -60,6 +72,8 @@ def append_columns(
     schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not caches:
+            drop_caches()
         of_batch = make()
         for whole in batches:
             for start in range(0, whole.num_rows, rows):

@@ -7,9 +7,9 @@ pieces, it has one piece that stands unchanged, so every passage within the budg
 the best-fitting passage decides.
 
 Items are searched in slices by hash of about ``SLICE_CHARS`` characters at most; each slice is sent to the executors, so what is
-broadcast is bounded, and more items take more passes over the texts. Items of fewer than ``LEAST_WORDS`` words
-(null ones too) say nothing about a document and are left out; items that fold to the same words are all
-reported.
+broadcast is bounded, and more items take more passes over the texts. Items of fewer than five words
+have a budget of no edits and are found word for word; items without words (null ones too) say nothing about a document and are
+left out; items that fold to the same words are all reported.
 
 Null texts count as empty and match nothing, a null doc_id stays null, repeated rows repeat their result, empty tables give an
 empty result, and extra columns are left out of it.
@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jointflow.llm.common import append_columns, texts
+from jointflow.llm.common import append_columns, drop_caches, texts
 
 BUDGET = 0.2
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 SLICE_CHARS = 8_000_000
 
 _KEPT = b"abcdefghijklmnopqrstuvwxyz0123456789"
@@ -147,6 +147,7 @@ def _slices(items: DataFrame) -> Iterator:
 
 def _search(known, id_columns: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         searcher = Searcher([words for words, _ in known.value])
         for whole in batches:
             for at in range(0, whole.num_rows, 512):

@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jointflow.llm.common import whole_text, worker_state
+from jointflow.llm.common import unused_names, whole_text, worker_state
 from jointflow.llm.components import components
-from jointflow.session import written
+from jointflow.session import discard, written
 
 WIDTH = 5
 #: Similarity as a fraction: shared shingles over all shingles of the two.
@@ -179,7 +179,11 @@ def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 
     made = written(rows.select("text").mapInArrow(run, "key long, n long, fragment int, shingles array<long>"), "shingle-sets")
     twice = made.groupBy("key", "fragment").count().where("count > 1")  # of a row that comes twice
-    return made if twice.isEmpty() else written(made.dropDuplicates(["key", "fragment"]), "shingle-sets")
+    if twice.isEmpty():
+        return made
+    once = written(made.dropDuplicates(["key", "fragment"]), "shingle-sets")
+    discard(made)
+    return once
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -245,7 +249,7 @@ def _pairs_over_components(members: DataFrame) -> DataFrame:
 def similar_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """Rows of documents (doc_id, row, key, n) and (node, component) of the class keys that have a partner."""
     found = written(_signatures(docs, width), "shingle-signatures")
-    rows = found.where("n is not null").select("doc_id", "row", "key", "n")
+    rows = written(found.where("n is not null").select("doc_id", "row", "key", "n"), "shingle-rows")
     classes = rows.where("n > 0").groupBy("key").agg(F.min(F.struct("row", "n")).alias("one"))
     classes = classes.select("key", "one.row", "one.n")
     # Shingles of one class only: the least and the greatest class agree, which needs partial minima only.
@@ -255,12 +259,14 @@ def similar_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Dat
     small = F.element_at(F.array(*[F.lit(spare(n)) for n in range(1, TIGHT)]), F.col("n").cast("int"))
     bound = F.when(F.col("n") < TIGHT, small).otherwise(F.floor(F.col("n") / 4))
     kept = written(kept.where(F.col("alone") <= bound).where("alone < n"), "shingle-classes")
+    discard(found)
     sets = _sets(docs, kept, width)
     members = written(_prefixes(sets), "shingle-prefixes")
     links = written(_linked(_star_pairs(members), sets), "shingle-links")
     joined = written(components(links), "shingle-components").withColumnRenamed("node", "key")
     named = members.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
     more = written(_linked(_pairs_over_components(named), sets), "shingle-more")
+    discard(sets, members)
     return rows, components(links.unionByName(more))
 
 
@@ -279,14 +285,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row of each group of near-duplicates, the least by doc_id (nulls last), with all columns of ``docs``."""
+    """One row of each group of near-duplicates, the least by doc_id (nulls last), with all columns of ``docs``.
+
+    Rows whose text is null or has no words link with nothing: they all stay, repeated ones as well.
+    """
     rows, joined = similar_classes(docs, width)
     rows = rows.join(joined.withColumnRenamed("node", "key"), "key", "left")
-    group = F.when(F.col("n") > 0, F.coalesce("component", "key"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row"))
-    firsts = rows.where("n > 0").groupBy(group.alias("group")).agg(first.alias("one")).select(F.col("one.row").alias("_row"))
-    stay = written(firsts.unionByName(rows.where("n = 0").select(F.col("row").alias("_row"))).distinct(), "kept-rows")
-    docs = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    docs = docs.join(stay, "_row")
-    copy = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
-    return docs.withColumn("_copy", copy).where("_copy = 1").drop("_row", "_copy")
+    row, copy = unused_names(docs, "row", "copy")
+    stay = rows.where("n > 0").groupBy(F.coalesce("component", "key").alias("group")).agg(first.alias("one"))
+    stay = written(stay.select(F.col("one.row").alias(row)), "kept-rows")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = docs.where(worded).withColumn(row, F.xxhash64("doc_id", "text")).join(stay, row)
+    number = F.row_number().over(Window.partitionBy(row).orderBy(F.lit(0)))
+    kept = kept.withColumn(copy, number).where(F.col(copy) == 1).drop(row, copy)
+    return kept.unionByName(docs.where(~worded))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jointflow.llm.common import append_columns, crc_mod, lower_ascii, whole_text
+from jointflow.llm.common import append_columns, drop_caches, crc_mod, lower_ascii, whole_text
 from jointflow.llm.grams import Lookup, byte_grams, chunks, sums
 from jointflow.session import written
 
@@ -65,6 +65,7 @@ def count_grams(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Counts of each gram in ordinary (``n0``) and toxic (``n1``) texts: summed in each task, then by shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in batches:
             table = pa.Table.from_batches([batch])
             for c in (0, 1):
@@ -144,11 +145,19 @@ def _slices(ratios: DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarr
         yield keys[order], values[order].astype(np.float32)
 
 
-def add_ratio(df: DataFrame, ratios: DataFrame, depth: int = DEPTH, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """``df`` with ``log_ratio``: toxic minus ordinary log-likelihood per byte (end included) of each whole text."""
+def add_ratio(
+    df: DataFrame, ratios: DataFrame, depth: int = DEPTH, slice_rows: int = SLICE_ROWS, sent: list | None = None
+) -> DataFrame:
+    """``df`` with ``log_ratio``: toxic minus ordinary log-likelihood per byte (end included) of each whole text.
+
+    ``sent`` gets the broadcast slices, for the caller to destroy once the result has been used.
+    """
     made = df.withColumn("log_ratio", F.lit(0.0))
     for keys, values in _slices(ratios, slice_rows):
-        made = _add_slice(made, df.sparkSession.sparkContext.broadcast((keys, values)), depth)
+        model = df.sparkSession.sparkContext.broadcast((keys, values))
+        if sent is not None:
+            sent.append(model)
+        made = _add_slice(made, model, depth)
     return made
 
 
@@ -211,7 +220,10 @@ def add_toxicity(df: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame
         counts = written(count_grams(rows if whole else rows.where("not fit")), "toxic-counts")
         ratios = log_ratios(counts)
         once = rows.where("fit").groupBy("hash", "toxic").agg(F.min("text").alias("text"))
-        seen = add_ratio(once, ratios).select("log_ratio", "toxic").toArrow()
+        sent: list = []
+        seen = add_ratio(once, ratios, sent=sent).select("log_ratio", "toxic").toArrow()
+        for model in sent:
+            model.destroy()
         x, y = (seen.column(c).to_numpy() for c in ("log_ratio", "toxic"))
         share = sizes[1]["rows"] / (sizes[0]["rows"] + sizes[1]["rows"])
         weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))

@@ -64,3 +64,23 @@ def test_tables(spark):
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == LIBRARY.encode_ordinary(text)
         assert bytes(r.decoded) == text.encode() and r.n_tokens == len(r.ids) // 4 and r.lang == "en"
     assert bpe.decode(bpe.encode(df.limit(0), RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
+
+
+@pytest.mark.parametrize("wide", [1, 3, 10**9])
+def test_wide_steps_are_single_steps(wide, monkeypatch):
+    import random
+
+    monkeypatch.setattr(bpe, "WIDE", wide)
+    rng = random.Random(wide)
+    words = ["".join(rng.choices("aabéth ", k=rng.randrange(1, 60))) for _ in range(300)] + ["a" * 500]
+    library = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=RANKS, special_tokens={})
+    got = bpe.Merger(RANKS).merge([w.encode() for w in words])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode_ordinary(w) for w in words]
+
+
+def test_decoder():
+    ids = [np.array(x, "<u4").tobytes() for x in ([], [5, 5, 300], [40000])]
+    by_rank = {r: t for t, r in RANKS.items()}
+    assert list(bpe.Decoder(RANKS).decode(ids)) == [b"", by_rank[5] * 2 + by_rank[300], by_rank[40000]]
+    with pytest.raises(ValueError):
+        list(bpe.Decoder(RANKS).decode([np.array([10**6], "<u4").tobytes()]))

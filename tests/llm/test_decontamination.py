@@ -85,3 +85,10 @@ def test_empty_tables(spark):
     assert d.leaks(docs, none).count() == 0
     assert d.mark_leaks(docs, none).where("leaked").count() == 0
     assert d.leaks(frame(spark, []), spark.createDataFrame([(1, "a b c d e f")], ITEMS)).count() == 0
+
+
+def test_short_items_are_found_word_for_word(spark):
+    docs = spark.createDataFrame([(1, "well, what is two plus two"), (2, "what is one plus"), (3, "は 短い です")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "what is two plus"), (8, "短い"), (9, ""), (10, None)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in d.leaks(docs, items).collect()} == {(1, 7), (3, 8)}
+    assert {r.doc_id for r in d.mark_leaks(docs, items).where("leaked").collect()} == {1, 3}

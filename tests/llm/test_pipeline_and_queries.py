@@ -98,3 +98,19 @@ def test_odd_documents_pass_all_stages(spark):
     assert {t for _, t in rows if not shingles(t)} == {None, "", " \t\n"}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame(spark, []), str(SF)).count() == 0
+
+
+def test_columns_of_the_caller_keep_their_values(spark):
+    own = {"score": 7.5, "log_ratio": 1.0, "predicted": 1.0, "leaked": 3.0, "spans": 4.0, "_row": 5.0, "_copy": 6.0, "own": 8.0}
+    df = frame(spark, documents(40)).selectExpr("*", *[f"double({v}) AS {n}" for n, v in own.items()])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = df.columns
+        df = stage(spark, df, str(SF))
+        assert df.columns == columns
+    assert {tuple(r) for r in df.select(*own).collect()} == {tuple(own.values())}
+
+
+def test_rows_without_words_all_stay(spark):
+    rows = [(1, None), (1, None), (None, None), (2, ""), (3, " \t\n"), (4, "some words"), (4, "some words"), (5, "some words")]
+    out = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), str(SF))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(rows[:6], key=repr)

@@ -418,4 +418,6 @@ def oracles() -> dict[str, str]:
         "exercise_hook_overlay": hook_loop + "SELECT * FROM drawn",
         "frame_loop": f"{loop} {rows_of('squat')} UNION ALL {rows_of('elbow')}",
     }
+    sql["stream_track_assign"] = sql["track_assign"]
+    sql["stream_rep_count_apart"] = sql["stream_rep_count"]
     return sql

@@ -32,6 +32,8 @@ from jointflow.schema import (
 from jointflow.session import shared_folder
 from jointflow.sources import detections as io
 from jointflow.streaming.exercise import stream_exercise_states
+from jointflow.streaming.order import END
+from jointflow.streaming.tracking import stream_tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,7 +115,7 @@ def stream_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, checkpoint = shared_folder(spark, "persons"), shared_folder(spark, "checkpoint")
     for path in _land(spark, sf_dir, 1):
         persons = io.stream_detections(spark, path, 16, schema=PERSON)
-        io.stream_states(persons, out, checkpoint).awaitTermination()
+        _finish(io.stream_states(persons, out, checkpoint))
     return io.scan_persons(spark, out).select(
         *PERSON_KEY,
         "track_id",
@@ -440,6 +442,51 @@ def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streaming
 
 
+#: Frames by which the rows of a frame land apart in the queries of disorder, and the bound given to the stream.
+APART, DISORDER = 32, 40
+
+
+def _land_apart(spark: SparkSession, rows: DataFrame, last: int, count: int, steps: int):
+    """Rows in a landing folder, half of every frame ``APART`` frames behind the other half; marks that end each key come last."""
+    path = shared_folder(spark, "landing")
+    place = F.col("frame_idx") + APART * F.pmod(F.xxhash64("frame_idx", "det_idx"), F.lit(2))
+    steps = max(steps, -(-count // LANDING_ROWS))
+    end = last + 1 + APART
+    for step in range(steps):
+        part = rows.where((place >= step * end // steps) & (place < (step + 1) * end // steps))
+        part.write.mode("append").parquet(path)
+        yield path
+    keys = [c for c in ("video_id", "track_id") if c in rows.columns]
+    given = {"frame_idx": F.lit(END)} | {k: F.col(k) for k in keys}
+    empty = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    rows.select(*keys).distinct().select(*empty).write.mode("append").parquet(path)
+    yield path
+
+
+@query
+def stream_track_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracker on a stream whose files come out of order and split frames."""
+    rows = _lanes(spark, sf_dir)
+    last, count = rows.agg(F.max("frame_idx"), F.count("*")).first()
+    out, checkpoint = shared_folder(spark, "tracks"), shared_folder(spark, "checkpoint")
+    for path in _land_apart(spark, rows, last, count, 3):
+        tracked = stream_tracks(io.stream_detections(spark, path, schema=rows.schema), disorder=DISORDER)
+        _finish(io.stream_states(tracked, out, checkpoint))
+    return spark.read.schema(tracked.schema).parquet(out).select(*PERSON_KEY, "track_id")
+
+
+@query
+def stream_rep_count_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counting on a stream of persons whose files come out of order."""
+    persons = views.persons(spark, sf_dir)
+    last, count = views.events(spark, sf_dir).agg(F.max("event_id"), F.count("*")).first()
+    out, checkpoint = shared_folder(spark, "states"), shared_folder(spark, "checkpoint")
+    for path in _land_apart(spark, persons, last, count, 2):
+        arriving = io.stream_detections(spark, path, schema=PERSON)
+        _finish(io.stream_states(stream_exercise_states(arriving, CONFIG, registry(), disorder=DISORDER), out, checkpoint))
+    return rounded(spark.read.schema(EXERCISE_STATE).parquet(out))
+
+
 #: Seconds after which a stream that should have come to its end is given up.
 STREAM_LIMIT = 900
 

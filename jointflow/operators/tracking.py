@@ -82,7 +82,7 @@ def _ordered(state: State, frame: int, max_lost: int) -> State:
     alive = np.flatnonzero(frame - state["last"] <= max_lost)
     place, last, ids = state["place"][alive], state["last"][alive], state["id"][alive]
     order = alive[np.lexsort((ids, last, *place.T[::-1]))]
-    return {k: v[order] for k, v in state.items()}
+    return {k: state[k][order] for k in ("id", "last", "place")}
 
 
 class TwoStageTracker:
@@ -103,7 +103,8 @@ class TwoStageTracker:
         conf = rows["conf"].to_numpy(dtype=float)
         boxes = rows[list(_CORNERS)].to_numpy(dtype=float)
         ids = np.zeros(len(rows), dtype=np.int64)
-        next_id = int(state["id"].max(initial=0)) + 1
+        # A walk that is to be continued counts its ids on, also past those of tracks that have ended.
+        next_id = int(state["next"][0]) if "next" in state else int(state["id"].max(initial=0)) + 1
         edges = np.flatnonzero(np.diff(frames)) + 1
         for at in np.split(np.arange(len(rows)), edges):
             if not len(at):
@@ -132,7 +133,7 @@ class TwoStageTracker:
                 "last": np.concatenate([last_frame, np.full(len(born), frame)]),
                 "place": np.concatenate([place, np.hstack([boxes[born], np.zeros((len(born), 4))])]),
             }
-        return pd.Series(ids, index=rows.index, dtype="Int64").replace(0, pd.NA), state
+        return pd.Series(ids, index=rows.index, dtype="Int64").replace(0, pd.NA), state | {"next": np.array([next_id])}
 
 
 def two_stage_tracker(config: TrackerConfig = TrackerConfig()) -> TwoStageTracker:
@@ -153,6 +154,13 @@ def _segments(rows: DataFrame, segment_frames: int | None, warmup_frames: int) -
     )
 
 
+def in_walk_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows by frame and detection; of rows with equal keys (a frame delivered twice) the surest one, or the one with the greatest corners, alone."""
+    by = ["frame_idx", "det_idx", "conf", *_CORNERS]
+    ordered = pdf.sort_values(by, ascending=[True, True] + [False] * (len(by) - 2), kind="stable")
+    return ordered.drop_duplicates(["frame_idx", "det_idx"], ignore_index=True)
+
+
 _RUN = "kind string, video_id string, segment long, frame_idx long, det_idx int, local_id long, place array<double>"
 
 
@@ -175,7 +183,7 @@ def _tracked_segment(
     tracker: TwoStageTracker, pdf: pd.DataFrame, segment_frames: int, start: State | None
 ) -> pd.DataFrame:
     """A segment's ids (``row``) and the live tracks it began (``start``) and ended with (``end``)."""
-    pdf = pdf.sort_values(["frame_idx", "det_idx"], kind="stable", ignore_index=True)
+    pdf = in_walk_order(pdf)
     video, segment = pdf["video_id"].iloc[0], int(pdf["segment"].iloc[0])
     own = pdf[pdf["own"]]
     if start is None:
@@ -261,7 +269,7 @@ def track_with(
     narrow = rows.select(*PERSON_KEY, "conf", *[F.col(f"bbox.{c}").alias(c) for c in _CORNERS])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_idx", "det_idx"], kind="stable", ignore_index=True)
+        pdf = in_walk_order(pdf)
         pdf["local_id"] = tracker(pdf)
         return pdf[["video_id", "segment", "frame_idx", "det_idx", "own", "local_id"]]
 
@@ -279,6 +287,7 @@ def track_with(
 
 
 def _assigned(rows: DataFrame, local: DataFrame, links: DataFrame) -> DataFrame:
+    """Ids joined back to the rows. A detection that was delivered more than once has the id of its best copy in all its rows."""
     ids = _global_ids(local, links)
     assigned = local.join(ids, list(_TRACKLET), "left").select(*PERSON_KEY, F.col("id").alias("track_id"))
     columns = [c for c in rows.columns if c != "track_id"]

@@ -16,6 +16,7 @@ from jointflow.config import Registry
 from jointflow.functions.labels import rep_feedback
 from jointflow.operators.exercise import tracked_angles
 from jointflow.schema import EXERCISE_STATE, PERSON_KEY, TRACK_KEY
+from jointflow.streaming.order import InOrder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -50,12 +51,17 @@ def advance(angle, seen, down_limit, up_limit, start_down, start_reps, start_ang
 class _RepCounter(StatefulProcessor):
     """State per (video, track): where it is in the video, and phase, count and angle per machine."""
 
-    def __init__(self, limits: Sequence[tuple[int, float, float]], ttl_ms: int | None):
+    def __init__(self, limits: Sequence[tuple[int, float, float]], ttl_ms: int | None, disorder: int):
         self.limits = list(limits)
         self.ttl_ms = ttl_ms
+        columns = [("frame_idx", "LONG"), ("det_idx", "INT")]
+        columns += [c for machine, *_ in limits for c in ((f"angle{machine}", "DOUBLE"), (f"seen{machine}", "BOOLEAN"))]
+        self.order = InOrder(columns, disorder) if disorder else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("track", _STATE, self.ttl_ms)
+        if self.order:
+            self.order.init(handle)
 
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
@@ -63,7 +69,9 @@ class _RepCounter(StatefulProcessor):
         # A track's rows of one micro-batch come in any order and several pieces, and a row that
         # was delivered twice counts once, in one micro-batch as over several.
         order = ["frame_idx", "det_idx"]
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        given = pd.concat(list(rows), ignore_index=True)
+        due = self.order(given) if self.order else given[given["det_idx"].notna()]
+        pdf = due.sort_values(order, kind="stable", ignore_index=True)
         late = pdf.duplicated(order)
         n = len(self.limits)
         if self.state.exists():
@@ -122,11 +130,15 @@ def stream_exercise_states(
     registry: Registry | None = None,
     ttl_ms: int | None = None,
     with_late: bool = False,
+    disorder: int = 0,
 ) -> DataFrame:
     """State of every active exercise for every person row of a stream, as the batch scan gives it.
 
     The joints are evaluated in the JVM; only keys and one angle per exercise reach the stateful
-    step. Micro-batches must follow the frame order, rows inside one may come in any order. Rows not newer than a
+    step. Rows inside a micro-batch may come in any order. Micro-batches must follow the frame order of each track up to
+    ``disorder`` frames: with 0 all rows are counted as they come; else a row waits in the state until its track has been seen
+    ``disorder`` frames further on, and rows are counted in order. A row without ``det_idx`` is a mark that moves its track's clock only; one at frame
+    :data:`~jointflow.streaming.order.END` ends the track and releases what still waits. Rows not newer than a
     track's state came too late to be counted, repeated rows as well: the metric ``late_rows`` of every micro-batch tells how
     many, and ``with_late`` keeps them as rows without a state and with ``late`` true, for
     :func:`~jointflow.sources.detections.stream_states` to write to a table of their own. A track's rows of one micro-batch
@@ -153,7 +165,7 @@ def stream_exercise_states(
         *[F.col(f"_m{m.ordinal}_angle").isNotNull().alias(f"seen{m.ordinal}") for m in machines],
     )
     counted = angles.groupBy(*TRACK_KEY).transformWithStateInPandas(
-        _RepCounter([(m.ordinal, m.down, m.up) for m in machines], ttl_ms),
+        _RepCounter([(m.ordinal, m.down, m.up) for m in machines], ttl_ms, disorder),
         outputStructType=_OUT,
         outputMode="Append",
         timeMode="None" if ttl_ms is None else "ProcessingTime",

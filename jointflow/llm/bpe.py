@@ -25,11 +25,11 @@ from jointflow.llm.common import append_columns, texts, worker_state
 from jointflow.llm.grams import Lookup, chunks
 
 #: Most pre-tokens that a worker remembers in each of two generations, and their greatest length.
-CACHE_ENTRIES, CACHE_LENGTH = 200_000, 48
+CACHE_ENTRIES, CACHE_LENGTH = 120_000, 48
 #: Characters of a batch whose new pre-tokens are merged together.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 #: Rows of a batch.
-ROWS = 2_048
+ROWS = 768
 #: Positions of one rank from which they are merged side by side as arrays.
 WIDE = 24
 

@@ -46,6 +46,7 @@ def worker_state(name: str) -> dict:
 def drop_caches() -> None:
     """For tasks without a cache of their own: what operators before have left in this worker goes."""
     worker_state("none")
+    pa.default_memory_pool().release_unused()
 
 
 def unused_names(df: DataFrame, *wanted: str) -> list[str]:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -36,12 +37,14 @@ ESCAPE = (1 << 60) - 1
 BLOCK = 1024
 HEAD = "<8s6q"
 MAGIC = b"S8BTOK01"
+#: Values below this have their widths in a table.
+SMALL = 1 << 18
 #: Ids after which a writer begins a new file.
 FILE_IDS = 2_000_000
 #: Documents whose words are looked up together.
 BATCH = 2_048
-#: Words whose ids a worker remembers in each of two generations, and their greatest length in bytes.
-CACHE_WORDS, CACHE_LENGTH = 300_000, 40
+#: Words whose ids a worker remembers before it goes back to those of the batch at hand, and their greatest length in bytes.
+CACHE_WORDS, CACHE_LENGTH = 500_000, 40
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,9 +57,13 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(values)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), escapes
+    steps = np.array([1 << int(b) for b in np.unique(BITS)[:-1]], np.uint64)  # values at which a word needs wider places
     width = np.zeros(n + 240, np.int8)
-    for b in np.unique(BITS)[:-1]:
-        width[:n] += values >= np.uint64(1 << int(b))  # counts the steps of width that the value is beyond
+    top = int(values.max()) + 1
+    if top <= SMALL:
+        width[:n] = np.searchsorted(steps, np.arange(top, dtype=np.uint64), "right").astype(np.int8)[values]
+    else:
+        width[:n] = np.searchsorted(steps, values, "right")
     needed = np.searchsorted(np.unique(BITS), BITS)  # of a selector: the most that fit
     blocks = -(-n // BLOCK)
     at = np.arange(blocks) * BLOCK
@@ -120,6 +127,16 @@ def unpack(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _stem(word: bytes) -> bytes:
+    """The word without the marks after its last letter or digit, which are tokens of their own; else the whole word."""
+    stem = word.rstrip(b".,;:!?#$%&*")
+    if len(stem) == len(word) or stem[-1:].isalnum():
+        return stem
+    # A letter beyond ASCII, unless its normal form ends in an accent, which goes with the marks.
+    last = unicodedata.normalize("NFC", stem.decode()[-1:]).lower()
+    return stem if last[-1:].isalpha() else word
+
+
 class WordEncoder:
     """Ids of texts by the library. Words between ASCII white space are encoded once and remembered.
 
@@ -136,8 +153,7 @@ class WordEncoder:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def library(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words as little-endian unsigned 32-bit integers; letters-only words go 200 to a call."""
@@ -158,46 +174,31 @@ class WordEncoder:
             ids[i] = np.array(x.ids, "<u4").tobytes()
         return dict(zip(words, ids))
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        known, new, old = {}, self.new, self.old
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        for w in words:
-            ids = new.get(w)
-            if ids is None:
-                ids = old.get(w)
-                if ids is None:
-                    # Marks after a letter or digit are tokens of their own, and A-Z count as a-z.
-                    low = w.lower()
-                    stem = low.rstrip(b".,;:!?#$%&*")
-                    if not stem or not stem[-1:].isalnum():
-                        stem = low
-                    parts[w] = stem, low[len(stem) :]
-                    continue
-                new[w] = ids
-            known[w] = ids
-        fresh: dict[bytes, bytes | None] = {}
-        for pair in parts.values():
-            for x in pair:
-                if x and x not in fresh:
-                    fresh[x] = new.get(x) or old.get(x)
-        fresh |= self.library([x for x, ids in fresh.items() if ids is None])
-        fresh[b""] = b""
-        for x, ids in fresh.items():
-            if len(x) <= CACHE_LENGTH:
-                new[x] = ids
-        for w, (stem, marks) in parts.items():
-            known[w] = ids = fresh[stem] + fresh[marks]
-            if len(w) <= CACHE_LENGTH:
-                new[w] = ids
-        return known
+    def learn(self, words: set[bytes]) -> list[bytes]:
+        """Remember words that are not known yet; returns those too long to be kept."""
+        known = self.known
+        parts = [(w, stem := _stem(w), w[len(stem) :]) for w in words]
+        fresh = {x for _, *pair in parts for x in pair}.difference(known)
+        fresh.discard(b"")
+        known[b""] = b""
+        known.update(self.library(list(fresh)))
+        for w, stem, marks in parts:
+            if marks:
+                known[w] = known[stem] + known[marks]
+        return [x for x in fresh | words if len(x) > CACHE_LENGTH]
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
-        """Ids of UTF-8 texts."""
-        cuts = [t.split() for t in batch]
-        known = self.learn(set().union(*cuts))
-        return [b"".join(map(known.__getitem__, words)) for words in cuts]
+        """Ids of UTF-8 texts. The tokenizer takes A-Z as a-z."""
+        cuts = [t.lower().split() for t in batch]
+        words = set().union(*cuts)
+        if len(self.known) > CACHE_WORDS:
+            self.known = {w: self.known[w] for w in words.intersection(self.known)}
+        new = words.difference(self.known)
+        long = self.learn(new) if new else []
+        ids = [b"".join(map(self.known.__getitem__, cut)) for cut in cuts]
+        for x in long:
+            self.known.pop(x, None)
+        return ids
 
 
 def encode_file(doc_ids: list[int | None], ids: list[bytes]) -> bytes:

@@ -39,6 +39,7 @@ def test_a_word_takes_as_many_as_fit(count, bits):
 def test_words_are_encoded_like_whole_texts():
     encoder = token_output.WordEncoder(open(PATH, "rb").read())
     texts = [t or "" for _, t in documents()] + ["don't foo,bar. X.,; a.b,c 12,3 É! é, ≮ İstanbul ΑΣ, ΑΣ", "#$%&* word#$%&*"]
+    texts += ["é. \u0958, ñ!! x²; ١, e\u0301, İ. ., " + "long" * 30 + ",", "É. é. Long, long"]
     for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
         assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 

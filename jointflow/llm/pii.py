@@ -1,7 +1,7 @@
 """Personal data in texts, with DataFrame functions only.
 
 Each kind has a regular expression that proposes spans (leftmost, not overlapping), a validator that confirms them
-(Luhn's checksum, mod 97, number ranges, digit counts), and words that, near a span, raise its score. Spans of
+(Luhn's checksum, mod 97, number ranges, digit counts; keys and secrets by form), and words that, near a span, raise its score. Spans of
 base kinds are kept once confirmed; those of the other kinds need a score of ``LEAST_SCORE`` and no
 overlap with a base span.
 
@@ -76,6 +76,8 @@ class Kind:
     beside: str | None = None  # characters that may not stand next to a span
 
 
+#: Four capitals or digits, at least one of them a digit.
+_FOUR = "(?:[0-9][A-Z0-9]{3}|[A-Z][0-9][A-Z0-9]{2}|[A-Z]{2}[0-9][A-Z0-9]|[A-Z]{3}[0-9])"
 _LOCAL = "A-Za-z0-9._%+-"
 KINDS = (
     Kind(
@@ -104,6 +106,32 @@ KINDS = (
         "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
         lambda m: F.substring(m, 1, 2).isin(IBAN_COUNTRIES) & mod97(m), 0.6, r"iban|bank|account", "", beside="[A-Za-z0-9]",
     ),
+    Kind(
+        # In groups of four; groups after the bank's hold a digit, so that words in capitals are left out.
+        "iban_grouped",
+        rf"[A-Z]{{2}}[0-9]{{2}}\x20[A-Z0-9]{{4}}(?:\x20{_FOUR}){{1,6}}(?:\x20[A-Z0-9]{{0,2}}[0-9])?",
+        lambda m: F.substring(m, 1, 2).isin(IBAN_COUNTRIES) & mod97(F.replace(m, F.lit(" "))), 0.6, r"iban|bank|account", "",
+        beside="[A-Za-z0-9]",
+    ),
+    Kind(
+        # Keys that show by their first characters whose they are.
+        "key",
+        r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}",
+        lambda m: F.lit(True), 0.8, r"key|token|secret", "", beside="[A-Za-z0-9]",
+    ),
+    Kind(
+        "secret",
+        r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,}+",
+        lambda m: (F.length(digits_of(m)) >= 3) & m.rlike("[A-Za-z]"), 0.3, r"token|secret|password|passwd|credential|api.?key|\bauth", "",
+        beside="[_-]",
+    ),
+    Kind(
+        "national_number",
+        "[0-9]{3}-[0-9]{2}-[0-9]{4}",
+        lambda m: ~F.substring(m, 1, 3).isin("000", "666") & (F.substring(m, 1, 1) != "9")
+        & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000"),
+        0.5, r"social|\bssn\b|tax|identity", "-", beside=r"[A-Za-z0-9.-]",
+    ),
     Kind(
         "phone_local",
         r"[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
@@ -203,13 +231,12 @@ def oracle() -> str:
         "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": next(k.pattern for k in KINDS if k.name == "iban"),
-        "phone_local": next(k.pattern for k in KINDS if k.name == "phone_local"),
+        "secret": "[A-Za-z0-9]{24,}",
     }
     kinds = " UNION ALL ".join(
         f"SELECT doc_id, text, {n} AS rank, '{k.name}' AS kind, {k.base} AS base, {k.score} AS score, '{k.context}' AS context, "
-        f"{'NULL' if k.beside is None else repr(k.beside)} AS beside, regexp_extract_all(text, '{plain[k.name]}') AS found, "
-        f"string_split_regex(text, '{plain[k.name]}') AS gaps FROM docs"
+        f"{'NULL' if k.beside is None else repr(k.beside)} AS beside, regexp_extract_all(text, '{plain.get(k.name, k.pattern)}') AS found, "
+        f"string_split_regex(text, '{plain.get(k.name, k.pattern)}') AS gaps FROM docs"
         for n, k in enumerate(KINDS)
     )
     counts = ", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in KINDS if k.base)
@@ -222,7 +249,7 @@ each AS (
   FROM kinds WHERE len(found) > 0),
 placed AS (
   SELECT *, sum(length(gap)) OVER w + sum(length(match)) OVER w - length(match) AS start, sum(length(gap)) OVER w + sum(length(match)) OVER w AS stop,
-         regexp_replace(match, '[^0-9]', '', 'g') AS digits, match[5:] || match[:4] AS turned
+         regexp_replace(match, '[^0-9]', '', 'g') AS digits, replace(match[5:], ' ', '') || match[:4] AS turned
   FROM each WINDOW w AS (PARTITION BY doc_id, text, kind ORDER BY i)),
 valid AS (
   SELECT *, score + CASE WHEN regexp_matches(lower(
@@ -233,18 +260,22 @@ valid AS (
     WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum([CASE WHEN j % 2 = 1 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END
       FOR d, j IN [c::INT FOR c IN string_split(reverse(digits), '')]]) % 10 = 0
     WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
-    WHEN 'iban' THEN match[:2] IN ({', '.join(map(repr, IBAN_COUNTRIES))})
+    WHEN 'secret' THEN length(digits) >= 3 AND regexp_matches(match, '[A-Za-z]')
+    WHEN 'national_number' THEN match[:3] NOT IN ('000', '666') AND match[1] <> '9' AND match[5:6] <> '00' AND match[8:] <> '0000'
+    WHEN 'key' THEN TRUE
+    WHEN 'phone_local' THEN TRUE
+    ELSE match[:2] IN ({', '.join(map(repr, IBAN_COUNTRIES))})
       AND list_reduce(list_prepend(0, [CASE WHEN c < 'A' THEN ascii(c) - 48 ELSE 1000 + ascii(c) - 55 END FOR c IN string_split(turned, '')]),
         lambda r, v: CASE WHEN v >= 1000 THEN (r * 100 + v - 1000) % 97 ELSE (r * 10 + v) % 97 END) = 1
-    ELSE TRUE END
+    END
   AND (beside IS NULL OR NOT (start > 0 AND regexp_matches(text[start:start], beside) OR regexp_matches(text[stop + 1:stop + 1], beside)))),
 kept AS (
   SELECT * FROM valid v WHERE base OR total >= {LEAST_SCORE} AND NOT EXISTS (
     SELECT 1 FROM valid b WHERE b.base AND b.doc_id IS NOT DISTINCT FROM v.doc_id AND b.text = v.text AND b.start < v.stop AND v.start < b.stop)),
 summed AS (
-  SELECT doc_id, text, {counts},
+  SELECT doc_id, text, {counts}, count(*) AS n_spans,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY rank, start) FILTER (base) AS base_spans,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY rank, start) AS spans
   FROM kept GROUP BY doc_id, text)
-SELECT d.doc_id, {zeros}, sha256(coalesce(s.base_spans, '')) AS base_sha256, coalesce(s.spans, '') AS spans
+SELECT d.doc_id, {zeros}, coalesce(s.n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(s.base_spans, '')) AS base_sha256, coalesce(s.spans, '') AS spans
 FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d LEFT JOIN summed s ON s.doc_id IS NOT DISTINCT FROM d.doc_id AND s.text = d.text"""

@@ -81,6 +81,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         *[count(name).alias(f"n_{name}") for name in base],
+        F.size("spans").cast("long").alias("n_spans"),
         F.sha2(pii.digest(F.filter("spans", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"),
         pii.digest(F.col("spans")).alias("spans"),
     )

@@ -10,6 +10,7 @@ from jointflow.llm import bpe, decontamination, pii
 from jointflow.llm.queries import ORACLES, QUERIES
 from tables import documents, frame
 from test_decontamination import nearest
+from test_pii import TEXTS
 from test_ngram_join import brute_force, shingles
 
 SF = TESTDATA / "sf0.001"
@@ -26,7 +27,7 @@ def test_sql(spark, name):
 def test_sql_on_odd_rows(spark, name, tmp_path):
     import duckdb
 
-    docs = frame(spark, documents(30) + [(2000 + i, t) for i, t in enumerate(["a@b.c.d 10.1.2.3", "mit license", "+1 (017) 555-7713"])])
+    docs = frame(spark, documents(30) + [(2000 + i, t) for i, t in enumerate(["a@b.c.d 10.1.2.3", "mit license", "+1 (017) 555-7713", *TEXTS])])
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     vectors = [(i, [float(i % 7) - 3, 0.5, None if i == 9 else 0.1], 0) for i in range(120)] + [(50, None, 0), (None, [1.0], 0)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")

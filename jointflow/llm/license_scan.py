@@ -8,7 +8,7 @@ Hits count only if the words themselves are equal, so no clash of hashes survive
 
 The templates are a fixed list, so their pairs are broadcast and no text is shuffled; only hits and one row per document
 are. Null and empty texts have no words and no labels; a null doc_id is kept; rows that repeat both doc_id and text
-give one result row; an empty table gives an empty table; extra columns are left out.
+are scanned as one and repeat their result; an empty table gives an empty table; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -105,7 +105,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     hits = hits.where("template is not null or at = 0").repartition("row")
     hits = hits.withColumn("word", F.col("at") - 1).withColumn("diagonal", F.col("word") - F.col("place"))
     voted = hits.groupBy("row", "doc_id", "n_words", "template", "label", "phrase", "base", "pairs", "diagonal").agg(
-        F.collect_set("place").alias("places"), F.min("word").alias("start"), F.max("word").alias("last")
+        F.collect_set("place").alias("places"),
+        F.min("word").alias("start"),
+        F.max("word").alias("last"),
+        F.count(F.when(F.col("at") == 0, 1)).alias("copies"),
     )
     # Phrases and the documents' own rows stand alone; neighbouring diagonals of other templates share a span.
     order = Window.partitionBy("row", "doc_id", "template").orderBy("diagonal")
@@ -116,13 +119,18 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"),
         F.min("start").alias("start"),
         (F.max("last") + 2).alias("end"),
+        F.sum("copies").alias("copies"),
     )
     share = F.col("votes") / F.col("pairs")
     good = F.when(F.col("phrase"), F.col("votes") == F.col("pairs")).otherwise(
         (share >= LEAST_SHARE) & (F.col("end") - F.col("start") <= 2 * (F.col("pairs") + 1))
     )
     kept = F.struct("label", "start", "end", share.alias("share"), "phrase", "base")
-    return spans.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.collect_list(F.when(good, kept))).alias("spans")).drop("row")
+    found = spans.groupBy("row", "doc_id", "n_words").agg(
+        F.array_sort(F.collect_list(F.when(good, kept))).alias("spans"), F.sum("copies").alias("copies")
+    )
+    # Every row of documents has one first element without a hash: their number is that of the repeated rows.
+    return found.select("doc_id", "n_words", "spans", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -152,9 +160,10 @@ def oracle() -> str:
     )
     return f"""
 WITH template_pairs(template, label, phrase, base, pairs, place, pair) AS (VALUES {rows}),
-docs AS (
-  SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+every AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
   FROM documents),
+docs AS (SELECT DISTINCT * FROM every),
 rolled AS (
   SELECT doc_id, words, unnest(range(0, len(words) - 1)) AS word FROM docs),
 hits AS (
@@ -183,4 +192,4 @@ summed AS (
 SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(s.n_base, 0)::BIGINT AS n_base, s.first_word::BIGINT AS first_word,
        s.last_word::BIGINT AS last_word, coalesce(s.base_labels, '') AS base_labels, coalesce(s.labels, '') AS labels,
        coalesce(s.score, 0.0)::DOUBLE AS score
-FROM docs d LEFT JOIN summed s ON s.doc_id IS NOT DISTINCT FROM d.doc_id AND s.words = d.words"""
+FROM every d LEFT JOIN summed s ON s.doc_id IS NOT DISTINCT FROM d.doc_id AND s.words = d.words"""

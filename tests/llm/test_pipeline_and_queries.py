@@ -10,8 +10,8 @@ from jointflow.llm import bpe, decontamination, pii
 from jointflow.llm.queries import ORACLES, QUERIES
 from tables import documents, frame
 from test_decontamination import nearest
-from test_pii import TEXTS
 from test_ngram_join import brute_force, shingles
+from test_pii import TEXTS
 
 SF = TESTDATA / "sf0.001"
 
@@ -27,7 +27,7 @@ def test_sql(spark, name):
 def test_sql_on_odd_rows(spark, name, tmp_path):
     import duckdb
 
-    docs = frame(spark, documents(30) + [(2000 + i, t) for i, t in enumerate(["a@b.c.d 10.1.2.3", "mit license", "+1 (017) 555-7713", *TEXTS])])
+    docs = frame(spark, documents(30) + [(2000 + i, t) for i, t in enumerate(["a@b.c.d 10.1.2.3", "mit license", "+1 (017) 555-7713", *[t for t in TEXTS if len(t) < 500]])])
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     vectors = [(i, [float(i % 7) - 3, 0.5, None if i == 9 else 0.1], 0) for i in range(120)] + [(50, None, 0), (None, [1.0], 0)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
@@ -36,9 +36,8 @@ def test_sql_on_odd_rows(spark, name, tmp_path):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
-    # Rows that are equal in all columns: a repeated document may have one row or several.
-    table = QUERIES[name](spark, str(tmp_path)).dropDuplicates().toArrow()
-    assert difference(table, con.execute(f"SELECT DISTINCT * FROM ({ORACLES[name]})").to_arrow_table()) is None
+    table = QUERIES[name](spark, str(tmp_path)).toArrow()
+    assert difference(table, con.execute(ORACLES[name]).to_arrow_table()) is None
 
 
 def test_stages(spark, tmp_path):

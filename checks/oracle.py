@@ -419,5 +419,6 @@ def oracles() -> dict[str, str]:
         "frame_loop": f"{loop} {rows_of('squat')} UNION ALL {rows_of('elbow')}",
     }
     sql["stream_track_assign"] = sql["track_assign"]
-    sql["stream_rep_count_apart"] = sql["stream_rep_count"]
+    sql["stream_rep_count_apart"] = sql["stream_rep_count_chunked"] = sql["stream_rep_count"]
+    sql["stream_exercise_hook"] = sql["exercise_hook"]
     return sql

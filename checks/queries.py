@@ -31,6 +31,7 @@ from jointflow.schema import (
 )
 from jointflow.session import shared_folder
 from jointflow.sources import detections as io
+from jointflow.streaming.chunked import count_stream
 from jointflow.streaming.exercise import stream_exercise_states
 from jointflow.streaming.order import END
 from jointflow.streaming.tracking import stream_tracks
@@ -516,6 +517,15 @@ def stream_rep_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.schema(EXERCISE_STATE).parquet(out))
 
 
+@query
+def stream_rep_count_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counting by summaries of chunks, every track cut."""
+    out, checkpoint = shared_folder(spark, "states"), shared_folder(spark, "checkpoint")
+    for path in _land(spark, sf_dir, 2):
+        _finish(count_stream(io.stream_detections(spark, path, schema=PERSON), CONFIG, out, checkpoint, registry(), cut=200))
+    return rounded(io.read_table(spark, f"{out}/states", EXERCISE_STATE))
+
+
 @query
 def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _stream(spark, sf_dir, CONFIG, 2, io.stream_latest)
@@ -607,15 +617,29 @@ def _hands(persons: DataFrame, settings: Mapping) -> DataFrame:
     )
 
 
-@query
-def exercise_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _own_exercises() -> tuple[Mapping, Registry]:
     own = Registry().register("knees", builder=_knees).register("hands", transform=_hands)
     config = {
         "knees": {"enabled": True, "down_threshold": 90, "up_threshold": 160, "min_confidence": 0.5},
         "hands": {"enabled": True},
     }
+    return config, own
+
+
+@query
+def exercise_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     persons = _both_knee_angles(views.persons(spark, sf_dir))
-    return rounded(ex.exercise_states(persons, config, own))
+    return rounded(ex.exercise_states(persons, *_own_exercises()))
+
+
+@query
+def stream_exercise_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A counter and a transform of one's own on a stream."""
+    out, checkpoint = shared_folder(spark, "states"), shared_folder(spark, "checkpoint")
+    for path in _land(spark, sf_dir, 2):
+        persons = _both_knee_angles(io.stream_detections(spark, path, schema=PERSON))
+        _finish(io.stream_states(stream_exercise_states(persons, *_own_exercises()), out, checkpoint))
+    return rounded(spark.read.schema(EXERCISE_STATE).parquet(out))
 
 
 @query

@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from jointflow.schema import DETECTIONS, PERSON
-
-#: Frames per sort range inside a video's files, so that scans of a time range skip row groups.
-LAYOUT_FRAMES = 16_384
+from jointflow.schema import DETECTIONS, EXERCISE_STATE, PERSON, TRACK_KEY, TRACK_ORDER
+from jointflow.sources.versions import Versions
 
 
 def scan_detections(
@@ -93,21 +90,15 @@ def stream_states(
 
 
 def stream_latest(states: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest state per (video, track, exercise) of a stream under ``path/version=<batch>``.
+    """Keep the latest state per (video, track, exercise) of a stream in :class:`~jointflow.sources.versions.Versions` under ``path``.
 
-    Each micro-batch merges its own last states with the version before it and writes a new version,
-    so a batch that is run again after a failure overwrites only its own output.
+    Each micro-batch writes the states it changed, and every so many all of them; one that is run again after a failure
+    overwrites only its own output, and versions no longer needed go.
     """
     from jointflow.operators.exercise import latest_states
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_states(batch)
-        if batch_id > 0:
-            before = batch.sparkSession.read.schema(newest.schema).parquet(
-                f"{path}/version={batch_id - 1}"
-            )
-            newest = latest_states(newest.unionByName(before))
-        newest.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        _latest_table(path).write(latest_states(batch), batch_id)
 
     return (
         states.writeStream.foreachBatch(merge)
@@ -118,10 +109,9 @@ def stream_latest(states: DataFrame, path: str, checkpoint: str) -> StreamingQue
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version written by :func:`stream_latest`.
+    """The latest states written by :func:`stream_latest`."""
+    return _latest_table(path).read_newest(spark)
 
-    Only the version numbers are compared (a partition column, so no data is read for it).
-    """
-    versions = spark.read.option("basePath", path).parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == newest).drop("version")
+
+def _latest_table(path: str) -> Versions:
+    return Versions(path, (*TRACK_KEY, "exercise"), TRACK_ORDER, EXERCISE_STATE)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from jointflow.config import Registry
+from jointflow.config import Registry, StateTransform
 from jointflow.functions.labels import rep_feedback
 from jointflow.operators.exercise import tracked_angles
 from jointflow.schema import EXERCISE_STATE, PERSON_KEY, TRACK_KEY
@@ -145,11 +146,16 @@ def stream_exercise_states(
     are sorted in one task, so bound the micro-batch (``max_files`` of the source). With ``ttl_ms`` the state of a track
     not seen for that long (processing time) is dropped and the track starts over; such a query must
     be stopped or triggered once, as it runs empty batches to watch the clock.
+
+    Custom transforms run in the plan of the stream, on every row as it comes: one whose rows depend on their own person row alone
+    gives the same states as in a batch (a row delivered twice gives its states twice), and Spark refuses one with windows or other
+    state over rows when the query starts.
     """
     registry = registry or Registry()
-    if custom := [name for _, name, *_ in registry.custom(config)]:
-        raise ValueError(f"transforms cannot be streamed: {', '.join(custom)}")
     machines = registry.machines(config)
+    own = [_own_states(persons, *custom, with_late) for custom in registry.custom(config)]
+    if own and not machines:
+        return reduce(DataFrame.unionByName, own)
     if not machines:
         types = {f.name: f.dataType for f in EXERCISE_STATE.fields}
         types |= {"late": T.BooleanType()} if with_late else {}
@@ -185,4 +191,14 @@ def stream_exercise_states(
             "feedback": F.when(~F.col("late"), rep_feedback(F.col("rep_count"))),
         }
     )
-    return made.select(*EXERCISE_STATE.fieldNames(), *(["late"] if with_late else []))
+    made = made.select(*EXERCISE_STATE.fieldNames(), *(["late"] if with_late else []))
+    return reduce(DataFrame.unionByName, own, made)
+
+
+def _own_states(
+    persons: DataFrame, ordinal: int, name: str, settings: Mapping, transform: StateTransform, with_late: bool
+) -> DataFrame:
+    """State rows of a custom transform, in the stream's own plan."""
+    rows = transform(persons.where("det_idx IS NOT NULL"), settings).withColumn("exercise", F.lit(name))
+    late = [F.lit(False).alias("late")] if with_late else []
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in EXERCISE_STATE.fields], *late)

@@ -130,3 +130,38 @@ def test_a_state_expires_and_the_track_starts_over(spark, tmp_path):
     rows = spark.read.parquet(out).orderBy("frame_idx").collect()
     # With the state kept, frame 10 would end a repetition that began at frame 2.
     assert [(r.frame_idx, r.rep_count) for r in rows] == [(0, 0), (1, 1), (2, 1), (10, 0), (11, 0), (12, 1)]
+
+
+def hands(df, settings):
+    up = "IF(a > 100, 'up', 'down')"
+    return df.selectExpr("video_id", "frame_idx", "det_idx", "track_id", "0 AS rep_count", f"{up} AS phase", "0D AS angle", "'' AS feedback")
+
+
+def test_custom_transforms_run_in_a_stream(spark, tmp_path):
+    rows = random_rows(9, tracks=5, longest=40)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.createDataFrame(rows, ANGLES)
+    df.write.parquet(folder)
+    for config in (CONFIG | {"hands": {"enabled": True}}, {"hands": {"enabled": True}}):
+        known = registry().register("hands", transform=hands)
+        states = stream_exercise_states(io.stream_detections(spark, folder, schema=ANGLES), config, known, with_late=True)
+        place = f"{out}{len(config)}"
+        assert io.stream_states(states, place, f"{place}-c", late_path=f"{place}-late").awaitTermination(300)
+        got = io.read_table(spark, place, EXERCISE_STATE)
+        wanted = ex.exercise_states(df, config, known)
+        assert got.count() == len(rows) * len(config)
+        assert got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty()
+
+
+def test_a_transform_over_rows_is_refused_on_a_stream(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([], ANGLES).write.parquet(folder)
+    over = Window.partitionBy("track_id").orderBy("frame_idx")
+    known = Registry().register("hands", transform=lambda df, s: hands(df, s).withColumn("rep_count", F.row_number().over(over)))
+    states = stream_exercise_states(io.stream_detections(spark, folder, schema=ANGLES), {"hands": {"enabled": True}}, known)
+    with pytest.raises(AnalysisException):
+        io.stream_states(states, str(tmp_path / "out"), str(tmp_path / "c"))

@@ -218,13 +218,20 @@ def track_assign_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_tracks(rows).select(*PERSON_KEY, "track_id")
 
 
+class _BySlot:
+    """A tracker with a state: every slot keeps the number it got when it was first seen in the video."""
+
+    def resume(self, rows: pd.DataFrame, state: dict | None) -> tuple[pd.Series, dict]:
+        known = dict(state or {})
+        for slot in rows["det_idx"].unique():
+            known.setdefault(slot, len(known) + 1)
+        return rows["det_idx"].map(known), known
+
+
 @query
 def tracker_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def by_slot(segment: pd.DataFrame) -> pd.Series:
-        return segment["det_idx"] + 1
-
     rows = views.boxes(spark, sf_dir).select(*PERSON_KEY, "conf", "bbox")
-    return track_with(rows, by_slot).select(*PERSON_KEY, "track_id")
+    return track_with(rows, _BySlot()).select(*PERSON_KEY, "track_id")
 
 
 @query

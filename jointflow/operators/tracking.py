@@ -9,13 +9,13 @@ gap longer than the tracker remembers, both sides are empty and nothing is track
 
 The tracker associates boxes in two stages, first the confident detections and then the weaker ones (ByteTrack, 2021), with
 constant velocity in place of a Kalman filter and greedy in place of optimal matching. Its live tracks are a set: ties are
-told by place, not by age. A tracker given as a plain function has no state to hand on; it gets whole videos
-unless a cut is asked for.
+told by place, not by age. A tracker of one's own that has a method ``resume`` gets a video piece by piece with the state it returned
+for the piece before; one given as a plain function has no state to hand on and gets whole videos unless a cut is asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -263,10 +263,19 @@ def track_with(
     tracks of neighbours are linked by the detections both saw: right for trackers that forget all within the warm-up,
     which must be at most ``segment_frames``. Only keys, confidence and box travel to
     Python; the other columns are joined back.
+
+    A tracker with a method ``resume(rows, state)`` that returns ``(ids, state)`` gets a video in pieces of whole frames, in order,
+    with None as state at its start. A video is then one walk in one task, but sorted outside of memory and
+    never held whole: a task has one Arrow batch, one frame and the state at a time. Ids must not depend on where the pieces end.
     """
+    if hasattr(tracker, "resume"):
+        if segment_frames is not None:
+            raise ValueError("a tracker with a state walks whole videos; leave segment_frames out")
+        local = written(_resumed(_narrow(rows), tracker), "tracklets")
+        return _assigned(rows, local, _links(local).withColumn("prev_segment", F.col("segment") - 1))
     if segment_frames is not None and not 0 < warmup_frames <= segment_frames:
         raise ValueError("warmup_frames must be positive and at most segment_frames")
-    narrow = rows.select(*PERSON_KEY, "conf", *[F.col(f"bbox.{c}").alias(c) for c in _CORNERS])
+    narrow = _narrow(rows)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = in_walk_order(pdf)
@@ -286,6 +295,43 @@ def track_with(
     return _assigned(rows, local.filter("own"), links)
 
 
+def _narrow(rows: DataFrame) -> DataFrame:
+    return rows.select(*PERSON_KEY, "conf", *[F.col(f"bbox.{c}").alias(c) for c in _CORNERS])
+
+
+def _resumed(narrow: DataFrame, tracker) -> DataFrame:
+    """Local ids of a tracker with a state: each video is one walk over its sorted rows, a batch at a time."""
+    names = ["video_id", "frame_idx", "det_idx", "local_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, state, held = None, None, None
+
+        def walk(ready: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal video, state
+            for name, own in ready.groupby("video_id", sort=False):
+                if name != video:
+                    video, state = name, None
+                own = in_walk_order(own)
+                own["local_id"], state = tracker.resume(own, state)
+                yield own[names]
+
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            # The last frame may go on in the next batch.
+            last = rows.iloc[-1]
+            open_frame = (rows["video_id"] == last["video_id"]) & (rows["frame_idx"] == last["frame_idx"])
+            yield from walk(rows[~open_frame])
+            held = rows[open_frame]
+        if held is not None:
+            yield from walk(held)
+
+    ordered = narrow.dropna(subset=list(PERSON_KEY)).repartition("video_id").sortWithinPartitions(*PERSON_KEY)
+    local = ordered.mapInPandas(run, "video_id string, frame_idx long, det_idx int, local_id long")
+    return local.withColumns({"segment": F.lit(0).cast("bigint"), "own": F.lit(True)})
+
+
 def _assigned(rows: DataFrame, local: DataFrame, links: DataFrame) -> DataFrame:
     """Ids joined back to the rows. A detection that was delivered more than once has the id of its best copy in all its rows."""
     ids = _global_ids(local, links)

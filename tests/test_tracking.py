@@ -110,6 +110,49 @@ def test_own_tracker(spark):
         track_with(spark.createDataFrame(rows, BOXES), by_place, 20, 21)
 
 
+def nearest():
+    class Nearest:
+        """Goes on with the id whose last place is nearest, within 30; checks that frames come whole and in order."""
+
+        def resume(self, rows, state):
+            places, frame, made = state or ({}, None, 0)
+            places, found = dict(places), []
+            for f, own in rows.groupby("frame_idx", sort=False):
+                assert frame is None or f > frame
+                frame = f
+                for x in own["x1"]:
+                    near = min(places, key=lambda i: abs(places[i] - x), default=None)
+                    if near is None or abs(places[near] - x) > 30:
+                        made += 1
+                        near = made
+                    places[near] = x
+                    found.append(near)
+            return found, (places, frame, made)
+
+    return Nearest()  # a class of a function travels to the workers by value
+
+
+def test_tracker_with_a_state_gets_pieces_of_videos(spark):
+    rows, truth = [], {}
+    for n, video in enumerate(("v", "w", "x")):
+        more, own = walkers(60 + n, 60, 3, video, start=5 * n)
+        rows, truth = rows + more, truth | own
+    df = spark.createDataFrame(rows, BOXES)
+    walker = nearest()
+    whole = ids(track_with(df, lambda pdf: pd.Series(walker.resume(pdf, None)[0], index=pdf.index)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ids(track_with(df, walker))
+        twice = track_with(df.unionByName(df).unionByName(df.limit(1).withColumn("frame_idx", df["frame_idx"] + None)), walker)
+        assert twice.count() == 2 * len(rows) + 1
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == whole and partition(got, truth)
+    with pytest.raises(ValueError):
+        track_with(df, walker, segment_frames=100)
+
+
 def restless(seed, frames=220, people=5):
     """Weak stretches, gaps, crossings and repeated boxes, so that tracks live over every border in every way."""
     rng = random.Random(seed)

@@ -95,10 +95,10 @@ class TwoStageTracker:
         self.config = config
 
     def __call__(self, rows: pd.DataFrame) -> pd.Series:
-        return self.resume(rows, _empty())[0]
+        return self.resume(rows, None)[0]
 
-    def resume(self, rows: pd.DataFrame, state: State) -> tuple[pd.Series, State]:
-        config = self.config
+    def resume(self, rows: pd.DataFrame, state: State | None) -> tuple[pd.Series, State]:
+        config, state = self.config, _empty() if state is None else state
         frames = rows["frame_idx"].to_numpy()
         conf = rows["conf"].to_numpy(dtype=float)
         boxes = rows[list(_CORNERS)].to_numpy(dtype=float)
@@ -268,10 +268,10 @@ def track_with(
     with None as state at its start. A video is then one walk in one task, but sorted outside of memory and
     never held whole: a task has one Arrow batch, one frame and the state at a time. Ids must not depend on where the pieces end.
     """
-    if hasattr(tracker, "resume"):
-        if segment_frames is not None:
-            raise ValueError("a tracker with a state walks whole videos; leave segment_frames out")
-        local = written(_resumed(_narrow(rows), tracker), "tracklets")
+    if segment_frames is not None and not callable(tracker):
+        raise ValueError("a tracker that only resumes walks whole videos; leave segment_frames out")
+    if segment_frames is None and hasattr(tracker, "resume"):
+        local = written(_walked(_narrow(rows), tracker), "tracklets")
         return _assigned(rows, local, _links(local).withColumn("prev_segment", F.col("segment") - 1))
     if segment_frames is not None and not 0 < warmup_frames <= segment_frames:
         raise ValueError("warmup_frames must be positive and at most segment_frames")
@@ -299,7 +299,7 @@ def _narrow(rows: DataFrame) -> DataFrame:
     return rows.select(*PERSON_KEY, "conf", *[F.col(f"bbox.{c}").alias(c) for c in _CORNERS])
 
 
-def _resumed(narrow: DataFrame, tracker) -> DataFrame:
+def _walked(narrow: DataFrame, tracker) -> DataFrame:
     """Local ids of a tracker with a state: each video is one walk over its sorted rows, a batch at a time."""
     names = ["video_id", "frame_idx", "det_idx", "local_id"]
 

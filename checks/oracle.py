@@ -187,6 +187,50 @@ survivors AS (SELECT r.* FROM ranked r JOIN walk w
   WHERE (w.kept & cast(pow(2, r.rk - 1) as bigint)) <> 0)"""
 
 
+#: Numbers of the tracker, written out: a track is found again over at most 30 frames and from an overlap of 0.2, and begins with a box of 0.5.
+MAX_LOST, MATCH_IOU, HIGH = 30, 0.2, 0.5
+
+
+def lane_walk(source: str) -> str:
+    """CTEs ``lane_walk`` and ``lane_tracks``: the tracker on every lane, row by row, and the numbers of its tracks.
+
+    Lanes are too far apart to touch, so a box meets the live tracks of its own lane only. Each is expected where its last step leads;
+    the greatest overlap wins, then the track that is first by place. A track is named by the frame it began in.
+    """
+    corners = ("x1", "y1", "x2", "y2")
+    ahead = ", ".join(f"'p_{k}': t.{k} + t.s_{k} * (frame_idx - t.last)" for k in corners)
+    inter = (
+        "greatest(0.0, least(t.p_x2, x2) - greatest(t.p_x1, x1)) * greatest(0.0, least(t.p_y2, y2) - greatest(t.p_y1, y1))"
+    )
+    areas = "greatest(0.0, t.p_x2 - t.p_x1) * greatest(0.0, t.p_y2 - t.p_y1) + (x2 - x1) * (y2 - y1)"
+    state = ", ".join([f"'{k}': t.{k}" for k in corners] + [f"'s_{k}': t.s_{k}" for k in corners])
+    track = ", ".join([f"{k} double" for k in corners] + [f"s_{k} double" for k in corners])
+    here = ", ".join(f"'{k}': {k}" for k in corners)
+    moved = ", ".join(f"'s_{k}': ({k} - best.{k}) / cast(frame_idx - best.last as double)" for k in corners)
+    still = ", ".join(f"'s_{k}': cast(0 as double)" for k in corners)
+    return f"""
+lane_seq AS MATERIALIZED (SELECT video_id, slot, frame_idx, conf, x1, y1, x2, y2,
+  row_number() OVER (PARTITION BY video_id, slot ORDER BY frame_idx) AS n FROM {source}),
+lane_walk AS (
+  SELECT video_id, slot, cast(0 as bigint) AS n, cast(-1 as bigint) AS frame_idx, cast(null as bigint) AS born,
+    cast([] as struct({track}, last bigint, born bigint)[]) AS live
+  FROM lane_seq WHERE n = 1
+  UNION ALL
+  SELECT video_id, slot, n, frame_idx, CASE WHEN best IS NOT NULL THEN best.born WHEN conf >= {HIGH} THEN frame_idx END,
+    CASE WHEN best IS NOT NULL THEN list_filter(live, lambda t: t.born <> best.born)
+        || [{{{here}, {moved}, 'last': frame_idx, 'born': best.born}}]
+      WHEN conf >= {HIGH} THEN live || [{{{here}, {still}, 'last': frame_idx, 'born': frame_idx}}]
+      ELSE live END
+  FROM (SELECT *, list_sort(list_filter(list_transform(expected, lambda t:
+        {{'rest': -(({inter}) / ({areas} - {inter})), {state}, 'last': t.last, 'born': t.born}}),
+        lambda t: t.rest <= -{MATCH_IOU}))[1] AS best
+    FROM (SELECT *, list_transform(live, lambda t: {{{state}, 'last': t.last, 'born': t.born, {ahead}}}) AS expected
+      FROM (SELECT q.*, list_filter(w.live, lambda t: q.frame_idx - t.last <= {MAX_LOST}) AS live
+        FROM lane_walk w JOIN lane_seq q ON q.video_id = w.video_id AND q.slot = w.slot AND q.n = w.n + 1)))),
+lane_tracks AS (SELECT video_id, slot, born, row_number() OVER (PARTITION BY video_id ORDER BY born, slot) AS id
+  FROM (SELECT DISTINCT video_id, slot, born FROM lane_walk WHERE born IS NOT NULL))"""
+
+
 def segments(source: str) -> str:
     """One SELECT per skeleton edge."""
     parts = [
@@ -259,24 +303,21 @@ def oracles() -> dict[str, str]:
         machine("squat", "loop_persons", angle(LEG), 90, 160),
         machine("elbow", "loop_persons", angle(ARM), 70, 150),
     )
-    # Frames without ids: weak boxes go, positions close up, lanes never overlap, slots are tracks from their first sure box.
+    # Frames without ids: a box's place in its frame is its lane, weak boxes go, positions close up.
     lanes = (
-        "lanes AS (SELECT * REPLACE (cast(row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY det_idx) - 1 as integer) "
-        "AS det_idx, det_idx * 1000.0 + x1 % 10 AS x1, y1 % 10 AS y1, det_idx * 1000.0 + x1 % 10 + 100 AS x2, y1 % 10 + 100 AS y2), "
-        "det_idx AS slot FROM boxes WHERE conf >= 0.35)"
-    )
-    lane_slots = (
-        "lane_slots AS (SELECT video_id, slot, row_number() OVER (PARTITION BY video_id ORDER BY first, slot) AS id, first "
-        "FROM (SELECT video_id, slot, min(frame_idx) AS first FROM lanes WHERE conf >= 0.5 GROUP BY video_id, slot))"
+        "lanes AS (SELECT * REPLACE (cast(row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY slot) - 1 as integer) "
+        "AS det_idx, slot * 1000.0 + x1 % 10 AS x1, y1 % 10 AS y1, slot * 1000.0 + x1 % 10 + 100 AS x2, y1 % 10 + 100 AS y2) "
+        "FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY det_idx) - 1 AS slot FROM boxes) WHERE conf >= 0.35)"
     )
+    walked = lane_walk("lanes")
     tracked = (
-        "tracked AS (SELECT l.* REPLACE (id AS track_id) FROM lanes l JOIN lane_slots s "
-        "ON s.video_id = l.video_id AND s.slot = l.slot AND l.frame_idx >= s.first)"
+        "tracked AS (SELECT l.* REPLACE (id AS track_id) FROM lanes l JOIN lane_walk w USING (video_id, slot, frame_idx) "
+        "JOIN lane_tracks t ON t.video_id = w.video_id AND t.slot = w.slot AND t.born = w.born)"
     )
     lane_loop = [
         BOXES,
         lanes,
-        lane_slots,
+        walked,
         tracked,
         machine("squat", "tracked", angle(LEG), 90, 160),
         machine("elbow", "tracked", angle(ARM), 70, 150),

@@ -42,7 +42,7 @@ def test_stream_over_many_landings(spark, con, name, monkeypatch):
     assert difference(table, con.execute(SQL[name]).to_arrow_table()) is None
 
 
-@pytest.mark.parametrize("name", ["frame_loop_tracked"])
+@pytest.mark.parametrize("name", ["frame_loop_tracked", "frame_overlay"])
 @pytest.mark.parametrize("parts", [[(3_404_800, 3_406_400)], [(0, 600), (1_000_003, 1_000_500)]])
 def test_tracks_that_break_off(spark, tmp_path, name, parts):
     """A box beyond where its track is looked for, and a pause longer than the tracker remembers that ends inside a frame."""

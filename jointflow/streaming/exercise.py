@@ -17,10 +17,15 @@ from jointflow.config import Registry, StateTransform
 from jointflow.functions.labels import rep_feedback
 from jointflow.operators.exercise import tracked_angles
 from jointflow.schema import EXERCISE_STATE, PERSON_KEY, TRACK_KEY
-from jointflow.streaming.order import InOrder
+from jointflow.streaming.order import END
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Groups into which tracks are hashed. One call counts all tracks of a group together, as a call for every track costs more than the
+#: counting; each track still has a state of its own in the group's map. Running queries depend on this number.
+BUCKETS = 1024
+
+_TRACK = "video_id STRING, track_id LONG"
 _STATE = "frame_idx LONG, det_idx INT, down ARRAY<BOOLEAN>, reps ARRAY<LONG>, angle ARRAY<DOUBLE>"
 _OUT = (
     "video_id STRING, frame_idx LONG, det_idx INT, track_id LONG, machine INT, "
@@ -28,98 +33,145 @@ _OUT = (
 )
 
 
-def advance(angle, seen, down_limit, up_limit, start_down, start_reps, start_angle):
+def advance(angle, seen, down_limit, up_limit, start_down, start_reps, start_angle, starts=None):
     """Run one counter over a track's next rows: ``(down, reps, angle)`` per row.
 
     ``seen`` is false where a row has no angle (NaN is an angle). A row forces the phase, flips it
-    (only if the limits are the wrong way round) or leaves it.
+    (only if the limits are the wrong way round) or leaves it. With ``starts``, the place of the first row of each row's
+    track, the rows are those of several tracks one after the other, and what they start from is given per row.
     """
+    at = np.arange(len(seen))
+    first = np.zeros(len(seen), dtype=np.int64) if starts is None else starts
+
+    def counted(marks):
+        upto = np.cumsum(marks)
+        return upto - (upto[first] - marks[first])
+
+    def latest(marks):
+        """The place of the last marked row of the track up to each row, or one before the track's first."""
+        place = np.maximum.accumulate(np.where(marks, at, -1))
+        return place, place >= first
+
     with np.errstate(invalid="ignore"):
         below, above = seen & (angle < down_limit), seen & (angle > up_limit)
-    flips = np.cumsum(below & above) % 2
-    forced = below ^ above
+    flips = counted(below & above) % 2 == 1
     # As seen from the start of the run: undo the flips so far.
-    stored = pd.Series(np.where(forced, below ^ (flips == 1), np.nan), dtype=float)
-    base = stored.ffill().fillna(float(start_down)).to_numpy() == 1.0
-    down = base ^ (flips == 1)
-    was = np.concatenate([[start_down], down[:-1]])
-    reps = start_reps + np.cumsum(was & ~down)
-    position = pd.Series(np.where(seen, np.arange(len(seen)), np.nan)).ffill()
-    held = np.where(position.isna(), start_angle, angle[position.fillna(0).astype(int).to_numpy()])
-    return down, reps, held
+    place, some = latest(below ^ above)
+    base = np.where(some, (below ^ flips)[place], start_down)
+    down = base.astype(bool) ^ flips
+    was = np.where(at == first, start_down, np.roll(down, 1)).astype(bool)
+    reps = start_reps + counted(was & ~down)
+    place, some = latest(seen)
+    return down, reps, np.where(some, angle[place], start_angle)
 
 
 class _RepCounter(StatefulProcessor):
-    """State per (video, track): where it is in the video, and phase, count and angle per machine."""
+    """State per (video, track), in the map of its group: where it is in the video, and phase, count and angle per machine.
+
+    With ``disorder`` a second map has each track's clock, the highest frame it has seen, and its rows that wait.
+    """
 
     def __init__(self, limits: Sequence[tuple[int, float, float]], ttl_ms: int | None, disorder: int):
         self.limits = list(limits)
         self.ttl_ms = ttl_ms
-        columns = [("frame_idx", "LONG"), ("det_idx", "INT")]
-        columns += [c for machine, *_ in limits for c in ((f"angle{machine}", "DOUBLE"), (f"seen{machine}", "BOOLEAN"))]
-        self.order = InOrder(columns, disorder) if disorder else None
+        self.disorder = disorder
+        columns = [("frame_idx", "LONG", np.int64), ("det_idx", "INT", np.int32)]
+        for machine, *_ in limits:
+            columns += [(f"angle{machine}", "DOUBLE", float), (f"seen{machine}", "BOOLEAN", bool)]
+        self.columns = columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("track", _STATE, self.ttl_ms)
-        if self.order:
-            self.order.init(handle)
+        self.state = handle.getMapState("tracks", _TRACK, _STATE, self.ttl_ms)
+        if self.disorder:
+            waiting = ", ".join(["clock LONG", *[f"{n} ARRAY<{t}>" for n, t, _ in self.columns]])
+            self.waiting = handle.getMapState("waiting", _TRACK, waiting)
+
+    def _due(self, given: pd.DataFrame) -> pd.DataFrame:
+        """The rows that are due, of those given and those that waited; the others wait on."""
+        keys = list(TRACK_KEY)
+        clocks = given.groupby(keys, sort=False)["frame_idx"].max()
+        parts, known = [], {}
+        for track, clock in clocks.items():
+            found = self.waiting.getValue(track)
+            known[track] = max(int(clock), found[0]) if found else int(clock)
+            if found and len(found[1]):
+                made = {n: np.array([np.nan if x is None else x for x in v] if kind is float else v, dtype=kind)
+                        for (n, _, kind), v in zip(self.columns, found[1:])}
+                parts.append(pd.DataFrame({"video_id": track[0], "track_id": track[1], **made}))
+        kinds = {n: kind for n, _, kind in self.columns}
+        rows = given.loc[given["det_idx"].notna(), [*keys, *kinds]].astype(kinds)
+        rows = pd.concat([*parts, rows], ignore_index=True) if parts else rows.reset_index(drop=True)
+        group, tracks = _grouped(rows)
+        clock = np.array([known[t] for t in tracks], dtype=np.int64)[group]
+        due = rows["frame_idx"].to_numpy() <= np.where(clock == END, END, clock - self.disorder)
+        rest, of = rows[~due], group[~due]
+        order = np.argsort(of, kind="stable")
+        rest, ends = rest.iloc[order], np.cumsum(np.bincount(of, minlength=len(tracks)))
+        values = [rest[n].to_numpy() for n in kinds]
+        places = {t: (end - n, end) for t, end, n in zip(tracks, ends, np.diff(ends, prepend=0))}
+        for track, clock in known.items():
+            a, b = places.get(track, (0, 0))
+            self.waiting.updateValue(track, (clock, *[v[a:b].tolist() for v in values]))
+        return rows[due].reset_index(drop=True)
 
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
         # A track's rows of one micro-batch come in any order and several pieces, and a row that
         # was delivered twice counts once, in one micro-batch as over several.
-        order = ["frame_idx", "det_idx"]
         given = pd.concat(list(rows), ignore_index=True)
-        due = self.order(given) if self.order else given[given["det_idx"].notna()]
-        pdf = due.sort_values(order, kind="stable", ignore_index=True)
-        late = pdf.duplicated(order)
-        n = len(self.limits)
-        if self.state.exists():
-            frame, det, down, reps, angle = self.state.get()
-            newer = (pdf["frame_idx"] > frame) | ((pdf["frame_idx"] == frame) & (pdf["det_idx"] > det))
-            late |= ~newer
-        else:
-            down, reps, angle = [False] * n, [0] * n, [0.0] * n
+        pdf = self._due(given) if self.disorder else given[given["det_idx"].notna()]
+        group, tracks = _grouped(pdf)
+        order = np.lexsort((pdf["det_idx"].to_numpy(), pdf["frame_idx"].to_numpy(), group))
+        pdf, group = pdf.iloc[order].reset_index(drop=True), group[order]
+        frame, det = pdf["frame_idx"].to_numpy(np.int64), pdf["det_idx"].to_numpy(np.int32)
+        n, none = len(self.limits), (np.iinfo(np.int64).min, -1)
+        before = [self.state.getValue(t) or (*none, [False] * n, [0] * n, [0.0] * n) for t in tracks]
+        old_frame = np.array([b[0] for b in before], dtype=np.int64)[group]
+        old_det = np.array([b[1] for b in before], dtype=np.int64)[group]
+        late = (frame < old_frame) | ((frame == old_frame) & (det <= old_det))
+        late[1:] |= (group[1:] == group[:-1]) & (frame[1:] == frame[:-1]) & (det[1:] == det[:-1])
+        out = [c.split()[0] for c in _OUT.split(", ")]
         if late.any():
-            rest = pdf.loc[late, order].assign(
-                video_id=key[0], track_id=key[1], machine=-1, rep_count=0, down=False, angle=0.0, late=True
+            yield pdf[late].assign(machine=-1, rep_count=0, down=False, angle=0.0, late=True)[out]
+        pdf, group = pdf[~late].reset_index(drop=True), group[~late]
+        if not len(pdf):
+            return
+        begin = np.flatnonzero(np.diff(group, prepend=-1))
+        starts = np.repeat(begin, np.diff(begin, append=len(pdf)))
+        last = np.append(begin[1:], len(pdf)) - 1
+        after = []
+        for i, (machine, down_limit, up_limit) in enumerate(self.limits):
+            down0, reps0, angle0 = (
+                np.array([b[part][i] for b in before], dtype=kind)[group] for part, kind in ((2, bool), (3, np.int64), (4, float))
+            )
+            on, count, held = advance(
+                pdf[f"angle{machine}"].to_numpy(dtype=float),
+                pdf[f"seen{machine}"].to_numpy(dtype=bool),
+                down_limit,
+                up_limit,
+                down0,
+                reps0,
+                angle0,
+                starts,
             )
-            yield rest[[c.split()[0] for c in _OUT.split(", ")]]
-        pdf = pdf[~late].reset_index(drop=True)
-        if len(pdf):
-            down, reps, angle = list(down), list(reps), list(angle)
-            for i, (machine, down_limit, up_limit) in enumerate(self.limits):
-                on, count, held = advance(
-                    pdf[f"angle{machine}"].to_numpy(dtype=float),
-                    pdf[f"seen{machine}"].to_numpy(dtype=bool),
-                    down_limit,
-                    up_limit,
-                    down[i],
-                    reps[i],
-                    angle[i],
-                )
-                down[i], reps[i], angle[i] = bool(on[-1]), int(count[-1]), float(held[-1])
-                yield pd.DataFrame(
-                    {
-                        "video_id": key[0],
-                        "frame_idx": pdf["frame_idx"],
-                        "det_idx": pdf["det_idx"],
-                        "track_id": key[1],
-                        "machine": machine,
-                        "rep_count": count,
-                        "down": on,
-                        "angle": held,
-                        "late": False,
-                    }
-                )
-            last = pdf.iloc[-1]
-            self.state.update((int(last["frame_idx"]), int(last["det_idx"]), down, reps, angle))
+            after.append((on[last].tolist(), count[last].tolist(), held[last].tolist()))
+            yield pdf.assign(machine=machine, rep_count=count, down=on, angle=held, late=False)[out]
+        ends = zip(group[last].tolist(), pdf["frame_idx"].to_numpy()[last].tolist(), pdf["det_idx"].to_numpy(np.int32)[last].tolist())
+        for k, (g, frame_idx, det_idx) in enumerate(ends):
+            self.state.updateValue(tracks[g], (frame_idx, det_idx, *[[a[part][k] for a in after] for part in range(3)]))
 
     def close(self) -> None:
         pass
 
 
+def _grouped(rows: pd.DataFrame) -> tuple[np.ndarray, list[tuple[str, int]]]:
+    """Per row the number of its track, and the tracks by number."""
+    by = rows.groupby(list(TRACK_KEY), sort=False)
+    firsts = rows.loc[~rows.duplicated(list(TRACK_KEY)), list(TRACK_KEY)]
+    return by.ngroup().to_numpy(), list(zip(firsts["video_id"].tolist(), firsts["track_id"].tolist()))
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """State lives on disk and in the checkpoint, so it may outgrow executor memory."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -167,10 +219,11 @@ def stream_exercise_states(
     angles = angles.select(
         *PERSON_KEY,
         "track_id",
+        F.pmod(F.xxhash64(*TRACK_KEY), F.lit(BUCKETS)).alias("bucket"),
         *[F.col(f"_m{m.ordinal}_angle").alias(f"angle{m.ordinal}") for m in machines],
         *[F.col(f"_m{m.ordinal}_angle").isNotNull().alias(f"seen{m.ordinal}") for m in machines],
     )
-    counted = angles.groupBy(*TRACK_KEY).transformWithStateInPandas(
+    counted = angles.groupBy("bucket").transformWithStateInPandas(
         _RepCounter([(m.ordinal, m.down, m.up) for m in machines], ttl_ms, disorder),
         outputStructType=_OUT,
         outputMode="Append",

@@ -1,11 +1,12 @@
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import ANGLES, angle_machine, count_rows, leg, person, random_rows, same
 from jointflow.config import DEFAULT_CONFIG, Registry
 from jointflow.operators import exercise as ex
 from jointflow.schema import EXERCISE_STATE, PERSON
 from jointflow.sources import detections as io
-from jointflow.streaming.exercise import advance, stream_exercise_states
+from jointflow.streaming.exercise import _RepCounter, advance, stream_exercise_states
 
 LIMITS = [(90, 160), (90, 90), (160, 90), (120, 60)]
 
@@ -26,6 +27,46 @@ def test_advance_in_pieces_matches_the_walk(down, up):
         state = (bool(on[-1]), int(reps[-1]), float(held[-1]))
 
 
+@pytest.mark.parametrize("down,up", LIMITS)
+def test_advance_over_tracks_at_once(down, up):
+    rows = sorted(random_rows(int(down), tracks=6, longest=60), key=lambda r: (r[0], r[2], r[1]))
+    wanted = count_rows(rows, down, up)
+    seen = np.array([r[4] is not None for r in rows])
+    angle = np.array([np.nan if r[4] is None else r[4] for r in rows])
+    tracks = [(r[0], r[2]) for r in rows]
+    starts = np.array([tracks.index(t) for t in tracks])
+    on, reps, held = advance(angle, seen, down, up, np.zeros(len(rows), bool), np.zeros(len(rows), int), np.zeros(len(rows)), starts)
+    for r, d, n, a in zip(rows, on, reps, held):
+        want = wanted[r[:3]]
+        assert (n, "down" if d else "up") == want[:2] and same(float(a), want[2])
+
+
+class _Map(dict):
+    """A state map that lives in the test."""
+
+    getValue, updateValue = dict.get, dict.__setitem__
+
+
+@pytest.mark.parametrize("disorder", [0, 3])
+def test_one_call_counts_all_tracks_of_a_group(disorder):
+    class Handle:
+        def getMapState(self, *_):
+            return _Map()
+
+    def calls(rows):
+        return pd.concat(counter.handleInputRows((0,), iter([pd.DataFrame(rows, columns=names)]), None), ignore_index=True)
+
+    names = ["video_id", "frame_idx", "det_idx", "track_id", "angle0", "seen0"]
+    counter = _RepCounter([(0, 90.0, 160.0)], None, disorder)
+    counter.init(Handle())
+    made = calls([("v", f, 0, t, 40.0 if f % 2 else 170.0, True) for t in range(300) for f in range(10)])
+    made = pd.concat([made, calls([("v", f, 0, t, 40.0 if f % 2 else 170.0, True) for t in range(300) for f in range(9, 14)])])
+    counted = made[~made["late"]]
+    due = 14 - disorder
+    assert len(counted) == 300 * due and made["late"].sum() == 300
+    assert (counted["rep_count"] == counted["frame_idx"] // 2).all() and len(counter.state) == 300
+
+
 def own(name, ordinal, settings):
     return angle_machine(settings["down"], settings["up"], name, ordinal)
 

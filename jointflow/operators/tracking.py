@@ -272,7 +272,7 @@ def track_with(
         raise ValueError("a tracker that only resumes walks whole videos; leave segment_frames out")
     if segment_frames is None and hasattr(tracker, "resume"):
         local = written(_walked(_narrow(rows), tracker), "tracklets")
-        return _assigned(rows, local, _links(local).withColumn("prev_segment", F.col("segment") - 1))
+        return _assigned(rows, local, None)
     if segment_frames is not None and not 0 < warmup_frames <= segment_frames:
         raise ValueError("warmup_frames must be positive and at most segment_frames")
     narrow = _narrow(rows)
@@ -332,12 +332,13 @@ def _walked(narrow: DataFrame, tracker) -> DataFrame:
     return local.withColumns({"segment": F.lit(0).cast("bigint"), "own": F.lit(True)})
 
 
-def _assigned(rows: DataFrame, local: DataFrame, links: DataFrame) -> DataFrame:
-    """Ids joined back to the rows. A detection that was delivered more than once has the id of its best copy in all its rows."""
+def _assigned(rows: DataFrame, local: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Ids joined back to the rows; ``links`` is None if each video is one segment. A detection that was delivered more than once has the id of its best copy in all its rows."""
     ids = _global_ids(local, links)
     assigned = local.join(ids, list(_TRACKLET), "left").select(*PERSON_KEY, F.col("id").alias("track_id"))
     columns = [c for c in rows.columns if c != "track_id"]
-    return rows.select(*columns).join(assigned, list(PERSON_KEY), "left")
+    # One id for each row: never to be broadcast, however small its files.
+    return rows.select(*columns).join(assigned.hint("merge"), list(PERSON_KEY), "left")
 
 
 def _links(local: DataFrame) -> DataFrame:
@@ -351,7 +352,8 @@ def _links(local: DataFrame) -> DataFrame:
     )
     warm = tracked.filter(~F.col("own")).drop("own")
     # A warm-up spans one segment at most, so the segment before holds all of it.
-    shared = warm.join(before, [*PERSON_KEY, "segment"])
+    # A plan by the size of these files, which is small for their rows, would broadcast all of them.
+    shared = warm.join(before.hint("merge"), [*PERSON_KEY, "segment"])
     latest = F.struct("frame_idx", "det_idx")
     best = shared.groupBy(*_TRACKLET).agg(
         F.max_by("prev_id", latest).alias("prev_id"), F.max(latest).alias("seen")
@@ -363,11 +365,14 @@ def _links(local: DataFrame) -> DataFrame:
     )
 
 
-def _global_ids(local: DataFrame, links: DataFrame) -> DataFrame:
+def _global_ids(local: DataFrame, links: DataFrame | None) -> DataFrame:
     """``(video_id, segment, local_id, id)``: chains of linked tracklets share one id.
 
     ``links`` name the tracklet before; one may live through a segment without a row of its own.
     """
+    if links is None:
+        seen = local.filter(F.col("local_id").isNotNull()).groupBy(*_TRACKLET).agg(F.min(F.struct("frame_idx", "det_idx")).alias("first"))
+        return seen.select(*_TRACKLET, F.row_number().over(Window.partitionBy("video_id").orderBy("first")).alias("id"))
     nowhere = links.select(*_TRACKLET, F.lit(None).cast("long").alias("frame_idx"), F.lit(None).cast("int").alias("det_idx"))
     tracklets = (
         local.filter(F.col("local_id").isNotNull())

@@ -3,6 +3,7 @@ import random
 import pandas as pd
 import pytest
 from helpers import NAN
+from jointflow.operators import tracking
 from jointflow.operators.tracking import TrackerConfig, assign_tracks, track_with, two_stage_tracker
 from test_detections import BOXES
 
@@ -186,3 +187,21 @@ def test_track_without_rows_in_a_segment(spark):
     rows = [("v", f, 0, 0.9, HERE) for f in (0, 1, 28, 29)] + [("v", f, 0, 0.9, (500.0, 0.0, 600.0, 100.0)) for f in (12, 14)]
     got = ids(assign_tracks(spark.createDataFrame(rows, BOXES), segment_frames=5))
     assert [got["v", f, 0] for f in (0, 1, 12, 14, 28, 29)] == [1, 1, 2, 2, 1, 1]
+
+
+def test_ids_of_all_rows_are_never_broadcast(spark):
+    """Files of ids are small for their rows; a join planned by their size would hold all of them in every task."""
+
+    def broadcasts(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "frame_idx" in line]
+
+    rows = spark.range(400).selectExpr(
+        "'v' AS video_id", "id DIV 4 AS frame_idx", "int(id % 4) AS det_idx", "0.9D AS conf",
+        "named_struct('x1', 1000D * (id % 4), 'y1', 0D, 'x2', 1000D * (id % 4) + 100D, 'y2', 100D) AS bbox",
+    )
+    local = tracking.written(rows.selectExpr("video_id", "frame_idx DIV 10 AS segment", "frame_idx", "det_idx", "det_idx > 0 AS own", "bigint(det_idx) AS local_id"), "ids")
+    assert not broadcasts(tracking._links(local))
+    made = tracking.track_with(rows, tracking.two_stage_tracker())
+    assert not broadcasts(made)
+    assert {(r.det_idx, r.track_id) for r in made.collect()} == {(d, d + 1) for d in range(4)}

@@ -69,6 +69,34 @@ def _match(predicted: np.ndarray, boxes: np.ndarray, least: float) -> list[tuple
     return pairs
 
 
+#: Pairs of a track and a box up to which plain numbers are faster than arrays.
+FEW_PAIRS = 400
+
+
+def _match_few(predicted: list[tuple], boxes: list[tuple], least: float) -> list[tuple[int, int]]:
+    """The same as :func:`_match` for few finite boxes and a positive ``least``."""
+    areas = [max(x2 - x1, 0.0) * max(y2 - y1, 0.0) for x1, y1, x2, y2 in boxes]
+    scored = []
+    for r, (x1, y1, x2, y2) in enumerate(predicted):
+        for c, (u1, v1, u2, v2) in enumerate(boxes):
+            width = (x2 if x2 < u2 else u2) - (x1 if x1 > u1 else u1)
+            if width > 0:
+                height = (y2 if y2 < v2 else v2) - (y1 if y1 > v1 else v1)
+                if height > 0:
+                    inter = width * height
+                    union = (x2 - x1) * (y2 - y1) + areas[c] - inter
+                    if union > 0 and inter / union >= least:
+                        scored.append((-(inter / union), r, c))
+    scored.sort()
+    used_rows, used_cols, pairs = set(), set(), []
+    for _, r, c in scored:
+        if r not in used_rows and c not in used_cols:
+            used_rows.add(r)
+            used_cols.add(c)
+            pairs.append((r, c))
+    return pairs
+
+
 #: Live tracks as arrays: local id, last frame, and last box with its speed in eight numbers.
 State = dict[str, np.ndarray]
 
@@ -88,7 +116,7 @@ def _ordered(state: State, frame: int, max_lost: int) -> State:
 class TwoStageTracker:
     """A tracker whose live tracks can be handed on: rows sorted by frame and detection in, local ids (or NA) out.
 
-    Works frame by frame on arrays; its state is the live tracks only.
+    Works frame by frame; its state is the live tracks only.
     """
 
     def __init__(self, config: TrackerConfig) -> None:
@@ -105,35 +133,58 @@ class TwoStageTracker:
         ids = np.zeros(len(rows), dtype=np.int64)
         # A walk that is to be continued counts its ids on, also past those of tracks that have ended.
         next_id = int(state["next"][0]) if "next" in state else int(state["id"].max(initial=0)) + 1
-        edges = np.flatnonzero(np.diff(frames)) + 1
-        for at in np.split(np.arange(len(rows)), edges):
-            if not len(at):
-                continue
-            frame = frames[at[0]]
-            state = _ordered(state, frame, config.max_lost)
-            live_id, last_frame, place = state["id"], state["last"].copy(), state["place"].copy()
-            last_box, speed = place[:, :4], place[:, 4:]
-            free = np.arange(len(live_id))
-            strong = at[conf[at] >= config.high]
-            weak = at[(conf[at] >= config.low) & (conf[at] < config.high)]
+        finite = bool(np.isfinite(boxes).all() and np.isfinite(state["place"]).all())
+        plain = finite and config.match_iou > 0
+        # A track is (place, last frame, id), and tracks are sorted as such: frames have few, for which arrays are slow.
+        tracks = list(zip(map(tuple, state["place"].tolist()), state["last"].tolist(), state["id"].tolist()))
+        edges = [0, *(np.flatnonzero(np.diff(frames)) + 1).tolist(), len(rows)] if len(rows) else []
+        for begin, end in zip(edges, edges[1:]):
+            frame = int(frames[begin])
+            tracks = sorted((t for t in tracks if frame - t[1] <= config.max_lost), key=None if finite else _with_nan_last)
+            given, placed = conf[begin:end].tolist(), list(map(tuple, boxes[begin:end].tolist()))
+            strong = [i for i, c in enumerate(given) if c >= config.high]
+            weak = [i for i, c in enumerate(given) if config.low <= c < config.high]
+            named = [0] * len(given)
+            free = list(range(len(tracks)))
             for group in (strong, weak):
-                gap = (frame - last_frame[free])[:, None]
-                found = _match(last_box[free] + speed[free] * gap, boxes[group], config.match_iou)
+                if not group or not free:
+                    continue
+                ahead = []
+                for t in free:
+                    (x1, y1, x2, y2, dx1, dy1, dx2, dy2), last, _ = tracks[t]
+                    gap = frame - last
+                    ahead.append((x1 + dx1 * gap, y1 + dy1 * gap, x2 + dx2 * gap, y2 + dy2 * gap))
+                here = [placed[i] for i in group]
+                if plain and len(ahead) * len(here) <= FEW_PAIRS:
+                    found = _match_few(ahead, here, config.match_iou)
+                else:
+                    found = _match(np.array(ahead), np.array(here), config.match_iou)
                 for r, c in found:
                     t, row = free[r], group[c]
-                    speed[t] = (boxes[row] - last_box[t]) / max(frame - last_frame[t], 1)
-                    last_box[t], last_frame[t] = boxes[row], frame
-                    ids[row] = live_id[t]
-                free = np.delete(free, [r for r, _ in found])
-            born = strong[ids[strong] == 0]
-            ids[born] = np.arange(next_id, next_id + len(born))
-            next_id += len(born)
-            state = {
-                "id": np.concatenate([live_id, ids[born]]),
-                "last": np.concatenate([last_frame, np.full(len(born), frame)]),
-                "place": np.concatenate([place, np.hstack([boxes[born], np.zeros((len(born), 4))])]),
-            }
-        return pd.Series(ids, index=rows.index, dtype="Int64").replace(0, pd.NA), state | {"next": np.array([next_id])}
+                    place, last, name = tracks[t]
+                    steps = max(frame - last, 1)
+                    tracks[t] = (placed[row] + tuple([(to - at) / steps for to, at in zip(placed[row], place)]), frame, name)
+                    named[row] = name
+                taken = {r for r, _ in found}
+                free = [t for r, t in enumerate(free) if r not in taken]
+            for row in strong:
+                if not named[row]:
+                    named[row] = next_id
+                    tracks.append((placed[row] + (0.0,) * 4, frame, next_id))
+                    next_id += 1
+            ids[begin:end] = named
+        state = {
+            "id": np.array([t[2] for t in tracks], np.int64),
+            "last": np.array([t[1] for t in tracks], np.int64),
+            "place": np.array([t[0] for t in tracks], float).reshape(-1, 8),
+            "next": np.array([next_id]),
+        }
+        return pd.Series(ids, index=rows.index, dtype="Int64").replace(0, pd.NA), state
+
+
+def _with_nan_last(track: tuple) -> tuple:
+    place, last, name = track
+    return [(x != x, 0.0 if x != x else x) for x in place], last, name
 
 
 def two_stage_tracker(config: TrackerConfig = TrackerConfig()) -> TwoStageTracker:

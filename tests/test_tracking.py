@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from helpers import NAN
@@ -205,3 +206,17 @@ def test_ids_of_all_rows_are_never_broadcast(spark):
     made = tracking.track_with(rows, tracking.two_stage_tracker())
     assert not broadcasts(made)
     assert {(r.det_idx, r.track_id) for r in made.collect()} == {(d, d + 1) for d in range(4)}
+
+
+def test_matches_of_plain_numbers_are_those_of_arrays():
+    """Frames of few boxes are matched without arrays, with the same scores and the same order of ties."""
+    rng = random.Random(5)
+    met = 0
+    for step in (1, 20):  # places on a coarse grid make many ties
+        for _ in range(300):
+            places = [[(rng.randrange(0, 120, step), rng.randrange(0, 120, step)) for _ in range(rng.randrange(9))] for _ in range(2)]
+            tracks, boxes = ([(float(x), float(y), x + 60.0, y + rng.choice([40.0, 60.0])) for x, y in p] for p in places)
+            pairs = tracking._match_few(tracks, boxes, 0.2)
+            assert pairs == tracking._match(np.array(tracks).reshape(-1, 4), np.array(boxes).reshape(-1, 4), 0.2)
+            met += len(pairs)
+    assert met > 500

@@ -253,5 +253,7 @@ def _own_states(
 ) -> DataFrame:
     """State rows of a custom transform, in the stream's own plan."""
     rows = transform(persons.where("det_idx IS NOT NULL"), settings).withColumn("exercise", F.lit(name))
+    if lacking := [n for n in EXERCISE_STATE.fieldNames() if n not in rows.columns]:
+        raise ValueError(f"the rows of transform {name} lack {', '.join(lacking)}")
     late = [F.lit(False).alias("late")] if with_late else []
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in EXERCISE_STATE.fields], *late)

@@ -13,6 +13,7 @@ an empty table, and columns named like the new ones are replaced by them.
 from __future__ import annotations
 
 import base64
+import gc
 from array import array
 from collections.abc import Iterator
 
@@ -259,17 +260,15 @@ class Encoder:
         """The ids of every given segment, as little-endian unsigned 32-bit integers."""
         if len(self.new) > CACHE_ENTRIES:
             self.old, self.new = self.new, {}
-        known, new, old = {}, self.new, self.old
+        new, old = self.new, self.old
+        known = dict(zip(segments, map(new.get, segments)))
         unknown = []
-        for s in segments:
-            ids = new.get(s)
+        for s in [s for s, ids in known.items() if ids is None]:
+            ids = old.get(s)
             if ids is None:
-                ids = old.get(s)
-                if ids is None:
-                    unknown.append(s)
-                    continue
-                new[s] = ids
-            known[s] = ids
+                unknown.append(s)
+            else:
+                known[s] = new[s] = ids
         ranks = self.merger.ranks
         parts: dict[str, bytes | None] = {}
         cut = self.pretokens(unknown)
@@ -293,6 +292,16 @@ class Encoder:
         return known
 
     def encode(self, batch: list[str]) -> list[bytes]:
+        # Lists of words come and go by the hundred thousand, in no cycles; the collector would walk them over and over.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(batch)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, batch: list[str]) -> list[bytes]:
         out: list[bytes] = []
         start = 0
         while start < len(batch):

@@ -84,3 +84,16 @@ def test_decoder():
     assert list(bpe.Decoder(RANKS).decode(ids)) == [b"", by_rank[5] * 2 + by_rank[300], by_rank[40000]]
     with pytest.raises(ValueError):
         list(bpe.Decoder(RANKS).decode([np.array([10**6], "<u4").tobytes()]))
+
+
+def test_no_garbage_is_looked_for_while_texts_are_encoded():
+    import gc
+
+    runs = []
+    note = lambda phase, info: runs.append(phase)
+    gc.callbacks.append(note)
+    try:
+        made = bpe.Encoder(RANKS, public_tokenizers.PATTERN).encode([" ".join(f"word{i}x{i * 7}" for i in range(20_000))])
+    finally:
+        gc.callbacks.remove(note)
+    assert len(made) == 1 and not runs and gc.isenabled()

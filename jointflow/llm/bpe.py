@@ -229,8 +229,10 @@ class Encoder:
     def cut(self, text: str) -> list[str]:
         if self.odd(text):
             return self.segments(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        if "\0" in text:
+            first, *rest = text.split(" ")
+            return [first, *[" " + x for x in rest]]
+        return text.replace(" ", "\0 ").split("\0")
 
     def pretokens(self, segments: list[str]) -> list[list[str]]:
         """The matches of the pattern in each segment.

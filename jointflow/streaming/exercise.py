@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
@@ -22,11 +22,18 @@ from jointflow.streaming.order import END
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 #: Groups into which tracks are hashed. One call counts all tracks of a group together, as a call for every track costs more than the
-#: counting; each track still has a state of its own in the group's map. Running queries depend on this number.
+#: counting. Running queries depend on this number and the next.
 BUCKETS = 1024
+#: Pages of a group: its tracks are kept in so many entries of its map, by track id, as reading and writing an entry for every track
+#: costs more than the counting. A call reads and writes the pages of the tracks it has rows of.
+PAGES = 4
 
-_TRACK = "video_id STRING, track_id LONG"
-_STATE = "frame_idx LONG, det_idx INT, down ARRAY<BOOLEAN>, reps ARRAY<LONG>, angle ARRAY<DOUBLE>"
+# A page in columns: tracks one after the other; of phase, count and angle each track has one per machine.
+_TRACKS = "video_id ARRAY<STRING>, track_id ARRAY<LONG>"
+_STATE = (
+    f"{_TRACKS}, frame_idx ARRAY<LONG>, det_idx ARRAY<INT>, seen_ms ARRAY<LONG>, "
+    "down ARRAY<BOOLEAN>, reps ARRAY<LONG>, angle ARRAY<DOUBLE>"
+)
 _OUT = (
     "video_id STRING, frame_idx LONG, det_idx INT, track_id LONG, machine INT, "
     "rep_count LONG, down BOOLEAN, angle DOUBLE, late BOOLEAN"
@@ -66,9 +73,9 @@ def advance(angle, seen, down_limit, up_limit, start_down, start_reps, start_ang
 
 
 class _RepCounter(StatefulProcessor):
-    """State per (video, track), in the map of its group: where it is in the video, and phase, count and angle per machine.
+    """State per (video, track), on the pages of its group: where it is in the video, when it was last counted, and phase, count and angle per machine.
 
-    With ``disorder`` a second map has each track's clock, the highest frame it has seen, and its rows that wait.
+    With ``disorder`` there are pages of each track's clock, the highest frame it has seen, and its rows that wait.
     """
 
     def __init__(self, limits: Sequence[tuple[int, float, float]], ttl_ms: int | None, disorder: int):
@@ -81,23 +88,47 @@ class _RepCounter(StatefulProcessor):
         self.columns = columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getMapState("tracks", _TRACK, _STATE, self.ttl_ms)
+        #: The tracks on the pages in hand.
+        self.state: dict[tuple[str, int], tuple] = {}
+        self.pages = handle.getMapState("tracks", "page INT", _STATE, self.ttl_ms)
         if self.disorder:
-            waiting = ", ".join(["clock LONG", *[f"{n} ARRAY<{t}>" for n, t, _ in self.columns]])
-            self.waiting = handle.getMapState("waiting", _TRACK, waiting)
+            waiting = ", ".join([f"{_TRACKS}, clock ARRAY<LONG>, n ARRAY<LONG>", *[f"{n} ARRAY<{t}>" for n, t, _ in self.columns]])
+            self.waiting = handle.getMapState("waiting", "page INT", waiting)
+
+    def _read(self, pages: Sequence[int], now: int) -> None:
+        """Take the tracks on these pages in hand, but for those not counted for the time to live."""
+        n, self.state = len(self.limits), {}
+        for page in pages:
+            if (kept := self.pages.getValue((page,))) is None:
+                continue
+            videos, ids, frames, dets, seen, *parts = kept
+            for k, track in enumerate(zip(videos, ids)):
+                if self.ttl_ms is None or seen[k] + self.ttl_ms > now:
+                    self.state[track] = (frames[k], dets[k], seen[k], *[p[k * n : k * n + n] for p in parts])
+
+    def _write(self, pages: Sequence[int]) -> None:
+        for page, tracks in _paged(self.state, pages):
+            frames, dets, seen, *parts = zip(*[self.state[t] for t in tracks])
+            flat = [[x for own in part for x in own] for part in parts]
+            self.pages.updateValue((page,), (*map(list, zip(*tracks)), list(frames), list(dets), list(seen), *flat))
 
     def _due(self, given: pd.DataFrame) -> pd.DataFrame:
         """The rows that are due, of those given and those that waited; the others wait on."""
         keys = list(TRACK_KEY)
         clocks = given.groupby(keys, sort=False)["frame_idx"].max()
+        clocks = {(video, int(track)): int(clock) for (video, track), clock in clocks.items()}
+        pages = _pages(clocks)
         parts, known = [], {}
-        for track, clock in clocks.items():
-            found = self.waiting.getValue(track)
-            known[track] = max(int(clock), found[0]) if found else int(clock)
-            if found and len(found[1]):
-                made = {n: np.array([np.nan if x is None else x for x in v] if kind is float else v, dtype=kind)
-                        for (n, _, kind), v in zip(self.columns, found[1:])}
-                parts.append(pd.DataFrame({"video_id": track[0], "track_id": track[1], **made}))
+        for page in pages:
+            if (kept := self.waiting.getValue((page,))) is None:
+                continue
+            videos, ids, clock, n, *values = kept
+            known.update(zip(zip(videos, ids), clock))
+            if sum(n):
+                made = {name: np.array([np.nan if x is None else x for x in v] if kind is float else v, dtype=kind)
+                        for (name, _, kind), v in zip(self.columns, values)}
+                parts.append(pd.DataFrame({"video_id": np.repeat(np.array(videos, object), n), "track_id": np.repeat(np.array(ids, np.int64), n), **made}))
+        known.update({track: max(known.get(track, clock), clock) for track, clock in clocks.items()})
         kinds = {n: kind for n, _, kind in self.columns}
         rows = given.loc[given["det_idx"].notna(), [*keys, *kinds]].astype(kinds)
         rows = pd.concat([*parts, rows], ignore_index=True) if parts else rows.reset_index(drop=True)
@@ -108,10 +139,11 @@ class _RepCounter(StatefulProcessor):
         order = np.argsort(of, kind="stable")
         rest, ends = rest.iloc[order], np.cumsum(np.bincount(of, minlength=len(tracks)))
         values = [rest[n].to_numpy() for n in kinds]
-        places = {t: (end - n, end) for t, end, n in zip(tracks, ends, np.diff(ends, prepend=0))}
-        for track, clock in known.items():
-            a, b = places.get(track, (0, 0))
-            self.waiting.updateValue(track, (clock, *[v[a:b].tolist() for v in values]))
+        places = {t: np.arange(end - n, end) for t, end, n in zip(tracks, ends, np.diff(ends, prepend=0))}
+        for page, own in _paged(known, pages):
+            at = [places.get(t, ends[:0]) for t in own]
+            kept = ([known[t] for t in own], [len(x) for x in at], *[v[np.concatenate(at)].tolist() for v in values])
+            self.waiting.updateValue((page,), (*map(list, zip(*own)), *kept))
         return rows[due].reset_index(drop=True)
 
     def handleInputRows(
@@ -126,7 +158,10 @@ class _RepCounter(StatefulProcessor):
         pdf, group = pdf.iloc[order].reset_index(drop=True), group[order]
         frame, det = pdf["frame_idx"].to_numpy(np.int64), pdf["det_idx"].to_numpy(np.int32)
         n, none = len(self.limits), (np.iinfo(np.int64).min, -1)
-        before = [self.state.getValue(t) or (*none, [False] * n, [0] * n, [0.0] * n) for t in tracks]
+        now = 0 if self.ttl_ms is None else timerValues.getCurrentProcessingTimeInMs()
+        pages = _pages(tracks)
+        self._read(pages, now)
+        before = [self.state.get(t) or (*none, now, [False] * n, [0] * n, [0.0] * n) for t in tracks]
         old_frame = np.array([b[0] for b in before], dtype=np.int64)[group]
         old_det = np.array([b[1] for b in before], dtype=np.int64)[group]
         late = (frame < old_frame) | ((frame == old_frame) & (det <= old_det))
@@ -143,7 +178,7 @@ class _RepCounter(StatefulProcessor):
         after = []
         for i, (machine, down_limit, up_limit) in enumerate(self.limits):
             down0, reps0, angle0 = (
-                np.array([b[part][i] for b in before], dtype=kind)[group] for part, kind in ((2, bool), (3, np.int64), (4, float))
+                np.array([b[part][i] for b in before], dtype=kind)[group] for part, kind in ((3, bool), (4, np.int64), (5, float))
             )
             on, count, held = advance(
                 pdf[f"angle{machine}"].to_numpy(dtype=float),
@@ -159,7 +194,8 @@ class _RepCounter(StatefulProcessor):
             yield pdf.assign(machine=machine, rep_count=count, down=on, angle=held, late=False)[out]
         ends = zip(group[last].tolist(), pdf["frame_idx"].to_numpy()[last].tolist(), pdf["det_idx"].to_numpy(np.int32)[last].tolist())
         for k, (g, frame_idx, det_idx) in enumerate(ends):
-            self.state.updateValue(tracks[g], (frame_idx, det_idx, *[[a[part][k] for a in after] for part in range(3)]))
+            self.state[tracks[g]] = (frame_idx, det_idx, now, *[[a[part][k] for a in after] for part in range(3)])
+        self._write(pages)
 
     def close(self) -> None:
         pass
@@ -172,9 +208,23 @@ def _grouped(rows: pd.DataFrame) -> tuple[np.ndarray, list[tuple[str, int]]]:
     return by.ngroup().to_numpy(), list(zip(firsts["video_id"].tolist(), firsts["track_id"].tolist()))
 
 
+def _pages(tracks: Iterable[tuple[str, int]]) -> list[int]:
+    """The pages these tracks are on."""
+    return sorted({track % PAGES for _, track in tracks})
+
+
+def _paged(tracks: Iterable[tuple[str, int]], pages: Sequence[int]) -> Iterator[tuple[int, list[tuple[str, int]]]]:
+    """Each of ``pages`` that has some of the tracks, and these."""
+    by_page: dict[int, list] = {page: [] for page in pages}
+    for track in tracks:
+        by_page[track[1] % PAGES].append(track)
+    return ((page, own) for page, own in by_page.items() if own)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
-    """State lives on disk and in the checkpoint, so it may outgrow executor memory."""
+    """State lives on disk and in the checkpoint, so it may outgrow executor memory. A micro-batch adds what it changed to the checkpoint."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def stream_exercise_states(

@@ -67,6 +67,73 @@ def test_one_call_counts_all_tracks_of_a_group(disorder):
     assert (counted["rep_count"] == counted["frame_idx"] // 2).all() and len(counter.state) == 300
 
 
+class _Pages:
+    """A state map that counts how often it is read or written."""
+
+    def __init__(self):
+        self.kept, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.kept[key] = value
+
+
+def _group(counter, rows, now=0):
+    class Timer:
+        def getCurrentProcessingTimeInMs(self):
+            return now
+
+    names = ["video_id", "frame_idx", "det_idx", "track_id", "angle0", "seen0"]
+    return pd.concat(counter.handleInputRows((0,), iter([pd.DataFrame(rows, columns=names)]), Timer()), ignore_index=True)
+
+
+@pytest.mark.parametrize("disorder", [0, 3])
+def test_state_is_read_by_pages_and_not_by_tracks(disorder):
+    maps = []
+
+    class Handle:
+        def getMapState(self, *_):
+            maps.append(_Pages())
+            return maps[-1]
+
+    counter = _RepCounter([(0, 90.0, 160.0)], None, disorder)
+    counter.init(Handle())
+    for begin in (0, 10):
+        _group(counter, [("v", f, 0, t, 40.0 if f % 2 else 170.0, True) for t in range(500) for f in range(begin, begin + 10)])
+    assert sum(m.calls for m in maps) <= 40
+
+
+def test_tracks_of_a_page_expire_apart():
+    class Handle:
+        def getMapState(self, *_):
+            return _Pages()
+
+    counter = _RepCounter([(0, 90.0, 160.0)], 1000, 0)
+    counter.init(Handle())
+    _group(counter, [("v", 0, 0, 4, 40.0, True), ("v", 0, 0, 8, 40.0, True)], now=0)
+    _group(counter, [("v", 1, 0, 8, 40.0, True)], now=900)
+    made = _group(counter, [("v", 2, 0, 4, 170.0, True), ("v", 2, 0, 8, 170.0, True)], now=1500)
+    assert made.set_index("track_id")["rep_count"].to_dict() == {4: 0, 8: 1}
+
+
+def test_a_stateful_step_has_a_task_for_each_core(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(random_rows(3, tracks=3, longest=9), ANGLES).write.parquet(folder)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        source = io.stream_detections(spark, folder, schema=ANGLES)
+        query = io.stream_states(stream_exercise_states(source, CONFIG, registry()), str(tmp_path / "out"), str(tmp_path / "c"))
+        assert query.awaitTermination(300) and spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {p["stateOperators"][0]["numShufflePartitions"] for p in query.recentProgress if p["stateOperators"]} == {8}
+
+
 def own(name, ordinal, settings):
     return angle_machine(settings["down"], settings["up"], name, ordinal)
 

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from jointflow.schema import DETECTIONS, EXERCISE_STATE, PERSON, TRACK_KEY, TRACK_ORDER
+from jointflow.session import state_tasks
 from jointflow.sources.versions import Versions
 
 
@@ -79,14 +80,16 @@ def stream_states(
             batch.unpersist()
 
         parted = states.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
-        return (parted.trigger(availableNow=True) if available_now else parted).start()
+        with state_tasks(states.sparkSession):
+            return (parted.trigger(availableNow=True) if available_now else parted).start()
     writer = (
         states.writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
     )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    with state_tasks(states.sparkSession):
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def stream_latest(states: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -100,12 +103,9 @@ def stream_latest(states: DataFrame, path: str, checkpoint: str) -> StreamingQue
     def merge(batch: DataFrame, batch_id: int) -> None:
         _latest_table(path).write(latest_states(batch), batch_id)
 
-    return (
-        states.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = states.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    with state_tasks(states.sparkSession):
+        return writer.trigger(availableNow=True).start()
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:

@@ -29,7 +29,7 @@ from jointflow.schema import (
     PERSON,
     PERSON_KEY,
 )
-from jointflow.session import shared_folder
+from jointflow.session import shared_folder, state_tasks
 from jointflow.sources import detections as io
 from jointflow.streaming.chunked import count_stream
 from jointflow.streaming.exercise import stream_exercise_states
@@ -547,7 +547,8 @@ def state_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def once(states: DataFrame, out: str, checkpoint: str):
         writer = states.writeStream.format("parquet").option("path", out)
-        return writer.option("checkpointLocation", checkpoint).trigger(once=True).start()
+        with state_tasks(spark):
+            return writer.option("checkpointLocation", checkpoint).trigger(once=True).start()
 
     out = _stream(spark, sf_dir, SQUAT, 1, once, ttl_ms=DAY_MS)
     return rounded(spark.read.schema(EXERCISE_STATE).parquet(out))

@@ -26,13 +26,13 @@ from jointflow.llm.common import append_columns, texts, worker_state
 from jointflow.llm.grams import Lookup, chunks
 
 #: Most pre-tokens that a worker remembers in each of two generations, and their greatest length.
-CACHE_ENTRIES, CACHE_LENGTH = 120_000, 48
+CACHE_ENTRIES, CACHE_LENGTH = 220_000, 48
 #: Characters of a batch whose new pre-tokens are merged together.
 CHUNK_CHARS = 2_000_000
 #: Rows of a batch.
-ROWS = 768
+ROWS = 1024
 #: Positions of one rank from which they are merged side by side as arrays.
-WIDE = 24
+WIDE = 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -97,3 +97,16 @@ def test_no_garbage_is_looked_for_while_texts_are_encoded():
     finally:
         gc.callbacks.remove(note)
     assert len(made) == 1 and not runs and gc.isenabled()
+
+
+def test_two_hundred_thousand_words_are_merged_once():
+    from itertools import islice, product
+
+    encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    words = ["".join(x) for x in islice(product("qxzjvkwybmfp", repeat=6), 0, 800_000, 4)]
+    batches = [[" ".join(words[at : at + 20_000])] for at in range(0, len(words), 20_000)]
+    first = [encoder.encode(b) for b in batches]
+    merged, merge = [], encoder.merger.merge
+    encoder.merger.merge = lambda new: merged.extend(new) or merge(new)
+    assert [encoder.encode(b) for b in batches] == first
+    assert len(merged) <= len(batches)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jointflow.llm.common import unused_names, whole_text, worker_state
+from jointflow.llm.common import drop_caches, give_back, unused_names, whole_text
 from jointflow.llm.components import components
 from jointflow.session import discard, written
 
@@ -42,8 +42,8 @@ FRAGMENTS = 4
 TIGHT = 100
 #: Remaining classes up to which their keys are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_CLASSES = 2_000_000
-#: Remembered words of a worker, in each of two generations.
-CACHE_WORDS = 300_000
+#: Remembered words of a task, in each of two generations.
+CACHE_WORDS = 100_000
 
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -92,11 +92,6 @@ class Shingler:
         return key, np.unique(acc.view(np.int64))
 
 
-def _shingler(width: int) -> Shingler:
-    state = worker_state("shinglers")
-    return state.get(width) or state.setdefault(width, Shingler(width))
-
-
 def lowest(n: int) -> int:
     """How many of n shingles stand for a class in the first step."""
     return min(n, n * 3 // 10 + 1 + (n >= 10))
@@ -127,7 +122,8 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = _shingler(width)
+        drop_caches()
+        shingler = Shingler(width)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -149,6 +145,8 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
                     pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(flat)]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "key", "n", "shingle"])
+        whole = batch = columns = low = flat = of = shingler = None
+        give_back()
 
     return rows.mapInArrow(run, "doc_id long, row long, key long, n long, shingle long")
 
@@ -160,7 +158,8 @@ def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     rows = rows.join(F.broadcast(classes.select("row")) if few else classes.select("row"), "row", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = _shingler(width)
+        drop_caches()
+        shingler = Shingler(width)
         inner = [int((f << 64) // FRAGMENTS - (1 << 63)) for f in range(1, FRAGMENTS)]
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -176,6 +175,8 @@ def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     out, schema=pa.schema([("key", pa.int64()), ("n", pa.int64()), ("fragment", pa.int32()), ("shingles", pa.list_(pa.int64()))])
                 )
+        whole = out = found = part = shingler = None
+        give_back()
 
     made = written(rows.select("text").mapInArrow(run, "key long, n long, fragment int, shingles array<long>"), "shingle-sets")
     twice = made.groupBy("key", "fragment").count().where("count > 1")  # of a row that comes twice

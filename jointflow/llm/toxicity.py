@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jointflow.llm.common import append_columns, drop_caches, crc_mod, lower_ascii, whole_text
+from jointflow.llm.common import append_columns, drop_caches, crc_mod, give_back, lower_ascii, whole_text
 from jointflow.llm.grams import Lookup, byte_grams, chunks, sums
 from jointflow.session import written
 
@@ -39,7 +39,8 @@ BROADCAST_LABELS = 2_000_000
 FIT_ROWS = 20_000
 #: One of so many training documents of each class (one at least) is kept out of the counts until the curve is fitted.
 FIT_SHARE = 8
-TEXT_CHUNK = 4_000_000
+#: Bytes of texts that are counted, and that are scored, at a time.
+TEXT_CHUNK, SCORE_CHUNK = 4_000_000, 1_000_000
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -75,6 +76,8 @@ def count_grams(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
                     zero = np.zeros(len(n), np.int64)
                     counts = (n, zero) if c == 0 else (zero, n)
                     yield pa.RecordBatch.from_pydict({"gram": grams.astype(np.int64), "n0": counts[0], "n1": counts[1]})
+        batch = table = texts = chunk = grams = n = zero = counts = None
+        give_back()
 
     made = rows.select("text", "toxic").mapInArrow(run, "gram long, n0 long, n1 long")
     return made.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -169,7 +172,7 @@ def _add_slice(df: DataFrame, model, depth: int) -> DataFrame:
         def of_batch(table: pa.Table) -> list[pa.Array]:
             texts = [(t or "").encode().lower() for t in table.column("text").to_pylist()]
             means = [np.zeros(0)]
-            for chunk in chunks(texts, TEXT_CHUNK):
+            for chunk in chunks(texts, SCORE_CHUNK):
                 grams, ends = byte_grams(chunk, depth)
                 at = find(grams)
                 value = np.where(at >= 0, values[at], 0.0)

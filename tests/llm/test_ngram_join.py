@@ -141,3 +141,19 @@ def test_new_shingles_before_the_shared_ones(spark, n, m):
         raise AssertionError("no such text found")
     rows = [(1, " ".join(words[: n + 4])), (2, " ".join(words)), (3, "something else that links with none of them")]
     assert mine(spark, rows) == brute_force(rows) == [(1, n, 1), (2, m, 1), (3, 4, 3)]
+
+
+def test_workers_keep_no_words_after_the_join(spark):
+    import sys
+
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 3}") for i in range(40)], "doc_id long, text string")
+    ngram_join.near_duplicates(docs.repartition(4)).collect()
+
+    def kept(batches):
+        for _ in batches:
+            module = sys.modules.get("_jointflow_worker_state")
+            yield pa.RecordBatch.from_pydict({"n": [len(module.state.get("shinglers", ())) if module else 0]})
+
+    import pyarrow as pa
+
+    assert not spark.range(4, numPartitions=4).mapInArrow(kept, "n long").where("n > 0").count()
